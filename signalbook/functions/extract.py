@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from signalbook import fixed_values as fv
 from signalbook.functions.text import strip
-from signalbook.functions.values import blank_to_null
+from signalbook.functions.values import blank_to_null, once
 
 # White space, digits, word characters and word edges cover all scripts.
 UNICODE = "(?U)"
@@ -25,8 +25,8 @@ def customer_name(text: Column) -> Column:
     """Name after a customer word, else after a from/by/re word; 3 to 99 characters."""
     options = []
     for pattern, group in zip(fv.CUSTOMER_PATTERNS, (2, 1)):
-        name = F.regexp_replace(strip(first_match(text, pattern, group)), r"[.,]+$", "")
-        options.append(F.when((F.length(name) > 2) & (F.length(name) < 100), name))
+        name = F.regexp_replace(strip(F.regexp_extract(text, UNICODE + pattern, group)), r"[.,]+$", "")
+        options.append(once(name, lambda n: F.when(F.length(n).between(3, 99), n)))
     return F.coalesce(*options)
 
 
@@ -56,8 +56,8 @@ def incident_number(text: Column) -> Column:
 
 def downtime_minutes(text: Column) -> Column:
     """Minutes of outage; hours are converted."""
-    amount = first_match(text, fv.DOWNTIME_PATTERN, 1).try_cast("bigint")
-    matched = F.lower(first_match(text, fv.DOWNTIME_PATTERN, 0))
+    amount = F.regexp_extract(text, UNICODE + fv.DOWNTIME_PATTERN, 1).try_cast("bigint")
+    matched = F.lower(F.regexp_extract(text, UNICODE + fv.DOWNTIME_PATTERN, 0))
     return amount * F.when(F.contains(matched, F.lit("hour")), 60).otherwise(1)
 
 

@@ -1,31 +1,73 @@
 """Classifying text by word lists.  Matching is by substring on lower-cased text.
 
-Each test is a plain ``contains`` on one shared ``lower(text)``, so the whole
-classifier stays in generated code and reads the text once per row.
+A text is searched once: :func:`found` gives the patterns it holds.  Every
+classifier then works on that short list, so several classifiers can share it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from functools import reduce
-from operator import add, or_
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from signalbook import fixed_values as fv
-from signalbook.functions.values import half_up
+from signalbook.functions.values import half_up, once
 
 
-def count_hits(text: Column, patterns: Sequence[str]) -> Column:
-    """How many of the patterns occur."""
-    lowered = F.lower(text)
-    return reduce(add, [F.contains(lowered, F.lit(p)).cast("int") for p in dict.fromkeys(patterns)])
+def words(*lists: Iterable[str]) -> list[str]:
+    """Distinct patterns of several lists, in order."""
+    return list(dict.fromkeys(p for one in lists for p in one))
 
 
-def any_hit(text: Column, patterns: Sequence[str]) -> Column:
-    lowered = F.lower(text)
-    return reduce(or_, [F.contains(lowered, F.lit(p)) for p in dict.fromkeys(patterns)])
+def _literal(patterns: Iterable[str]) -> Column:
+    return F.array(*[F.lit(p) for p in patterns])
+
+
+def found(text: Column, patterns: Iterable[str]) -> Column:
+    """The patterns that occur in the text."""
+    known = _literal(words(patterns))
+    return once(
+        F.lower(F.coalesce(text, F.lit(""))),
+        lambda t: F.filter(known, lambda p: F.contains(t, p)),
+    )
+
+
+def hits(matched: Column, patterns: Iterable[str]) -> Column:
+    """How many of these patterns are among the matched ones."""
+    return F.size(F.array_intersect(matched, _literal(words(patterns))))
+
+
+def any_hit(matched: Column, patterns: Iterable[str]) -> Column:
+    return F.arrays_overlap(matched, _literal(words(patterns)))
+
+
+# --- sentiment ------------------------------------------------------------------
+
+
+def sentiment_of(
+    matched: Column,
+    positive: Sequence[str] = fv.POSITIVE_WORDS,
+    negative: Sequence[str] = fv.NEGATIVE_WORDS,
+) -> Column:
+    """Struct of label, confidence and score (share of positive hits, 0.5 if none)."""
+
+    def judged(share: Column) -> Column:
+        label = F.when(share > 0.6, "positive").when(share < 0.4, "negative").otherwise("neutral")
+        confidence = (
+            F.when(share.isNull(), F.lit(0.5))
+            .when(share > 0.6, F.least(F.lit(0.95), 0.6 + share * 0.35))
+            .when(share < 0.4, F.least(F.lit(0.95), 0.6 + (1 - share) * 0.35))
+            .otherwise(F.lit(0.65))
+        )
+        return F.struct(
+            label.alias("label"),
+            half_up(confidence, 2).alias("confidence"),
+            half_up(F.coalesce(share, F.lit(0.5)), 3).alias("score"),
+        )
+
+    good, bad = hits(matched, positive), hits(matched, negative)
+    return once(F.try_divide(good.cast("double"), good + bad), judged)
 
 
 def sentiment(
@@ -33,42 +75,47 @@ def sentiment(
     positive: Sequence[str] = fv.POSITIVE_WORDS,
     negative: Sequence[str] = fv.NEGATIVE_WORDS,
 ) -> Column:
-    """Struct of label, confidence and score (share of positive hits, 0.5 if none)."""
-    good, bad = count_hits(text, positive), count_hits(text, negative)
-    share = F.try_divide(good.cast("double"), good + bad)
-    label = (
-        F.when(share > 0.6, "positive").when(share < 0.4, "negative").otherwise("neutral")
-    )
-    confidence = (
-        F.when(share.isNull(), F.lit(0.5))
-        .when(share > 0.6, F.least(F.lit(0.95), 0.6 + share * 0.35))
-        .when(share < 0.4, F.least(F.lit(0.95), 0.6 + (1 - share) * 0.35))
-        .otherwise(F.lit(0.65))
-    )
-    return F.struct(
-        label.alias("label"),
-        half_up(confidence, 2).alias("confidence"),
-        half_up(F.coalesce(share, F.lit(0.5)), 3).alias("score"),
-    )
+    return once(found(text, words(positive, negative)), lambda m: sentiment_of(m, positive, negative))
 
 
-def severity(text: Column, keywords: Mapping[str, Sequence[str]] = fv.SEVERITY_KEYWORDS) -> Column:
+# --- severity --------------------------------------------------------------------
+
+
+def severity_of(
+    matched: Column, keywords: Mapping[str, Sequence[str]] = fv.SEVERITY_KEYWORDS
+) -> Column:
     """Struct of the first level with any keyword and its confidence."""
-    found = F.coalesce(*[F.when(any_hit(text, words), F.lit(lv)) for lv, words in keywords.items()])
-    return F.struct(
-        F.coalesce(found, F.lit("medium")).alias("level"),
-        F.when(found.isNotNull(), fv.FIELD_CONFIDENCE["severity_found"])
-        .otherwise(fv.FIELD_CONFIDENCE["severity_default"])
-        .alias("confidence"),
+    levels = [F.when(any_hit(matched, ks), F.lit(level)) for level, ks in keywords.items()]
+    return once(
+        F.coalesce(*levels),
+        lambda level: F.struct(
+            F.coalesce(level, F.lit("medium")).alias("level"),
+            F.when(level.isNotNull(), fv.FIELD_CONFIDENCE["severity_found"])
+            .otherwise(fv.FIELD_CONFIDENCE["severity_default"])
+            .alias("confidence"),
+        ),
     )
 
 
+def severity(text: Column, keywords: Mapping[str, Sequence[str]] = fv.SEVERITY_KEYWORDS) -> Column:
+    return once(found(text, words(*keywords.values())), lambda m: severity_of(m, keywords))
+
+
+# --- topics ------------------------------------------------------------------------
+
+
+def topics_of(
+    matched: Column, patterns: Mapping[str, Sequence[str]] = fv.TOPIC_PATTERNS, keep: int = 5
+) -> Column:
+    """The first topics, in table order, that have any pattern in the text."""
+    named = [F.when(any_hit(matched, ps), F.lit(name)) for name, ps in patterns.items()]
+    return F.slice(F.array_compact(F.array(*named)), 1, keep)
+
+
 def topics(
     text: Column, patterns: Mapping[str, Sequence[str]] = fv.TOPIC_PATTERNS, keep: int = 5
 ) -> Column:
-    """The first topics, in table order, that have any pattern in the text."""
-    found = F.array(*[F.when(any_hit(text, words), F.lit(name)) for name, words in patterns.items()])
-    return F.slice(F.array_compact(found), 1, keep)
+    return once(found(text, words(*patterns.values())), lambda m: topics_of(m, patterns, keep))
 
 
 def category(topic_list: Column) -> Column:
@@ -76,27 +123,33 @@ def category(topic_list: Column) -> Column:
     return F.coalesce(F.try_element_at(topic_list, F.lit(1)), F.lit("general"))
 
 
-def issue_class(
-    text: Column, taxonomy: Mapping[str, Mapping[str, Sequence[str]]] = fv.ISSUE_TAXONOMY
+# --- issue taxonomy --------------------------------------------------------------------
+
+
+def _class_patterns(taxonomy: Mapping[str, Mapping[str, Sequence[str]]]) -> list[str]:
+    return words(*[ps for subs in taxonomy.values() for ps in subs.values()])
+
+
+def issue_class_of(
+    matched: Column, taxonomy: Mapping[str, Mapping[str, Sequence[str]]] = fv.ISSUE_TAXONOMY
 ) -> Column:
     """Struct of category, subcategory and confidence of the class with most hits.
 
     Equal counts go to the class that stands first in the taxonomy: the rank is
     part of the compared struct.
     """
-    classes = [(c, s, words) for c, subs in taxonomy.items() for s, words in subs.items()]
+    classes = [(c, s, ps) for c, subs in taxonomy.items() for s, ps in subs.items()]
     scored = [
         F.struct(
-            count_hits(F.coalesce(text, F.lit("")), words).alias("hits"),
+            hits(matched, ps).alias("hits"),
             F.lit(-rank).alias("rank"),
             F.lit(c).alias("category"),
             F.lit(s).alias("subcategory"),
         )
-        for rank, (c, s, words) in enumerate(classes)
+        for rank, (c, s, ps) in enumerate(classes)
     ]
-    best = F.array_max(F.array(*scored))
-    return F.transform(
-        F.array(best),
+    return once(
+        F.array_max(F.array(*scored)),
         lambda b: F.struct(
             F.when(b.hits > 0, b.category).otherwise("GENERAL").alias("category"),
             F.when(b.hits > 0, b.subcategory).otherwise("OTHER").alias("subcategory"),
@@ -104,4 +157,23 @@ def issue_class(
             .otherwise(0.4)
             .alias("confidence"),
         ),
-    )[0]
+    )
+
+
+def issue_class(
+    text: Column, taxonomy: Mapping[str, Mapping[str, Sequence[str]]] = fv.ISSUE_TAXONOMY
+) -> Column:
+    return once(found(text, _class_patterns(taxonomy)), lambda m: issue_class_of(m, taxonomy))
+
+
+def vocabulary(
+    positive: Sequence[str],
+    negative: Sequence[str],
+    topic_patterns: Mapping[str, Sequence[str]],
+    taxonomy: Mapping[str, Mapping[str, Sequence[str]]] = fv.ISSUE_TAXONOMY,
+    keywords: Mapping[str, Sequence[str]] = fv.SEVERITY_KEYWORDS,
+) -> list[str]:
+    """All patterns of all classifiers, for one shared search."""
+    return words(
+        positive, negative, *keywords.values(), *topic_patterns.values(), _class_patterns(taxonomy)
+    )

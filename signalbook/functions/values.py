@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def half_up(value: Column, places: int) -> Column:
     """Round half away from zero on the decimal value (not on the binary double)."""
     return F.round(value.cast("decimal(28,10)"), places).cast("double")
@@ -47,7 +52,7 @@ def days_before(at: Column, days: int) -> Column:
 
 
 def blank_to_null(value: Column) -> Column:
-    return F.when(value != "", value)
+    return once(value, lambda v: F.when(v != "", v))
 
 
 def lookup(table: Mapping[str, object], key: Column, default) -> Column:

@@ -254,8 +254,9 @@ def top_topics(records: DataFrame, time: str, every: str = "month", k: int = 3)
     counts = (
         records.select(
             F.date_trunc(every, time).cast("timestamp_ntz").alias("period_start"),
-            F.explode("topics").alias("topic"),
+            F.explode_outer("topics").alias("topic"),
         )
+        .filter(F.col("topic").isNotNull())
         .groupBy("period_start", "topic")
         .agg(F.count("*").alias("mentions"))
     )

@@ -52,13 +52,16 @@ def extract(
     docs = documents
     if max_chars is not None:
         docs = docs.withColumn("text", F.substring("text", 1, max_chars))
-    text = F.col("text")
-    read = docs.select(
-        "*",
-        lexicon.sentiment(text, positive, negative).alias("_mood"),
-        lexicon.severity(text).alias("_level"),
-        lexicon.topics(text, topic_patterns).alias("topics"),
-        lexicon.issue_class(text).alias("_issue"),
+    text, matched = F.col("text"), F.col("_matched")
+    searched = docs.withColumn(
+        "_matched", lexicon.found(text, lexicon.vocabulary(positive, negative, topic_patterns))
+    )
+    read = searched.select(
+        *docs.columns,
+        lexicon.sentiment_of(matched, positive, negative).alias("_mood"),
+        lexicon.severity_of(matched).alias("_level"),
+        lexicon.topics_of(matched, topic_patterns).alias("topics"),
+        lexicon.issue_class_of(matched).alias("_issue"),
         ex.customer_name(text).alias("customer_name"),
         ex.dates(text).alias("dates"),
         ex.money(text).alias("money"),
@@ -126,7 +129,9 @@ def field_value(name: str) -> Column:
 def staged_entities(extracted: DataFrame) -> DataFrame:
     """Every field and entity as a row with its review status."""
     base = ["document_id", "domain"]
-    fields = extracted.select(*base, F.explode("fields").alias("f")).select(
+    # explode_outer: a plain explode would add a filter on the array and so
+    # compute the whole extraction twice.
+    fields = extracted.select(*base, F.explode_outer("fields").alias("f")).select(
         *base,
         F.lit("field").alias("origin"),
         F.col("f.field").alias("entity_type"),
@@ -141,7 +146,9 @@ def staged_entities(extracted: DataFrame) -> DataFrame:
         .alias("review_status"),
     )
     none = F.lit(None)
-    entities = extracted.select(*base, F.explode("entities").alias("e")).select(
+    entities = extracted.select(*base, F.explode_outer("entities").alias("e")).filter(
+        F.col("e").isNotNull()
+    ).select(
         *base,
         F.lit("entity").alias("origin"),
         F.col("e.type").alias("entity_type"),
@@ -163,7 +170,9 @@ def _percent(confidence: Column) -> Column:
 def low_confidence_items(extracted: DataFrame) -> DataFrame:
     """Review items for fields below the review limit."""
     weak = F.filter("fields", lambda f: f.confidence < fv.REVIEW_CONFIDENCE)
-    return extracted.select("document_id", F.explode(weak).alias("f")).select(
+    return extracted.select("document_id", F.explode_outer(weak).alias("f")).filter(
+        F.col("f").isNotNull()
+    ).select(
         F.lit("low_confidence_extraction").alias("item_type"),
         "document_id",
         F.concat(F.lit("Low-confidence extraction: "), "f.field").alias("title"),

@@ -23,7 +23,7 @@ from pyspark.sql.types import IntegerType
 
 from signalbook import fixed_values as fv
 from signalbook.functions.text import normalize_name, token_sorted
-from signalbook.functions.values import half_up, lookup
+from signalbook.functions.values import half_up, lookup, once
 from signalbook.session import cut_lineage
 
 # --- registry ------------------------------------------------------------------
@@ -154,18 +154,23 @@ def _grams(name: Column, width: int) -> Column:
     """Character groups of a name, numbered by occurrence, rare ones first."""
     coded = F.translate(name, _COMMON_FIRST, _AS_LATE)
     size = F.length(name)
-    parts = F.when(
-        size >= width,
-        F.transform(F.sequence(F.lit(1), size - (width - 1)), lambda i: F.substr(coded, i, F.lit(width))),
-    ).otherwise(F.array().cast("array<string>"))
-    ordered = F.array_sort(parts)
-    numbered = F.transform(
-        ordered,
-        lambda g, i: F.concat(
-            F.lpad((F.lit(9999) - (i + 1 - F.array_position(ordered, g).cast("int"))).cast("string"), 4, "0"), g
-        ),
+    starts = F.when(size >= width, F.sequence(F.lit(1), size - (width - 1)))
+
+    def numbered(ordered: Column) -> Column:
+        """Later occurrences of a gram are rarer: they get the smaller number."""
+        return F.transform(
+            ordered,
+            lambda g, i: F.concat(
+                F.lpad((F.lit(9998) - i + F.array_position(ordered, g)).cast("string"), 4, "0"), g
+            ),
+        )
+
+    sorted_grams = once(
+        coded, lambda c: F.array_sort(F.transform(starts, lambda i: F.substr(c, i, F.lit(width))))
+    )
+    return F.coalesce(
+        F.array_sort(once(sorted_grams, numbered)), F.array().cast("array<string>")
     )
-    return F.array_sort(numbered)
 
 
 def _signed(df: DataFrame, name: str, method: str, t: float, side: str) -> DataFrame:
@@ -207,8 +212,8 @@ def similar_names(
     else:
         need = (la + lb) * (t / 2)
     pairs = (
-        left.withColumn("_gram", F.explode("_pa"))
-        .join(right.withColumn("_gram", F.explode("_pb")), ["entity_type", "_gram"])
+        left.withColumn("_gram", F.explode_outer("_pa"))
+        .join(right.withColumn("_gram", F.explode_outer("_pb")), ["entity_type", "_gram"])
         .filter(F.least(la, lb) >= need - 1e-9)
         .filter(F.size(F.array_intersect("_ga", "_gb")) >= need - 1e-9)
         .filter(F.col("_gram") == F.array_min(F.array_intersect("_pa", "_pb")))

@@ -12,6 +12,7 @@ def spark_session():
         f"local[{cpus}]",
         spark__sql__shuffle__partitions="8",
         spark__ui__enabled="false",
+        spark__ui__showConsoleProgress="false",
         spark__driver__memory="12g",
     )
     spark.sparkContext.setLogLevel("OFF")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,23 +11,33 @@ from signalbook import fixed_values as fv
 from signalbook.functions.text import strip
 from signalbook.functions.values import blank_to_null, once
 
-# White space, digits, word characters and word edges cover all scripts.
-UNICODE = "(?U)"
+
+
+def _by_script(text: Column, pattern: str, search: Callable[[str], Column]) -> Column:
+    """Search with classes for all scripts, or with the faster ASCII ones when the
+    text is plain ASCII (as many bytes as characters), where both agree."""
+    plain = F.octet_length(text) == F.length(text)
+    return F.when(plain, search(pattern)).otherwise(search("(?U)" + pattern))
+
+
+def matched_group(text: Column, pattern: str, group: int) -> Column:
+    """Group of the first match, empty if there is none."""
+    return _by_script(text, pattern, lambda p: F.regexp_extract(text, p, group))
 
 
 def first_match(text: Column, pattern: str, group: int) -> Column:
-    return blank_to_null(F.regexp_extract(text, UNICODE + pattern, group))
+    return blank_to_null(matched_group(text, pattern, group))
 
 
 def all_matches(text: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(text, F.lit(UNICODE + pattern), F.lit(0))
+    return _by_script(text, pattern, lambda p: F.regexp_extract_all(text, F.lit(p), F.lit(0)))
 
 
 def customer_name(text: Column) -> Column:
     """Name after a customer word, else after a from/by/re word; 3 to 99 characters."""
     options = []
     for pattern, group in zip(fv.CUSTOMER_PATTERNS, (2, 1)):
-        name = F.regexp_replace(strip(F.regexp_extract(text, UNICODE + pattern, group)), r"[.,]+$", "")
+        name = F.regexp_replace(strip(matched_group(text, pattern, group)), r"[.,]+$", "")
         options.append(once(name, lambda n: F.when(F.length(n).between(3, 99), n)))
     return F.coalesce(*options)
 
@@ -47,7 +59,8 @@ def ticket_number(text: Column) -> Column:
 
 
 def email(text: Column) -> Column:
-    return first_match(text, fv.EMAIL_PATTERN, 0)
+    """First e-mail address; texts without an @ are not searched."""
+    return F.when(F.contains(text, F.lit("@")), first_match(text, fv.EMAIL_PATTERN, 0))
 
 
 def incident_number(text: Column) -> Column:
@@ -56,8 +69,8 @@ def incident_number(text: Column) -> Column:
 
 def downtime_minutes(text: Column) -> Column:
     """Minutes of outage; hours are converted."""
-    amount = F.regexp_extract(text, UNICODE + fv.DOWNTIME_PATTERN, 1).try_cast("bigint")
-    matched = F.lower(F.regexp_extract(text, UNICODE + fv.DOWNTIME_PATTERN, 0))
+    amount = matched_group(text, fv.DOWNTIME_PATTERN, 1).try_cast("bigint")
+    matched = F.lower(matched_group(text, fv.DOWNTIME_PATTERN, 0))
     return amount * F.when(F.contains(matched, F.lit("hour")), 60).otherwise(1)
 
 

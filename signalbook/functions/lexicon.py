@@ -38,8 +38,17 @@ def hits(matched: Column, patterns: Iterable[str]) -> Column:
     return F.size(F.array_intersect(matched, _literal(words(patterns))))
 
 
-def any_hit(matched: Column, patterns: Iterable[str]) -> Column:
-    return F.arrays_overlap(matched, _literal(words(patterns)))
+def groups_hit(matched: Column, groups: Sequence[Iterable[str]]) -> Column:
+    """Position of the group of every matched pattern, once per pattern and group."""
+    places: dict[str, list[int]] = {}
+    for i, patterns in enumerate(groups):
+        for p in words(patterns):
+            places.setdefault(p, []).append(i)
+    table = F.create_map(
+        *[x for p, at in places.items() for x in (F.lit(p), F.array(*[F.lit(i) for i in at]))]
+    )
+    none = F.array().cast("array<int>")
+    return F.flatten(F.transform(matched, lambda p: F.coalesce(F.try_element_at(table, p), none)))
 
 
 # --- sentiment ------------------------------------------------------------------
@@ -85,12 +94,13 @@ def severity_of(
     matched: Column, keywords: Mapping[str, Sequence[str]] = fv.SEVERITY_KEYWORDS
 ) -> Column:
     """Struct of the first level with any keyword and its confidence."""
-    levels = [F.when(any_hit(matched, ks), F.lit(level)) for level, ks in keywords.items()]
+    levels = _literal(keywords)
+    first = F.array_min(groups_hit(matched, list(keywords.values())))
     return once(
-        F.coalesce(*levels),
-        lambda level: F.struct(
-            F.coalesce(level, F.lit("medium")).alias("level"),
-            F.when(level.isNotNull(), fv.FIELD_CONFIDENCE["severity_found"])
+        first,
+        lambda i: F.struct(
+            F.coalesce(F.get(levels, i), F.lit("medium")).alias("level"),
+            F.when(i.isNotNull(), fv.FIELD_CONFIDENCE["severity_found"])
             .otherwise(fv.FIELD_CONFIDENCE["severity_default"])
             .alias("confidence"),
         ),
@@ -108,8 +118,9 @@ def topics_of(
     matched: Column, patterns: Mapping[str, Sequence[str]] = fv.TOPIC_PATTERNS, keep: int = 5
 ) -> Column:
     """The first topics, in table order, that have any pattern in the text."""
-    named = [F.when(any_hit(matched, ps), F.lit(name)) for name, ps in patterns.items()]
-    return F.slice(F.array_compact(F.array(*named)), 1, keep)
+    names = _literal(patterns)
+    hit = F.array_sort(F.array_distinct(groups_hit(matched, list(patterns.values()))))
+    return F.transform(F.slice(hit, 1, keep), lambda i: F.get(names, i))
 
 
 def topics(
@@ -135,24 +146,28 @@ def issue_class_of(
 ) -> Column:
     """Struct of category, subcategory and confidence of the class with most hits.
 
-    Equal counts go to the class that stands first in the taxonomy: the rank is
-    part of the compared struct.
+    Equal counts go to the class that stands first in the taxonomy.
     """
     classes = [(c, s, ps) for c, subs in taxonomy.items() for s, ps in subs.items()]
-    scored = [
-        F.struct(
-            hits(matched, ps).alias("hits"),
-            F.lit(-rank).alias("rank"),
-            F.lit(c).alias("category"),
-            F.lit(s).alias("subcategory"),
+    categories = _literal(c for c, _, _ in classes)
+    subcategories = _literal(s for _, s, _ in classes)
+
+    def ranked(places: Column) -> Column:
+        return F.array_max(
+            F.transform(
+                F.array_distinct(places),
+                lambda i: F.struct(
+                    F.size(F.filter(places, lambda p: p == i)).alias("hits"), (-i).alias("place")
+                ),
+            )
         )
-        for rank, (c, s, ps) in enumerate(classes)
-    ]
+
+    best = once(groups_hit(matched, [ps for _, _, ps in classes]), ranked)
     return once(
-        F.array_max(F.array(*scored)),
+        best,
         lambda b: F.struct(
-            F.when(b.hits > 0, b.category).otherwise("GENERAL").alias("category"),
-            F.when(b.hits > 0, b.subcategory).otherwise("OTHER").alias("subcategory"),
+            F.coalesce(F.get(categories, -b.place), F.lit("GENERAL")).alias("category"),
+            F.coalesce(F.get(subcategories, -b.place), F.lit("OTHER")).alias("subcategory"),
             F.when(b.hits > 0, half_up(F.least(F.lit(0.95), 0.65 + b.hits * 0.1), 2))
             .otherwise(0.4)
             .alias("confidence"),

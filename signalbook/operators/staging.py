@@ -11,7 +11,7 @@ from signalbook import fixed_values as fv
 from signalbook.functions import extract as ex
 from signalbook.functions import lexicon
 from signalbook.functions.text import normalize_severity, normalize_text, word_count
-from signalbook.functions.values import half_up, stable_id
+from signalbook.functions.values import half_up, once, stable_id
 
 CONF = fv.FIELD_CONFIDENCE
 TICKET_DOMAIN = "customer_intelligence"
@@ -33,8 +33,10 @@ def _field(name: str, value: Column, confidence, span: int, placed: bool) -> Col
 
 
 def _found(domain: str, name: str, value: Column) -> Column:
-    wanted = (F.col("domain") == domain) & value.isNotNull()
-    return F.when(wanted, _field(name, value, CONF[name], 100, placed=False))
+    made = once(
+        value, lambda v: F.when(v.isNotNull(), _field(name, v, CONF[name], 100, placed=False))
+    )
+    return F.when(F.col("domain") == domain, made)
 
 
 def extract(
@@ -53,9 +55,8 @@ def extract(
     if max_chars is not None:
         docs = docs.withColumn("text", F.substring("text", 1, max_chars))
     text, matched = F.col("text"), F.col("_matched")
-    searched = docs.withColumn(
-        "_matched", lexicon.found(text, lexicon.vocabulary(positive, negative, topic_patterns))
-    )
+    vocabulary = lexicon.vocabulary(positive, negative, topic_patterns)
+    searched = docs.withColumn("_matched", lexicon.found(text, vocabulary))
     read = searched.select(
         *docs.columns,
         lexicon.sentiment_of(matched, positive, negative).alias("_mood"),

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signalbook.sources.star import Tables, company_name, padded, word
+from signalbook.sources.star import Tables, company_name, padded, spread, word
 
 ISSUES = [
     "VPN down, unable to connect to VPN through the tunnel",
@@ -96,7 +96,7 @@ def ticket_texts(t: Tables) -> DataFrame:
             )
         )
     )
-    return t.orders.select(
+    return spread(t.orders).select(
         padded("TXT-", key).alias("document_id"),
         pick(DOMAINS, key).alias("domain"),
         day.alias("arrived_at"),

@@ -119,7 +119,7 @@ def topics_of(
 ) -> Column:
     """The first topics, in table order, that have any pattern in the text."""
     names = _literal(patterns)
-    hit = F.array_sort(F.array_distinct(groups_hit(matched, list(patterns.values()))))
+    hit = F.sort_array(F.array_distinct(groups_hit(matched, list(patterns.values()))))
     return F.transform(F.slice(hit, 1, keep), lambda i: F.get(names, i))
 
 

@@ -50,7 +50,7 @@ def normalize_name(name: Column, suffixes: Sequence[str] = fv.LEGAL_SUFFIXES) ->
 
 def token_sorted(name: Column) -> Column:
     """Words in alphabetical order, so that word order does not matter."""
-    return F.array_join(F.array_sort(F.split(name, r"\s+")), " ")
+    return F.array_join(F.sort_array(F.split(name, r"\s+")), " ")
 
 
 def normalize_date(text: Column, formats: Sequence[str] = fv.DATE_FORMATS) -> Column:

@@ -171,7 +171,7 @@ def service_metrics(
         .withColumn("_rank", F.row_number().over(rank))
         .filter(F.col("_rank") <= top_causes)
         .groupBy("service_id")
-        .agg(F.array_sort(F.collect_list(F.struct("_rank", "root_cause"))).alias("_top"))
+        .agg(F.sort_array(F.collect_list(F.struct("_rank", "root_cause"))).alias("_top"))
     )
     minutes = window_days * 24 * 60
     return (

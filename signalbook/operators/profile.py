@@ -74,7 +74,7 @@ def rows_to_text(
     return placed.groupBy(*keys, "page_number").agg(
         F.count("*").alias("n_rows"),
         F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("_row", "_line"))), lambda x: x._line),
+            F.transform(F.sort_array(F.collect_list(F.struct("_row", "_line"))), lambda x: x._line),
             "\n",
         ).alias("page_text"),
     )
@@ -112,7 +112,7 @@ def column_profile(df: DataFrame, order: Sequence[str], samples: int = 3) -> Dat
         """Top-k of one column: reads only that column and the order key."""
         top = df.filter(F.col(c).isNotNull()).orderBy(*order).limit(samples)
         values = F.transform(
-            F.array_sort(F.collect_list(F.struct(*order, F.col(c).cast("string").alias("_value")))),
+            F.sort_array(F.collect_list(F.struct(*order, F.col(c).cast("string").alias("_value")))),
             lambda x: x._value,
         )
         return top.agg(values.alias("sample_values")).select(

@@ -69,9 +69,8 @@ def resolve_exact(names: DataFrame, registry: DataFrame) -> DataFrame:
 def resolve_normalized(names: DataFrame, known: DataFrame) -> DataFrame:
     """Names whose normalised form equals a normalised name or alias."""
     keys = ["entity_type", "raw_value"]
-    matches = names.select(*keys, normalize_name(F.col("raw_value")).alias("known")).join(
-        known, ["entity_type", "known"]
-    )
+    norm = F.col("norm") if "norm" in names.columns else normalize_name(F.col("raw_value"))
+    matches = names.select(*keys, norm.alias("known")).join(known, ["entity_type", "known"])
     return _one_candidate(matches, keys)
 
 
@@ -166,10 +165,10 @@ def _grams(name: Column, width: int) -> Column:
         )
 
     sorted_grams = once(
-        coded, lambda c: F.array_sort(F.transform(starts, lambda i: F.substr(c, i, F.lit(width))))
+        coded, lambda c: F.sort_array(F.transform(starts, lambda i: F.substr(c, i, F.lit(width))))
     )
     return F.coalesce(
-        F.array_sort(once(sorted_grams, numbered)), F.array().cast("array<string>")
+        F.sort_array(once(sorted_grams, numbered)), F.array().cast("array<string>")
     )
 
 
@@ -238,7 +237,7 @@ def best_fuzzy(
     the others go on to the next tier.
     """
     keys = ["entity_type", "norm"]
-    rest, found = norms.select(*keys).distinct(), None
+    rest, found = cut_lineage(norms.select(*keys).distinct()), None
     for i, lowest in enumerate(tiers):
         best = (
             similar_names(rest, known, lowest, method)
@@ -292,13 +291,14 @@ def resolve_names(
     earlier new one fuzzily; that depends on arrival order and is left out.)
     """
     keys = ["entity_type", "raw_value"]
-    known = name_table(registry)
+    # Names are read by every step below: store them (normalised) once, however
+    # much work lies behind the mentions.
+    names = cut_lineage(names.withColumn("norm", normalize_name(F.col("raw_value"))))
+    known = cut_lineage(name_table(registry))
     exact = resolve_exact(names, registry)
     after_exact = names.join(exact, keys, "left_anti")
     same = resolve_normalized(after_exact, known)
-    remain = after_exact.join(same, keys, "left_anti").withColumn(
-        "norm", normalize_name(F.col("raw_value"))
-    )
+    remain = after_exact.join(same, keys, "left_anti")
     fuzzy = best_fuzzy(remain, known, method, tiers)
     tried = remain.join(fuzzy, ["entity_type", "norm"], "left")
     matched = tried.filter(F.col("canonical_id").isNotNull())

@@ -20,7 +20,7 @@ from signalbook.plans import insights as ins
 from signalbook.plans.analysis import full_analysis, scored_customers
 from signalbook.plans.intake import Run, document_run
 from signalbook.plans.questions import intent
-from signalbook.session import scratch_path
+from signalbook.session import cut_lineage, scratch_path
 from signalbook.sources import files, star, texts
 from signalbook.sources.replies import parse_replies
 from signalbook.sources.star import Tables
@@ -860,14 +860,15 @@ def resolve_normalized(t: Tables) -> DataFrame:
 def resolve_fuzzy_lev(t: Tables) -> DataFrame:
     """Best partner of every distinct normalised name by edit similarity."""
     norms = _service_names(t).select("entity_type", tx.normalize_name(F.col("raw_value")).alias("norm"))
-    return resolve.best_fuzzy(norms, resolve.name_table(texts.service_registry(t)), "levenshtein")
+    known = cut_lineage(resolve.name_table(texts.service_registry(t)))
+    return resolve.best_fuzzy(norms, known, "levenshtein")
 
 
 @query
 def resolve_fuzzy(t: Tables) -> DataFrame:
     """Best partner by common-subsequence similarity."""
     norms = _service_names(t).select("entity_type", tx.normalize_name(F.col("raw_value")).alias("norm"))
-    return resolve.best_fuzzy(norms, resolve.name_table(texts.service_registry(t)))
+    return resolve.best_fuzzy(norms, cut_lineage(resolve.name_table(texts.service_registry(t))))
 
 
 @query

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from signalbook.operators import resolve, staging
+from signalbook.session import cut_lineage
 
 
 @dataclass
@@ -40,10 +41,11 @@ def document_run(
     Extraction is row-local; only names go through resolution, and facts carry a
     short summary instead of the text, so no shuffle moves whole documents.
     """
-    extracted = staging.extract(documents)
+    # Every output reads the extraction: it is stored once, as the staging layer.
+    extracted = cut_lineage(staging.extract(documents))
     mentions = staging.customer_mentions(extracted)
     names = resolve.distinct_names(mentions, "seen_order")
-    decisions = resolve.resolve_names(names, registry, method, tiers)
+    decisions = cut_lineage(resolve.resolve_names(names, registry, method, tiers))
     log = resolve.resolve_mentions(mentions, decisions)
     known = staging.with_customer(extracted, decisions)
     return Run(

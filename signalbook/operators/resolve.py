@@ -237,7 +237,14 @@ def best_fuzzy(
     the others go on to the next tier.
     """
     keys = ["entity_type", "norm"]
-    rest, found = cut_lineage(norms.select(*keys).distinct()), None
+    # Scoring is costly and names are short: a fixed number of partitions keeps
+    # adaptive execution from merging the work into a few tasks by size.
+    spark = norms.sparkSession
+    parts = max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
+    )
+    rest = cut_lineage(norms.select(*keys).repartition(parts, *keys).distinct())
+    found = None
     for i, lowest in enumerate(tiers):
         best = (
             similar_names(rest, known, lowest, method)

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from signalbook.operators.series import series_stats, zscore_anomalies
 
@@ -47,7 +48,9 @@ def _batch_folder(target: str, batch_id: int) -> str:
 
 def stored(spark: SparkSession, target: str, schema, before_batch: int | None = None) -> DataFrame:
     """Rows of a target, optionally only those of earlier batches."""
-    rows = spark.read.schema(schema.add("batch_id", "bigint") if "batch_id" not in schema.fieldNames() else schema).parquet(target)
+    fields = [f for f in schema.fields if f.name != "batch_id"]
+    full = StructType([*fields, StructField("batch_id", LongType())])
+    rows = spark.read.schema(full).parquet(target)
     if before_batch is not None:
         rows = rows.filter(F.col("batch_id") < before_batch)
     return rows.drop("batch_id")

@@ -168,7 +168,7 @@ def scan_by_format(t: Tables) -> DataFrame:
 
 @query
 def text_pages(t: Tables) -> DataFrame:
-    return profile.text_pages(t.documents, "doc_id", lines_per_page=5)
+    return profile.text_pages(star.spread(t.documents), "doc_id", lines_per_page=5)
 
 
 @query
@@ -608,7 +608,7 @@ def ack_insights(t: Tables) -> DataFrame:
 def normalize_text(t: Tables) -> DataFrame:
     """Documents with tabs and CRLF put in, normalised again."""
     messy = F.replace(F.replace(F.col("text"), F.lit("\n"), F.lit("\r\n\r\n \t\r")), F.lit(", "), F.lit(",\t "))
-    return t.documents.select("doc_id", tx.normalize_text(messy).alias("text"))
+    return star.spread(t.documents).select("doc_id", tx.normalize_text(messy).alias("text"))
 
 
 @query

@@ -144,7 +144,7 @@ def service_mentions(t: Tables) -> DataFrame:
         .when(how == 8, F.concat_ws(" ", F.lit("Fresh"), word(F.concat(F.lit("f"), (supp % 20).cast("string")))))
         .otherwise(full)
     )
-    return t.lineitem.select(
+    return spread(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")).select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("document_id"),
         F.lit("service").alias("entity_type"),
         raw.alias("raw_value"),

@@ -5,10 +5,12 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from signalbook.plans import catalog
 from tests.compare import difference, duck, rows_of_duck, rows_of_spark
 
 FOLDER = os.environ.get("SF_DIR", "/root/testdata/sf0.001")
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES = {name: query for name, query in entry.queries().items() if name in catalog.CATALOG}
+SQL = {name: sql for name, sql in entry.oracle_sql().items() if name in QUERIES}
 
 
 @pytest.fixture(scope="module")

@@ -1,13 +1,12 @@
 """Exact duplicates by an extendible-hash index kept as files in the shared folder.
 
-The index has one entry per distinct key (64-bit hash of the normalised text).  Its directory starts
-with one bucket; as long as a bucket holds more than ``capacity`` keys the directory doubles and the
-overfull bucket splits on the next bit of the hash.  A bucket is therefore a range of keys; buckets
-are dealt out by range, and the task that owns a range works on it.  Keys that several rows share
-have their texts compared byte by byte and chained under the key, one link per different text.
-
-Copies are folded before every shuffle, so a text that a third of all rows share costs one row per
-task.  Only texts whose key occurs more than once are ever moved.
+The index has an entry per different text under its key, a 64-bit hash of the normalised text.  Its
+directory starts with one bucket; as long as a bucket holds more than ``capacity`` keys the directory
+doubles and the overfull bucket splits on the next bit of the hash.  A bucket is therefore a range of
+keys; buckets are dealt out by range and written, each range by the task that owns it.  Texts under
+one key are compared byte by byte: every different one is a link of the key's chain.
+
+Copies are folded before the shuffle, so a text that a third of all rows share moves once per task.
 """
 
 from __future__ import annotations
@@ -19,7 +18,7 @@ from signalbook.llm.common import ascii_lower, free_name, staged, text_of
 
 #: Keys in a bucket before it splits, and the most bits of the hash that the directory uses.
 BUCKET_KEYS = 100_000
-DIRECTORY_BITS = 20
+DIRECTORY_BITS = 16
 
 
 def directory(keys: DataFrame, capacity: int = BUCKET_KEYS, bits: int = DIRECTORY_BITS) -> DataFrame:
@@ -61,64 +60,42 @@ def exact_groups(
     Of repeated rows with the same id and text, all count in group_size and one is kept.  An empty
     table gives no rows; columns other than id and text are ignored.
     """
-    shift = max(key_bits - bits, 0)
-    text = ascii_lower(text_of(text_col))
-    source = docs.select(F.col(id_col).alias("doc_id"), text.alias("norm")).withColumn("key", _key(F.col("norm"), key_bits))
-    pages = staged(
-        source.select("doc_id", "key", F.sha2("norm", 256).alias("text_sha256"))
-        .groupBy("doc_id", "key", "text_sha256")
-        .agg(F.count(F.lit(1)).alias("rows")),
-        "exact-pages",
-    )
-    keys = (
-        pages.groupBy("key")
-        .agg(F.sum("rows").alias("rows"), F.max("doc_id").alias("keep_id"))
-        .withColumn("cell", F.shiftrightunsigned("key", shift))
+    norm = ascii_lower(text_of(text_col))
+    source = docs.select(F.col(id_col).alias("doc_id"), norm.alias("norm")).withColumn("key", _key(F.col("norm"), key_bits))
+    # Grouping by the text itself compares bytes; its digest then names the link of the chain.
+    links = staged(
+        source.groupBy("key", "norm")
+        .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        .select("key", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size"),
+        "exact-links",
     )
+    cell = F.shiftrightunsigned("key", max(key_bits - bits, 0))
+    buckets = directory(links.select("key").distinct().withColumn("cell", cell), capacity, bits)
     index = staged(
-        keys.join(directory(keys, capacity, bits), "cell")
+        links.withColumn("cell", cell)
+        .join(buckets, "cell")
+        .drop("cell")
         .repartitionByRange("bucket", "key")
-        .sortWithinPartitions("bucket", "key"),
+        .sortWithinPartitions("bucket", "key", "text_sha256"),
         "exact-index",
     )
-    # Chains: the different texts under a key that several rows have.
-    shared = source.join(index.where("rows > 1").select("key"), "key", "left_semi")
-    chains = staged(
-        shared.groupBy("key", "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")),
-        "exact-chains",
-    )
-    collided = staged(chains.groupBy("key").agg(F.count(F.lit(1)).alias("links")).where("links > 1"), "exact-collided")
-    single = pages.join(index.select("key", F.col("rows").alias("group_size"), "keep_id", "bucket", "depth"), "key").join(
-        collided.select("key"), "key", "left_anti"
+    rows = (
+        source.select("doc_id", "key", F.sha2("norm", 256).alias("text_sha256"))
+        .groupBy("doc_id", "key", "text_sha256")
+        .agg(F.count(F.lit(1)).alias("rows"))
     )
-    columns = ["doc_id", "keep_id", "group_size", "rows", "text_sha256", "bucket", "depth"]
-    found = single.select(*columns)
-    if not collided.isEmpty():
-        chained = (
-            source.join(collided.select("key"), "key", "left_semi")
-            .groupBy("doc_id", "key", "norm")
-            .agg(F.count(F.lit(1)).alias("rows"))
-            .join(chains, ["key", "norm"])
-            .join(index.select("key", "bucket", "depth"), "key")
-            .withColumn("text_sha256", F.sha2("norm", 256))
+    return (
+        rows.join(index, ["key", "text_sha256"])
+        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
+        .select(
+            "doc_id",
+            "keep_id",
+            "group_size",
+            (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"),
+            "text_sha256",
+            "bucket",
+            "depth",
         )
-        found = found.unionByName(chained.select(*columns))
-    return found.select(
-        "doc_id",
-        "keep_id",
-        F.col("group_size").cast("long").alias("group_size"),
-        F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("copy"),
-        "text_sha256",
-        "bucket",
-        "depth",
-    ).select(
-        "doc_id",
-        "keep_id",
-        "group_size",
-        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"),
-        "text_sha256",
-        "bucket",
-        "depth",
     )
 
 

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalbook.llm import exact, mixing
+from signalbook.llm import dialogue, exact, fingerprints, html_text, lines, mixing, pieces, quality, secrets, simhash
 from signalbook.llm.sql import SQL
+from signalbook.session import scratch_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,15 +22,86 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sampled segmentation of every document, and whether decoding gives the text back."""
+    return pieces.encode(_table(spark, sf_dir, "documents"), ids=False)
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines that more than a tenth of their source's documents hold."""
+    kept = lines.drop_boilerplate(_table(spark, sf_dir, "documents"), counts=("full_lines", "dropped_lines"))
+    return kept.select("doc_id", "source", "full_lines", "dropped_lines", "text")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents by the passage attention network."""
+    return quality.score_and_decide(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op5_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation from the perspective of each participant, segment by segment."""
+    return dialogue.rotate(_table(spark, sf_dir, "conversations"))
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Consistent weighted samples of every document and of its edited text."""
+    found = fingerprints.edited_fingerprints(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        fingerprints.printed(F.col("signature")).alias("fingerprint"),
+        fingerprints.printed(F.col("edited_signature")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of every page."""
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprints and the near-duplicate component of every document."""
+    groups = simhash.near_groups(_table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents equal up to the case of A-Z; the largest doc_id stays."""
     groups = exact.exact_groups(_table(spark, sf_dir, "documents"))
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document, scanned blob by blob into a new ledger."""
+    versions = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(versions, scratch_path(spark, "secret-ledger"))
+    base = [rule.kind for rule in secrets.BASE_RULES]
+    base_spans = F.filter("spans", lambda s: s["kind"].isin(base))
+    return found.select(
+        "doc_id",
+        *[secrets.count_of(F.col("spans"), kind).alias(f"n_{kind}") for kind in base],
+        F.sha2(secrets.span_list(base_spans), 256).alias("base_sha256"),
+        secrets.span_list(F.col("spans")).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_mix_sources": op1_mix_sources,
-    "op9_exact_dedup": op9_exact_dedup,
+    query.__name__: query
+    for query in (
+        op1_mix_sources,
+        op2_sentencepiece,
+        op3_line_dedup,
+        op4_quality,
+        op5_chat_perspectives,
+        op6_fingerprints,
+        op7_html_text,
+        op8_simhash,
+        op9_exact_dedup,
+        op10_secrets,
+    )
 }
 
 ORACLE: dict[str, str] = dict(SQL)

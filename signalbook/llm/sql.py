@@ -54,4 +54,52 @@ FROM normal
 WINDOW same AS (PARTITION BY norm)
 """
 
-SQL = {"op1_mix_sources": OP1, "op9_exact_dedup": OP9}
+OP3 = r"""
+WITH cut AS (
+    SELECT row_number() OVER () AS page, doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents
+), placed AS (
+    SELECT page, doc_id, source, unnest(lines) AS line, unnest(range(len(lines))) AS place FROM cut
+), sizes AS (
+    SELECT source, count(*) AS pages FROM documents GROUP BY source
+), bad AS (
+    SELECT p.source, trim(p.line) AS line
+    FROM placed p JOIN sizes s ON p.source IS NOT DISTINCT FROM s.source
+    WHERE trim(p.line) <> ''
+    GROUP BY p.source, trim(p.line), s.pages
+    HAVING count(DISTINCT page) >= 5 AND count(DISTINCT page) > 0.1::DOUBLE * s.pages
+), marked AS (
+    SELECT p.page, p.line, p.place, trim(p.line) <> '' AS full_line, b.line IS NOT NULL AS gone
+    FROM placed p LEFT JOIN bad b ON p.source IS NOT DISTINCT FROM b.source AND trim(p.line) = b.line
+), joined AS (
+    SELECT page, count(*) FILTER (full_line) AS full_lines, count(*) FILTER (gone) AS dropped_lines,
+        string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone) AS text
+    FROM marked GROUP BY page
+)
+SELECT c.doc_id, c.source, coalesce(j.full_lines, 0) AS full_lines, coalesce(j.dropped_lines, 0) AS dropped_lines,
+    CASE WHEN c.text IS NOT NULL THEN coalesce(j.text, '') END AS text
+FROM cut c LEFT JOIN joined j ON c.page = j.page
+"""
+
+OP5 = r"""
+WITH said AS (
+    SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations
+), people AS (
+    SELECT DISTINCT conv_id, role AS perspective FROM said WHERE role <> 'system'
+), seen AS (
+    SELECT s.conv_id, p.perspective, s.turn, s.role AS speaker, s.text,
+        CASE WHEN s.role = 'system' THEN '<|system|>' WHEN s.role = p.perspective THEN '<|assistant|>'
+            ELSE '<|user:' || s.role || '|>' END || chr(10) AS head,
+        s.text || '<|end|>' || chr(10) AS body
+    FROM said s JOIN people p ON s.conv_id IS NOT DISTINCT FROM p.conv_id
+), placed AS (
+    SELECT *, row_number() OVER talk - 1 AS place, (sum(length(head) + length(body)) OVER talk - length(head) - length(body))::BIGINT AS start
+    FROM seen
+    WINDOW talk AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS LAST, speaker, text ROWS UNBOUNDED PRECEDING)
+)
+SELECT conv_id, perspective, turn, place, speaker, head, body, start,
+    CASE WHEN speaker = perspective THEN start + length(head) END AS mask_start,
+    CASE WHEN speaker = perspective THEN start + length(head) + length(body) END AS mask_end
+FROM placed
+"""
+
+SQL = {"op3_line_dedup": OP3, "op5_chat_perspectives": OP5, "op1_mix_sources": OP1, "op9_exact_dedup": OP9}

@@ -13,9 +13,10 @@ sum of the larger ones.  Terms are words, weights are their counts.  The kept ln
 
 from __future__ import annotations
 
+import json
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from signalbook.llm.common import staged, text_of, words
@@ -39,19 +40,21 @@ def gamma_quantile(p: float) -> float:
     return (low + high) / 2
 
 
-def _table(values: list[float]) -> Column:
-    return F.expr("array(" + ",".join(f"{v!r}D" for v in values) + ")")
+def _tables(spark: SparkSession) -> dict[str, Column]:
+    """Quantiles of r, logarithms of those of c and of c's lowest quantile, by column name.
 
-
-def _tables() -> tuple[Column, Column, Column]:
+    Each is a one-row subquery: a constant of fixed size that generated code reads as an array.
+    """
     gamma = [gamma_quantile((i + 0.5) / QUANTILES) for i in range(QUANTILES)]
     tail = [gamma_quantile((i + 0.5) / QUANTILES**2) for i in range(QUANTILES)]
-    return _table(gamma), _table([math.log(x) for x in gamma]), _table([math.log(x) for x in tail])
+    tables = {"r_table": gamma, "log_c": [math.log(x) for x in gamma], "log_c_tail": [math.log(x) for x in tail]}
+    constant = lambda values: F.from_json(F.lit(json.dumps(values)), "array<double>")
+    return {name: spark.range(1).select(constant(values)).scalar() for name, values in tables.items()}
 
 
-def _sample(i: int, term: Column, log_weight: Column, tables: tuple[Column, Column, Column]) -> Column:
+def _sample(i: int) -> Column:
     """The smallest ln a of the group for sample ``i``."""
-    r_table, log_c, log_c_tail = tables
+    term, log_weight, r_table, log_c, log_c_tail = map(F.col, ("term", "log_weight", "r_table", "log_c", "log_c_tail"))
     h = F.xxhash64(term, F.lit(i))
     cut = lambda shift: F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(QUANTILES - 1)).cast("int")
     r = F.get(r_table, cut(0))
@@ -75,9 +78,9 @@ def signatures(texts: DataFrame, keys: list[str], samples: int = SAMPLES) -> Dat
         .groupBy(*keys, "term")
         .agg(F.count(F.lit(1)).alias("n"))
         .select(*keys, "term", F.when(F.col("n") == 1, F.lit(0.0)).otherwise(F.log(F.col("n"))).alias("log_weight"))
+        .withColumns(_tables(texts.sparkSession))
     )
-    tables = _tables()
-    least = terms.groupBy(*keys).agg(*[_sample(i, F.col("term"), F.col("log_weight"), tables) for i in range(samples)], F.count("term").alias("terms"))
+    least = terms.groupBy(*keys).agg(*[_sample(i) for i in range(samples)], F.count("term").alias("terms"))
     short = [F.xxhash64(f"m{i}").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int") for i in range(samples)]
     return least.select(
         *keys, F.when(F.col("terms") > 0, F.array(*short)).otherwise(F.array(*[F.lit(0)] * samples)).alias("signature")

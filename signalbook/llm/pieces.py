@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from signalbook.llm.common import by_value
 
@@ -297,7 +298,7 @@ def decoded(encoded: DataFrame, model_file: str = MODEL) -> DataFrame:
             texts = pa.array([decode(ids or [], voc) for ids in batch.column("pieces").to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, "text"])
 
-    return kept.mapInArrow(run, kept.schema.add("text", "string"))
+    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField("text", StringType())]))
 
 
 by_value(__name__)

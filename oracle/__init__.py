@@ -34,6 +34,8 @@ add("scan_csv_profile", _profile({
     "o_orderstatus": "CASE WHEN o_orderkey % 7 <> 0 THEN o_orderstatus END",
     "o_orderpriority": "CASE WHEN o_orderkey % 11 <> 0 THEN o_orderpriority END",
     "o_orderdate": "strftime(o_orderdate, '%Y-%m-%d')",
+    "o_custkey": "o_custkey",
+    "o_totalprice": "CAST(o_totalprice AS DECIMAL(14,2))",
 }, "orders", True))
 add("column_profile", _profile({
     "o_orderkey": "o_orderkey", "o_custkey": "o_custkey",
@@ -42,7 +44,8 @@ add("column_profile", _profile({
     "o_totalprice": "CAST(o_totalprice AS DECIMAL(14,2))",
 }, "orders", False))
 add("scan_by_format", " UNION ALL ".join(f"""
-    SELECT '{k}' AS format, count(*) AS n_rows, count(text) AS n_texts, count(DISTINCT lang) AS n_langs, sum(length(text)) AS n_chars FROM documents"""
+    SELECT '{k}' AS format, count(*) AS n_rows, count(text) AS n_texts, count(DISTINCT lang) AS n_langs, sum(length(text)) AS n_chars,
+        count(DISTINCT doc_id) AS n_ids, count(DISTINCT source) AS n_sources, CAST(sum(n_chars) AS BIGINT) AS stated_chars FROM documents"""
     for k in ("csv", "json", "parquet")))
 add("text_pages", r"""
     SELECT doc_id, len(lines) AS line_count, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS word_count,
@@ -56,15 +59,19 @@ add("rows_to_text", """
                  row_number() OVER (PARTITION BY strftime(o_orderdate, '%Y-%m') ORDER BY o_orderkey) AS n,
                  concat_ws(' | ', 'o_orderkey: ' || o_orderkey, 'o_custkey: ' || o_custkey,
                    CASE WHEN o_orderkey % 5 > 0 THEN 'o_orderstatus: ' || o_orderstatus END,
-                   CASE WHEN o_orderkey % 6 > 0 THEN 'o_orderpriority: ' || o_orderpriority END) AS line FROM orders)
+                   CASE WHEN o_orderkey % 6 > 0 THEN 'o_orderpriority: ' || o_orderpriority END,
+                   'o_totalprice: ' || CAST(o_totalprice AS DECIMAL(14,2)), 'o_orderdate: ' || strftime(o_orderdate, '%Y-%m-%d')) AS line FROM orders)
     GROUP BY 1, 2""")
 add("duplicate_rows", """
-    SELECT count(*) AS row_count, 2 AS column_count, 'l_orderkey,l_linenumber' AS columns,
-           count(*) - count(DISTINCT (l_orderkey, l_linenumber)) AS duplicate_rows FROM lineitem""")
+    WITH every AS (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_orderkey % 3 = 0)
+    SELECT CAST((SELECT count(*) FROM every) AS BIGINT) AS row_count, 11 AS column_count,
+           'l_orderkey,l_partkey,l_suppkey,l_linenumber,l_quantity,l_extendedprice,l_discount,l_tax,l_returnflag,l_linestatus,l_shipdate' AS columns,
+           CAST((SELECT count(*) FROM every) - (SELECT count(*) FROM (SELECT DISTINCT * FROM every)) AS BIGINT) AS duplicate_rows""")
 add("raw_records", """
     SELECT strftime(o_orderdate, '%Y-%m') AS document_id,
            row_number() OVER (PARTITION BY strftime(o_orderdate, '%Y-%m') ORDER BY o_orderkey) AS row_number,
-           CAST(to_json({'o_orderkey': CAST(o_orderkey AS VARCHAR), 'o_custkey': CAST(o_custkey AS VARCHAR), 'o_orderstatus': o_orderstatus, 'o_orderpriority': o_orderpriority}) AS VARCHAR) AS raw_data
+           CAST(to_json({'o_orderkey': CAST(o_orderkey AS VARCHAR), 'o_custkey': CAST(o_custkey AS VARCHAR), 'o_orderstatus': o_orderstatus, 'o_orderpriority': o_orderpriority,
+               'o_totalprice': CAST(CAST(o_totalprice AS DECIMAL(14,2)) AS VARCHAR), 'o_orderdate': strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')}) AS VARCHAR) AS raw_data
     FROM orders""")
 add("dedup_by_hash", """
     SELECT sha256(text) AS content_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1""")
@@ -95,7 +102,7 @@ add("document_list", f"""
            'completed' AS status, {stamp("TIMESTAMP '2024-01-01' + to_minutes(doc_id)")} AS created_at, count(*) OVER () AS total
     FROM documents WHERE lang = 'en' AND doc_id % 4 < 2 ORDER BY doc_id DESC LIMIT 20""")
 add("job_list", f"""
-    SELECT md5('job|DOC-' || lpad(CAST(doc_id AS VARCHAR), 9, '0')) AS job_id, 'DOC-' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS document_id, 'failed' AS status,
+    SELECT {sid("'job'", "'DOC-' || lpad(CAST(doc_id AS VARCHAR), 9, '0')")} AS job_id, 'DOC-' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS document_id, 'failed' AS status,
            {stamp("TIMESTAMP '2024-01-01' + to_minutes(doc_id)")} AS created_at, count(*) OVER () AS total
     FROM documents WHERE doc_id % 4 = 3 ORDER BY doc_id DESC LIMIT 20 OFFSET 40""")
 cte("weak", ["text_fields"], f"""
@@ -103,7 +110,7 @@ cte("weak", ["text_fields"], f"""
            'Field ''' || f.f || ''' extracted with ' || CAST(CAST(round(CAST(f.c AS DECIMAL(10,4)) * 100, 0) AS INTEGER) AS VARCHAR) || '% confidence' AS description,
            f.v AS current_value, CAST(NULL AS VARCHAR) AS suggested_value, f.c AS confidence, CASE WHEN f.c < 0.5 THEN 'high' ELSE 'medium' END AS priority
     FROM text_fields WHERE f.c < 0.65""")
-cte("weak_items", ["weak"], "SELECT md5(item_type || '|' || document_id || '|' || title) AS item_id, *, 'pending' AS status FROM weak")
+cte("weak_items", ["weak"], f"SELECT {sid('item_type', 'document_id', 'title')} AS item_id, *, 'pending' AS status FROM weak")
 add("review_list", """
     SELECT item_id, item_type, title, description, confidence, priority, count(*) OVER () AS total FROM weak_items ORDER BY priority, confidence, item_id LIMIT 20""", ["weak_items"])
 add("anomaly_list", f"""
@@ -214,10 +221,10 @@ add("apply_review_actions", f"""
     SELECT i.item_id, coalesce(a.action, i.status) AS status, {stamp('acted_at')} AS reviewed_at, reviewer AS reviewed_by, note AS resolution_note, edited_value
     FROM weak_items i LEFT JOIN (SELECT * FROM actions WHERE action <> 'vanished' QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY acted_at DESC) = 1) a USING (item_id)""", ["actions"])
 add("rejected_review_actions", "SELECT item_id, action, 'invalid action' AS reason FROM actions WHERE action = 'vanished'", ["actions"])
-add("ack_insights", """
+add("ack_insights", f"""
     SELECT insight_id, entity_id, CASE WHEN substr(insight_id, 1, 1) < '8' THEN 'acknowledged' ELSE 'active' END AS status,
            CASE WHEN substr(insight_id, 1, 1) < '8' THEN '2000-01-02 09:00:00' END AS acknowledged_at, CASE WHEN substr(insight_id, 1, 1) < '8' THEN 'ana' END AS acknowledged_by
-    FROM (SELECT md5('risk|' || customer_id) AS insight_id, CAST(customer_id AS VARCHAR) AS entity_id FROM health WHERE risk_level <> 'LOW' OR trend = 'DETERIORATING')""", ["health"])
+    FROM (SELECT {sid("'risk'", 'customer_id')} AS insight_id, CAST(customer_id AS VARCHAR) AS entity_id FROM health WHERE risk_level <> 'LOW' OR trend = 'DETERIORATING')""", ["health"])
 
 # --- text functions ---------------------------------------------------------------------------------
 
@@ -237,7 +244,7 @@ _messy = r"replace(replace(text, chr(10), chr(13) || chr(10) || chr(13) || chr(1
 _clean = rf"regexp_replace(regexp_replace(regexp_replace({_decomposed(_messy)}, '[ \t]+', ' ', 'g'), '\r\n?', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')"
 add("normalize_text", rf"SELECT doc_id, regexp_replace(regexp_replace({_clean}, '^\s+', ''), '\s+$', '') AS text FROM documents")
 _ascii = f"regexp_replace({_decomposed('raw')}, '[^\\x00-\\x7F]', '', 'g')"
-add("normalize_name", f"SELECT doc_id, {name_norm(_ascii)} AS name FROM (SELECT doc_id, substr(text, 1, 24) || ' Co., LTD. ' || source || ' (Inc)' AS raw FROM documents)")
+add("normalize_name", f"SELECT doc_id, {name_norm(_ascii)} AS name FROM (SELECT doc_id, text || ' Co., LTD. ' || source || ' (Inc)' AS raw FROM documents)")
 _shapes = ["%Y-%m-%d", "%-d/%-m/%Y", "%m/%d/%Y", "%d-%m-%Y", "%-m-%-d-%Y", "%B %-d, %Y", "%b %-d, %Y", "%-d %B %Y", "%d %b %Y", "%Y/%m/%d"]
 _written = "CASE o_orderkey % 11 " + " ".join(f"WHEN {i} THEN strftime(o_orderdate, '{s}')" for i, s in enumerate(_shapes)) + " ELSE 'soon' END"
 _parse = ["%Y-%m-%d", "%d/%m/%Y", "%m/%d/%Y", "%d-%m-%Y", "%m-%d-%Y", "%B %d, %Y", "%b %d, %Y", "%d %B %Y", "%d %b %Y", "%Y/%m/%d"]
@@ -261,12 +268,12 @@ add("sentiment", f"SELECT document_id, {_l} AS label, {_c} AS confidence, {_s} A
 add("sentiment_documents", f"SELECT doc_id, {_l} AS label, {_c} AS confidence, {_s} AS score FROM (SELECT doc_id, {hits('text', _catalog.CORPUS_POSITIVE)} AS good, {hits('text', _catalog.CORPUS_NEGATIVE)} AS bad FROM documents)")
 add("detect_severity", f"SELECT document_id, coalesce(lv, 'medium') AS level, CASE WHEN lv IS NULL THEN 0.55 ELSE 0.82 END AS confidence FROM (SELECT document_id, {severity_level('text')} AS lv FROM texts)", ["texts"])
 add("topics_of_text", f"SELECT document_id, {joined(topic_list('text'), ',')} AS topics FROM texts", ["texts"])
-_ct = topic_list("text", _catalog.CORPUS_TOPICS, 2)
+_ct = topic_list("text", _catalog.CORPUS_TOPICS)
 add("topics_of_documents", f"SELECT doc_id, {joined('tp', ',')} AS topics, coalesce(tp[1], 'general') AS category FROM (SELECT doc_id, {_ct} AS tp FROM documents)")
 add("classify_document", f"SELECT document_id, coalesce(({topic_list('text')})[1], 'general') AS category, 0.78 AS confidence, coalesce({severity_level('text')}, 'medium') AS severity FROM texts", ["texts"])
 add("extract_customer", f"SELECT document_id, {customer_expr('text')} AS customer_name FROM texts", ["texts"])
 add("extract_dates", f"SELECT document_id, {joined('dates')} AS dates FROM read_texts", ["read_texts"])
-add("extract_money", f"SELECT document_id, {joined(extract_all('text', fv.MONEY_PATTERN) + '[1:5]')} AS money, {joined(extract_all('text', fv.STRICT_MONEY_PATTERN) + '[1:5]')} AS money_strict FROM texts", ["texts"])
+add("extract_money", f"SELECT document_id, {joined(extract_all('text', fv.MONEY_PATTERN))} AS money, {joined(extract_all('text', fv.STRICT_MONEY_PATTERN))} AS money_strict FROM texts", ["texts"])
 add("extract_contact", f"SELECT document_id, {first('text', fv.TICKET_PATTERN, 1)} AS ticket_number, {first('text', fv.EMAIL_PATTERN, 0)} AS email FROM texts", ["texts"])
 add("extract_email_documents", r"SELECT doc_id, nullif(regexp_extract(text, '[\p{L}\p{M}\p{N}_.+-]+@[\p{L}\p{M}\p{N}_-]+\.[a-zA-Z]{2,}', 0), '') AS email FROM documents")
 add("extract_ops", f"SELECT document_id, {first('text', fv.INCIDENT_PATTERN, 1)} AS incident_number, {downtime_expr('text')} AS downtime_minutes FROM texts", ["texts"])
@@ -294,17 +301,17 @@ cte("ambiguous", ["text_mentions", "t_decisions"], """
            'May match ''' || canonical_name || ''' (confidence: ' || CAST(CAST(round(CAST(confidence AS DECIMAL(10,4)) * 100, 0) AS INTEGER) AS VARCHAR) || '%)' AS description,
            raw_value AS current_value, canonical_id AS suggested_value, confidence, 'medium' AS priority
     FROM text_mentions JOIN t_decisions USING (entity_type, raw_value) WHERE requires_review""")
-add("review_items", """
-    SELECT md5(item_type || '|' || document_id || '|' || title) AS item_id, *, 'pending' AS status FROM (SELECT * FROM weak UNION ALL SELECT * FROM ambiguous)""", ["weak", "ambiguous"])
+add("review_items", f"""
+    SELECT {sid('item_type', 'document_id', 'title')} AS item_id, *, 'pending' AS status FROM (SELECT * FROM weak UNION ALL SELECT * FROM ambiguous)""", ["weak", "ambiguous"])
 add("ticket_facts", f"""
     SELECT ticket_number, document_id, {stamp('arrived_at')} AS arrived_at, customer_code, document_id AS title, severity AS priority, severity, 'open' AS status, category, subcategory,
            sentiment, sentiment_score, {joined('topics', ',')} AS tags, subcategory AS root_cause_category, overall_confidence AS extraction_confidence
-    FROM (SELECT * REPLACE (coalesce(ticket_number, 'TK-AUTO-' || upper(substr(md5(document_id), 1, 8))) AS ticket_number) FROM with_customer WHERE domain = 'customer_intelligence') w
+    FROM (SELECT * REPLACE (coalesce(ticket_number, 'TK-AUTO-' || upper(md5(document_id))) AS ticket_number) FROM with_customer WHERE domain = 'customer_intelligence') w
     QUALIFY row_number() OVER (PARTITION BY ticket_number ORDER BY w.arrived_at, document_id) = 1""", ["with_customer"])
 _incidents = f"""
     SELECT incident_number, document_id, {stamp('arrived_at')} AS arrived_at, document_id AS title, severity, 'open' AS status, category, subcategory,
            nullif(CAST(downtime AS DOUBLE), 0) AS downtime_minutes, subcategory AS root_cause_category, false AS sla_breached, overall_confidence AS extraction_confidence
-    FROM (SELECT * REPLACE (coalesce(incident_number, 'INC-AUTO-' || upper(substr(md5(document_id), 1, 8))) AS incident_number) FROM extracted WHERE domain = 'it_operations') w
+    FROM (SELECT * REPLACE (coalesce(incident_number, 'INC-AUTO-' || upper(md5(document_id))) AS incident_number) FROM extracted WHERE domain = 'it_operations') w
     QUALIFY row_number() OVER (PARTITION BY incident_number ORDER BY w.arrived_at, document_id) = 1"""
 cte("text_incidents", ["extracted"], _incidents)
 add("incident_facts", "SELECT * FROM text_incidents", ["text_incidents"])
@@ -314,7 +321,7 @@ add("contract_facts", f"""
     FROM with_customer w WHERE domain = 'document_contract' AND contract_number IS NOT NULL
     QUALIFY row_number() OVER (PARTITION BY contract_number ORDER BY w.arrived_at, document_id) = 1""", ["with_customer"])
 add("feedback_facts", f"""
-    SELECT md5('feedback|' || document_id) AS feedback_id, document_id, customer_code, domain AS feedback_type, substr(summary, 1, 2000) AS raw_text, sentiment, sentiment_score,
+    SELECT {sid("'feedback'", 'document_id')} AS feedback_id, document_id, customer_code, domain AS feedback_type, summary AS raw_text, sentiment, sentiment_score,
            {joined('topics', ',')} AS topics, {joined('key_phrases', ',')} AS key_phrases, overall_confidence AS extraction_confidence FROM with_customer""", ["with_customer"])
 add("labelled_feedback", """
     SELECT source AS feedback_type, CASE WHEN toxic = 1 THEN 'negative' WHEN quality = 1 THEN 'positive' ELSE 'neutral' END AS sentiment, count(*) AS records, sum(length(text)) AS n_chars
@@ -323,8 +330,8 @@ add("run_summary", f"""
     SELECT domain, sentiment, count(*) AS documents, count(*) AS pages, sum(word_count) AS words,
            sum(n_fields + len(dates) + len(money) + CASE WHEN customer_name IS NULL THEN 0 ELSE 1 END) AS entities_extracted, count(*) FILTER (len(topics) > 0) AS with_topics,
            {rnd('CAST(sum(CAST(overall_confidence AS DECIMAL(10,2))) AS DOUBLE) / count(*)', 2)} AS confidence FROM extracted GROUP BY 1, 2""", ["extracted"])
-add("provenance_links", """
-    SELECT md5('fact_incident|' || incident_number || '|' || entity_type) AS link_id, document_id, 'fact_incident' AS target_table, incident_number AS target_id, entity_type AS field_name,
+add("provenance_links", f"""
+    SELECT {sid("'fact_incident'", 'incident_number', 'entity_type')} AS link_id, document_id, 'fact_incident' AS target_table, incident_number AS target_id, entity_type AS field_name,
            source_page, char_start, char_end, confidence FROM text_incidents JOIN staged USING (document_id) WHERE origin = 'field'""", ["text_incidents", "staged"])
 
 # --- entity resolution -----------------------------------------------------------------------------------------
@@ -414,7 +421,7 @@ _none = "CAST(NULL AS VARCHAR)"
 _why = fv.HEALTH_TEXT
 cte("i_health", ["health"], f"""
     SELECT {_COLUMNS} {_PRIORITY} AS priority_score, {_TAIL} '2000-01-01 00:00:00' AS created_at FROM (
-    SELECT md5('risk|' || customer_id) AS insight_id, 'risk' AS insight_type, 'Customer Health Deterioration: ' || name AS title,
+    SELECT {sid("'risk'", 'customer_id')} AS insight_id, 'risk' AS insight_type, 'Customer Health Deterioration: ' || name AS title,
            name || ' shows a health score of ' || health_score || '/100 — ' || risk_level || ' risk.' AS description,
            name || ' has a health score of ' || health_score || '/100 with a ''' || risk_level || ''' risk level. The account is ' || lower(trend) || '.' AS what_happened,
            {q(_why['why_start'])} || CASE WHEN revenue_at_risk > 0 THEN 'Estimated $' || {grouped_text('revenue_at_risk')} || ' in contract value is at risk. ' ELSE '' END || {q(_why['why_end'])} AS why_it_matters,
@@ -435,7 +442,7 @@ _topic = "(upper(substr(topic, 1, 1)) || substr(topic, 2))"
 def _emerging(source: str, created: str) -> str:
     return f"""
     SELECT {_COLUMNS} {_PRIORITY} AS priority_score, {_TAIL} '{created}' AS created_at FROM (
-    SELECT md5('emerging_issue|' || {_topic}) AS insight_id, 'emerging_issue' AS insight_type, 'Emerging Issue: ' || {_topic} || ' Complaints Spike' AS title,
+    SELECT {sid("'emerging_issue'", _topic)} AS insight_id, 'emerging_issue' AS insight_type, 'Emerging Issue: ' || {_topic} || ' Complaints Spike' AS title,
            {_topic} || ' complaints have increased by ' || {_pct} || '% compared to the previous period.' AS description,
            'Reports mentioning ''' || {_topic} || ''' increased from ' || previous_count || ' to ' || current_count || ' records — a ' || {_pct} || '% ' || CASE WHEN pct_change > 100 THEN 'surge' ELSE 'increase' END || '.' AS what_happened,
            replace({q(fv.EMERGING_TEXT['why_it_matters'])}, '%s', {_topic}) AS why_it_matters, replace({q(fv.EMERGING_TEXT['action'])}, '%s', {_topic}) AS recommended_action,
@@ -452,7 +459,7 @@ cte("i_emerging_5", ["emerging"], _emerging("(SELECT * FROM emerging ORDER BY pc
 def _root(source: str) -> str:
     return f"""
     SELECT {_COLUMNS} {_PRIORITY} AS priority_score, {_TAIL} '2000-01-01 00:00:00' AS created_at FROM (
-    SELECT md5('root_cause|' || category) AS insight_id, 'root_cause' AS insight_type, 'Recurring Pattern: ' || category AS title,
+    SELECT {sid("'root_cause'", 'category')} AS insight_id, 'root_cause' AS insight_type, 'Recurring Pattern: ' || category AS title,
            incident_count || ' incidents in category ' || category || ' with potential root cause: ' || potential_root_cause AS description,
            incident_count || ' incidents have occurred in the ''' || category || ''' category.' AS what_happened, {q(fv.ROOT_CAUSE_TEXT['why_it_matters'])} AS why_it_matters,
            'Conduct a root cause analysis session for ' || category || CASE WHEN has_hypothesis THEN '. Potential hypothesis: ' || potential_root_cause ELSE '. Insufficient evidence for hypothesis — gather more data.' END AS recommended_action,
@@ -469,7 +476,7 @@ _spent = fixed("resolution_hours", 1)
 _allowed = even_text("sla_hours")
 cte("i_sla", ["fact_ticket", "dim_customer"], f"""
     SELECT {_COLUMNS} {_PRIORITY} AS priority_score, {_TAIL} '2000-01-01 00:00:00' AS created_at FROM (
-    SELECT md5('sla_risk|' || ticket_id) AS insight_id, 'sla_risk' AS insight_type, 'SLA Breach Risk: Ticket ' || ticket_number AS title,
+    SELECT {sid("'sla_risk'", 'ticket_id')} AS insight_id, 'sla_risk' AS insight_type, 'SLA Breach Risk: Ticket ' || ticket_number AS title,
            'Ticket ' || ticket_number || ' for ' || name || ' has ' || {even_text('p * 100')} || '% probability of SLA breach.' AS description,
            'Ticket ' || ticket_number || ' (Priority: ' || t.severity || ') has been open for ' || {_spent} || ' hours. SLA target is ' || {_allowed} || ' hours, leaving ' || {_left} || ' hours.' AS what_happened,
            'An SLA breach for a ' || t.severity || ' ticket from ' || name || ' could trigger contract penalties and damage the customer relationship.' AS why_it_matters,
@@ -521,8 +528,8 @@ add("dq_summary", f"""
            sum(total_records) AS total_records_assessed, sum(invalid_records) AS total_invalid_records, sum(duplicate_records) AS total_duplicate_records FROM dq_reports""", ["dq_reports"])
 _null = "CAST(NULL AS VARCHAR)"
 _issue_parts = [f"SELECT 'missing_critical_field' AS kind, {_null} AS row_id, '{f}' AS field, {_null} AS value, {_null} AS message, count(*) AS affected_records FROM dirty WHERE coalesce({f}, '') = '' HAVING count(*) > 0" for f in _crit]
-_issue_parts += [f"SELECT 'invalid_value', row_id, '{c}', substr({c}, 1, 50), {q(fv.VALIDITY_RULES[_bad[c]][1])}, NULL FROM dirty WHERE {w}" for c, w in _wrong.items()]
-_issue_parts += [f"SELECT 'duplicate_record', NULL, NULL, substr(k, 1, 100), NULL, count(*) - 1 FROM (SELECT {_key} AS k FROM dirty) WHERE k <> '' GROUP BY k HAVING count(*) > 1",
+_issue_parts += [f"SELECT 'invalid_value', row_id, '{c}', {c}, {q(fv.VALIDITY_RULES[_bad[c]][1])}, NULL FROM dirty WHERE {w}" for c, w in _wrong.items()]
+_issue_parts += [f"SELECT 'duplicate_record', NULL, NULL, k, NULL, count(*) - 1 FROM (SELECT {_key} AS k FROM dirty) WHERE k <> '' GROUP BY k HAVING count(*) > 1",
                  f"SELECT 'date_ordering', row_id, NULL, NULL, 'start_date > end_date: ' || created_date || ' > ' || resolved_date, NULL FROM dirty WHERE {_order}"]
 add("dq_issues", " UNION ALL ".join(_issue_parts), ["dirty"])
 _fields = ["ticket_number", "customer_name", "priority", "status", "created_date", "resolved_date", "customer_email", "amount_currency", "updated_at"]

@@ -44,6 +44,12 @@ def word(seed: str, start: int = 1) -> str:
     return f"(upper(substr({w}, 1, 1)) || substr({w}, 2))"
 
 
+def sid(*parts: str) -> str:
+    """Id of a business key: every part with its length, a null as a dash."""
+    marked = ", ".join(f"coalesce(length(CAST({p} AS VARCHAR)) || ':' || CAST({p} AS VARCHAR), '-')" for p in parts)
+    return f"md5(concat_ws('|', {marked}))"
+
+
 def pick(options, key: str) -> str:
     return f"({sql_list(options)})[CAST(({key}) % {len(options)} AS INTEGER) + 1]"
 
@@ -69,10 +75,10 @@ def severity_norm(expr: str) -> str:
 
 URGENCY = "split_part(o_orderpriority, '-', 2)"
 TARGET = f"CASE {URGENCY} WHEN 'URGENT' THEN 24 WHEN 'HIGH' THEN 36 WHEN 'MEDIUM' THEN 42 ELSE 48 END"
-LINE_ID = (
-    "md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, "
-    + ", ".join(f"CAST(CAST({c} AS DECIMAL(14,2)) AS VARCHAR)" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax"))
-    + ", l_returnflag, l_linestatus, strftime(l_shipdate, '%Y-%m-%d')))"
+LINE_ID = sid(
+    "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+    *[f"CAST({c} AS DECIMAL(14,2))" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")],
+    "l_returnflag", "l_linestatus", "strftime(l_shipdate, '%Y-%m-%d')",
 )
 
 CTES: dict[str, tuple[list[str], str]] = {}
@@ -315,9 +321,9 @@ def severity_level(text: str) -> str:
         f"WHEN {hits(text, ks)} > 0 THEN '{lv}'" for lv, ks in fv.SEVERITY_KEYWORDS.items()) + " END"
 
 
-def topic_list(text: str, patterns=fv.TOPIC_PATTERNS, keep: int = 5) -> str:
+def topic_list(text: str, patterns=fv.TOPIC_PATTERNS) -> str:
     items = ", ".join(f"CASE WHEN {hits(text, ps)} > 0 THEN {q(n)} END" for n, ps in patterns.items())
-    return f"list_filter([{items}], lambda x: x IS NOT NULL)[1:{keep}]"
+    return f"list_filter([{items}], lambda x: x IS NOT NULL)"
 
 
 def issue_struct(text: str) -> str:
@@ -368,10 +374,10 @@ cte("read_texts", ["texts"], f"""
     SELECT *, {_label} AS sentiment, {_conf} AS s_conf, {_score} AS sentiment_score,
            coalesce(lv, 'medium') AS severity, CASE WHEN lv IS NULL THEN 0.55 ELSE 0.82 END AS v_conf,
            CASE WHEN issue.h > 0 THEN issue.c ELSE 'GENERAL' END AS category, CASE WHEN issue.h > 0 THEN issue.s ELSE 'OTHER' END AS subcategory,
-           list_filter(ds, lambda x, i: list_position(ds, x) = i)[1:5] AS dates
+           list_filter(ds, lambda x, i: list_position(ds, x) = i) AS dates
     FROM (SELECT *, {hits('text', fv.POSITIVE_WORDS)} AS good, {hits('text', fv.NEGATIVE_WORDS)} AS bad, {severity_level('text')} AS lv,
                  {topic_list('text')} AS topics, {issue_struct('text')} AS issue, {customer_expr('text')} AS customer_name,
-                 {dates_expr('text')} AS ds, {extract_all('text', fv.MONEY_PATTERN)}[1:5] AS money,
+                 {dates_expr('text')} AS ds, {extract_all('text', fv.MONEY_PATTERN)} AS money,
                  {extract_all('text', fv.KEY_PHRASE_PATTERN)} AS kp
           FROM texts)""")
 
@@ -400,7 +406,7 @@ SUMMARY = (
 
 cte("extracted", ["read_texts", "text_conf"], f"""
     SELECT r.*, c.* EXCLUDE (document_id), {SUMMARY} AS summary,
-           list_filter(kp, lambda x, i: list_position(kp, x) = i)[1:10] AS key_phrases,
+           list_filter(kp, lambda x, i: list_position(kp, x) = i) AS key_phrases,
            len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS word_count
     FROM read_texts r JOIN text_conf c USING (document_id)""")
 
@@ -436,7 +442,7 @@ def resolution(prefix: str, names: str, registry: str, needs_names: list[str], n
     SELECT *, {name_norm('raw_value')} AS norm FROM {names}
     WHERE raw_value NOT IN (SELECT raw_value FROM {p}exact) AND raw_value NOT IN (SELECT raw_value FROM {p}same)""")
     cte(f"{p}fuzzy", [f"{p}rest"], fuzzy_sql(f"{p}rest", f"{p}known"))
-    new_id = f"{case_map(fv.ENTITY_PREFIXES, 'entity_type', q('ENT'))} || '_' || upper(substr(md5(CASE WHEN norm <> '' THEN norm ELSE lower(raw_value) END), 1, 8))"
+    new_id = f"{case_map(fv.ENTITY_PREFIXES, 'entity_type', q('ENT'))} || '_' || upper({sid('entity_type', "CASE WHEN norm <> '' THEN norm ELSE lower(raw_value) END")})"
     bands = fv.FUZZY_BANDS
     part = lambda i: "CASE " + " ".join(
         f"WHEN score >= {b[0]} THEN {q(b[i]) if isinstance(b[i], str) else str(b[i]).lower()}" for b in bands) + " END"

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from signalbook import fixed_values as fv
 from signalbook.functions.text import strip
-from signalbook.functions.values import blank_to_null, once
-
+from signalbook.functions.values import blank_to_null, first_items, once
 
 
 def _by_script(text: Column, pattern: str, search: Callable[[str], Column]) -> Column:
@@ -42,16 +41,16 @@ def customer_name(text: Column) -> Column:
     return F.coalesce(*options)
 
 
-def dates(text: Column, keep: int = 5) -> Column:
+def dates(text: Column, keep: int | None = None) -> Column:
     """Distinct date-like strings in order of pattern, then of position."""
     found = F.concat(*[all_matches(text, p) for p in fv.TEXT_DATE_PATTERNS])
-    return F.slice(F.array_distinct(found), 1, keep)
+    return first_items(F.array_distinct(found), keep)
 
 
-def money(text: Column, keep: int = 5, strict: bool = False) -> Column:
+def money(text: Column, keep: int | None = None, strict: bool = False) -> Column:
     """Money-like strings; ``strict`` asks for a digit and a word edge."""
     pattern = fv.STRICT_MONEY_PATTERN if strict else fv.MONEY_PATTERN
-    return F.slice(all_matches(text, pattern), 1, keep)
+    return first_items(all_matches(text, pattern), keep)
 
 
 def ticket_number(text: Column) -> Column:
@@ -78,9 +77,9 @@ def contract_number(text: Column) -> Column:
     return first_match(text, fv.CONTRACT_PATTERN, 1)
 
 
-def key_phrases(text: Column, keep: int = 10) -> Column:
+def key_phrases(text: Column, keep: int | None = None) -> Column:
     """Distinct pairs of capitalised words in order of appearance."""
-    return F.slice(F.array_distinct(all_matches(text, fv.KEY_PHRASE_PATTERN)), 1, keep)
+    return first_items(F.array_distinct(all_matches(text, fv.KEY_PHRASE_PATTERN)), keep)
 
 
 def summary(text: Column, length: int = 300) -> Column:
@@ -88,12 +87,3 @@ def summary(text: Column, length: int = 300) -> Column:
     head = F.translate(strip(F.substring(text, 1, length)), "\n", " ")
     return F.concat(head, F.when(F.length(text) > length, "...").otherwise(""))
 
-
-def opening_span(text: Column, length: int = 200) -> Column:
-    """Where a field came from: page 1, head of the text, character range."""
-    return F.struct(
-        F.lit(1).alias("page"),
-        F.substring(text, 1, length).alias("text_span"),
-        F.lit(0).alias("char_start"),
-        F.least(F.lit(length), F.length(text)).alias("char_end"),
-    )

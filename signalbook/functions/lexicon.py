@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from signalbook import fixed_values as fv
-from signalbook.functions.values import half_up, once
+from signalbook.functions.values import first_items, half_up, once
 
 
 def words(*lists: Iterable[str]) -> list[str]:
@@ -115,16 +115,16 @@ def severity(text: Column, keywords: Mapping[str, Sequence[str]] = fv.SEVERITY_K
 
 
 def topics_of(
-    matched: Column, patterns: Mapping[str, Sequence[str]] = fv.TOPIC_PATTERNS, keep: int = 5
+    matched: Column, patterns: Mapping[str, Sequence[str]] = fv.TOPIC_PATTERNS, keep: int | None = None
 ) -> Column:
-    """The first topics, in table order, that have any pattern in the text."""
+    """The topics, in table order, that have any pattern in the text (``keep``: the first only)."""
     names = _literal(patterns)
     hit = F.sort_array(F.array_distinct(groups_hit(matched, list(patterns.values()))))
-    return F.transform(F.slice(hit, 1, keep), lambda i: F.get(names, i))
+    return F.transform(first_items(hit, keep), lambda i: F.get(names, i))
 
 
 def topics(
-    text: Column, patterns: Mapping[str, Sequence[str]] = fv.TOPIC_PATTERNS, keep: int = 5
+    text: Column, patterns: Mapping[str, Sequence[str]] = fv.TOPIC_PATTERNS, keep: int | None = None
 ) -> Column:
     return once(found(text, words(*patterns.values())), lambda m: topics_of(m, patterns, keep))
 

@@ -61,6 +61,16 @@ def lookup(table: Mapping[str, object], key: Column, default) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), key), F.lit(default))
 
 
+def first_items(items: Column, keep: int | None) -> Column:
+    """The first ``keep`` items, or all."""
+    return items if keep is None else F.slice(items, 1, keep)
+
+
 def stable_id(*parts: Column) -> Column:
-    """Same business key, same id, on every run."""
-    return F.md5(F.concat_ws("|", *parts))
+    """Same business key, same id, on every run.
+
+    Each part goes in with its length, a null as a mark, so different keys never read alike.
+    """
+    texts = [part.cast("string") for part in parts]
+    marked = [F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]
+    return F.md5(F.concat_ws("|", *marked))

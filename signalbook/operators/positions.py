@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from signalbook.operators.shape import join_keys
+
 
 def number_rows(
     df: DataFrame,
@@ -22,7 +24,7 @@ def number_rows(
     task.  ``chunk`` cuts it into consecutive pieces: it must never fall while
     ``order`` rises (a day of a timestamp, a range of an id).  Each piece is
     numbered alone and shifted by the number of rows in the pieces before it.
-    Keys and chunk must not be null.
+    Null keys form a group and a null chunk is the first piece.
     """
     cut = df.withColumn("_chunk", chunk)
     on = [*keys, "_chunk"]
@@ -36,7 +38,7 @@ def number_rows(
     inside = Window.partitionBy(*on).orderBy(*order)
     return (
         cut.withColumn("_inside", F.row_number().over(inside))
-        .join(shift, on)
+        .transform(join_keys, shift, on)
         .withColumn(name, F.col("_shift") + F.col("_inside"))
         .drop("_chunk", "_inside", "_shift")
     )

@@ -18,8 +18,12 @@ from signalbook.operators.shape import side_by_side
 def text_pages(
     documents: DataFrame, key: str, text: str = "text", lines_per_page: int = fv.LINES_PER_PAGE
 ) -> DataFrame:
-    """Virtual pages of a fixed number of lines.  Row-local: no shuffle."""
-    lines = F.split(F.col(text), "\n", -1)
+    """Virtual pages of a fixed number of lines.  Row-local: no shuffle.
+
+    A null text is an empty one: one page with one empty line.
+    """
+    body = F.coalesce(F.col(text), F.lit(""))
+    lines = F.split(body, "\n", -1)
     last = F.floor((F.size("_lines") - 1) / lines_per_page).cast("int")
     pages = F.transform(
         F.sequence(F.lit(0), last),
@@ -31,7 +35,7 @@ def text_pages(
         ),
     )
     return (
-        documents.select(F.col(key), F.col(text).alias("_text"), lines.alias("_lines"))
+        documents.select(F.col(key), body.alias("_text"), lines.alias("_lines"))
         .select(
             key,
             F.size("_lines").alias("line_count"),
@@ -121,18 +125,18 @@ def column_profile(df: DataFrame, order: Sequence[str], samples: int = 3) -> Dat
 
     sampled = reduce(DataFrame.unionByName, [first_values(c) for c in columns])
     return (
-        counted.join(distinct, "column_name")
-        .join(sampled, "column_name")
+        counted.join(distinct, "column_name", "left")
+        .join(sampled, "column_name", "left")
         .select(
             "column_name",
             "dtype",
             "non_null_count",
             (F.col("_rows") - F.col("non_null_count")).alias("null_count"),
-            half_up((F.col("_rows") - F.col("non_null_count")) * 100.0 / F.col("_rows"), 2).alias(
-                "null_pct"
-            ),
-            "unique_count",
-            "sample_values",
+            half_up(
+                F.try_divide((F.col("_rows") - F.col("non_null_count")) * 100.0, F.col("_rows")), 2
+            ).alias("null_pct"),
+            F.coalesce("unique_count", F.lit(0)).alias("unique_count"),
+            F.coalesce("sample_values", F.array().cast("array<string>")).alias("sample_values"),
         )
     )
 

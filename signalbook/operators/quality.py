@@ -207,7 +207,7 @@ def quality_issues(
             F.struct(
                 is_invalid(c).alias("bad"),
                 F.lit(c).alias("field"),
-                F.substring(F.col(c).cast("string"), 1, 50).alias("value"),
+                F.col(c).cast("string").alias("value"),
                 F.lit(rule_for(c)[1]).alias("message"),
             )
             for c in ruled_columns(checked)
@@ -236,7 +236,7 @@ def quality_issues(
             F.lit("duplicate_record").alias("kind"),
             text.alias("row_id"),
             text.alias("field"),
-            F.substring("_key", 1, 100).alias("value"),
+            F.col("_key").alias("value"),
             text.alias("message"),
             (F.col("count") - 1).alias("affected_records"),
         )

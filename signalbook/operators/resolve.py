@@ -23,7 +23,7 @@ from pyspark.sql.types import IntegerType
 
 from signalbook import fixed_values as fv
 from signalbook.functions.text import normalize_name, token_sorted
-from signalbook.functions.values import half_up, lookup, once
+from signalbook.functions.values import half_up, lookup, once, stable_id
 from signalbook.session import cut_lineage
 
 # --- registry ------------------------------------------------------------------
@@ -160,7 +160,7 @@ def _grams(name: Column, width: int) -> Column:
         return F.transform(
             ordered,
             lambda g, i: F.concat(
-                F.lpad((F.lit(9998) - i + F.array_position(ordered, g)).cast("string"), 4, "0"), g
+                F.lpad((F.lit(999_999_998) - i + F.array_position(ordered, g)).cast("string"), 9, "0"), g
             ),
         )
 
@@ -270,12 +270,10 @@ def _band(score: Column, part: int) -> Column:
 
 
 def new_canonical_id(entity_type: Column, norm: Column, raw: Column) -> Column:
-    """Prefix by type and eight hex digits of the normalised name: the same on every run."""
+    """Prefix by type and the whole hash of type and normalised name: the same on every run."""
     seed = F.when(norm != "", norm).otherwise(F.lower(raw))
     return F.concat(
-        lookup(fv.ENTITY_PREFIXES, entity_type, "ENT"),
-        F.lit("_"),
-        F.upper(F.substring(F.md5(seed), 1, 8)),
+        lookup(fv.ENTITY_PREFIXES, entity_type, "ENT"), F.lit("_"), F.upper(stable_id(entity_type, seed))
     )
 
 

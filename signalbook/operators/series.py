@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from signalbook.functions.values import half_up
 from signalbook.operators.positions import number_rows
+from signalbook.operators.shape import join_keys
 
 
 def metric_series(
@@ -97,7 +98,7 @@ def zscore_anomalies(
     v = F.col(value)
     z = F.abs(v - F.col("_mean")) / F.col("_sd")
     return (
-        series.join(stats.filter((F.col("_n") >= 5) & (F.col("_sd") > 0)), list(keys))
+        join_keys(series, stats.filter((F.col("_n") >= 5) & (F.col("_sd") > 0)), keys)
         .withColumn("_z", z)
         .filter(F.col("_z") >= threshold)
         .withColumn("expected", half_up(F.col("_mean"), 2))
@@ -122,7 +123,7 @@ def values_at_ranks(
     ranks: Mapping[str, tuple[float, Callable[[Column], Column]]],
     accuracy: int = 10000,
 ) -> DataFrame:
-    """Exact values at given 0-based ranks of each group, without sorting a group.
+    """Exact values at given 0-based ranks of each group with its size ``_n``, without sorting a group.
 
     ``ranks`` names each target with its approximate share and its exact rank as
     a function of the row count.  A mergeable sketch brackets every target to a
@@ -153,15 +154,15 @@ def values_at_ranks(
             for i, (name, (_, exact)) in enumerate(ranks.items())
         ]
     )
-    brackets = sketch.select(*keys, targets.alias("_targets"))
+    brackets = sketch.select(*keys, "_n", targets.alias("_targets"))
     v = F.col(value)
     counted = (
-        df.select(*keys, v)
-        .join(brackets, list(keys))
-        .select(*keys, v, F.explode("_targets").alias("_t"))
-        .filter(v <= F.col("_t.hi"))
+        join_keys(df.select(*keys, v), brackets, keys)
+        # One row per target that the value can still decide, not one per target.
+        .select(*keys, "_n", v, F.explode(F.filter("_targets", lambda t: v <= t.hi)).alias("_t"))
         .groupBy(
             *keys,
+            "_n",
             F.col("_t.name").alias("_name"),
             F.col("_t.rank").alias("_rank"),
             F.when(v >= F.col("_t.lo"), v).alias("_v"),
@@ -177,7 +178,10 @@ def values_at_ranks(
         counted.withColumn("_cum", F.sum("_c").over(upto))
         .filter(F.col("_v").isNotNull() & (F.col("_cum") > F.col("_rank")))
         .groupBy(*keys)
-        .agg(*[F.min(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in names])
+        .agg(
+            F.max("_n").alias("_n"),
+            *[F.min(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in names],
+        )
     )
 
 
@@ -201,17 +205,16 @@ def iqr_anomalies(
     series: DataFrame, keys: Sequence[str], value: str = "value", k: float = 1.5
 ) -> DataFrame:
     """Points outside the quartile fences; the expected value is the median."""
-    sizes = series.groupBy(*keys).agg(F.count(value).alias("_n")).filter(F.col("_n") >= 5)
     spread = F.col("q3") - F.col("q1")
     fences = (
         quartiles(series, keys, value)
-        .join(sizes.drop("_n"), list(keys))
+        .filter(F.col("_n") >= 5)
         .withColumn("_lower", F.col("q1") - k * spread)
         .withColumn("_upper", F.col("q3") + k * spread)
     )
     v, lower, upper = F.col(value), F.col("_lower"), F.col("_upper")
     return (
-        series.join(fences, list(keys))
+        join_keys(series, fences, keys)
         .filter((v < lower) | (v > upper))
         .withColumn("expected", half_up(F.col("median"), 2))
         .withColumn("lower_bound", half_up(lower, 2))
@@ -221,7 +224,7 @@ def iqr_anomalies(
         .withColumn(
             "severity", F.when((v > upper * 2) | (v < lower / 2), "HIGH").otherwise("MEDIUM")
         )
-        .drop("q1", "q3", "median", "_lower", "_upper")
+        .drop("q1", "q3", "median", "_n", "_lower", "_upper")
     )
 
 

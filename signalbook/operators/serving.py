@@ -44,10 +44,17 @@ def page(df: DataFrame, order: Sequence[Column], number: int = 1, size: int = 20
 
 
 def page_after(df: DataFrame, order: str, key: str, last: tuple, size: int = 20) -> DataFrame:
-    """The next page after a known last row, for deep paging in descending order."""
-    at, row = F.lit(last[0]), F.lit(last[1])
-    later = (F.col(order) < at) | ((F.col(order) == at) & (F.col(key) > row))
-    return df.filter(later).orderBy(F.desc(order), F.asc(key)).limit(size)
+    """The next page after a known last row, for deep paging in descending order.
+
+    Rows without a sort value come after all others, so a last row of (None, key) goes on among them.
+    """
+    row = F.lit(last[1])
+    if last[0] is None:
+        later = F.col(order).isNull() & (F.col(key) > row)
+    else:
+        at = F.lit(last[0])
+        later = (F.col(order) < at) | ((F.col(order) == at) & (F.col(key) > row)) | F.col(order).isNull()
+    return df.filter(later).orderBy(F.desc_nulls_last(order), F.asc(key)).limit(size)
 
 
 # --- KPIs ---------------------------------------------------------------------------

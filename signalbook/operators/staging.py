@@ -45,11 +45,13 @@ def extract(
     negative: Sequence[str] = fv.NEGATIVE_WORDS,
     topic_patterns: Mapping[str, Sequence[str]] = fv.TOPIC_PATTERNS,
     max_chars: int | None = None,
+    keep: Mapping[str, int] = {},
 ) -> DataFrame:
     """Rule-based extraction, one row per document (document_id, domain, text, ...).
 
     Row-local and free of Python.  ``max_chars`` would cut the text first, as a
-    front end with a size limit does; by default the whole text is read.
+    front end with a size limit does; by default the whole text is read.  ``keep`` limits the number
+    of topics, dates, money or key_phrases; by default all are kept.
     """
     docs = documents
     if max_chars is not None:
@@ -61,11 +63,11 @@ def extract(
         *docs.columns,
         lexicon.sentiment_of(matched, positive, negative).alias("_mood"),
         lexicon.severity_of(matched).alias("_level"),
-        lexicon.topics_of(matched, topic_patterns).alias("topics"),
+        lexicon.topics_of(matched, topic_patterns, keep.get("topics")).alias("topics"),
         lexicon.issue_class_of(matched).alias("_issue"),
         ex.customer_name(text).alias("customer_name"),
-        ex.dates(text).alias("dates"),
-        ex.money(text).alias("money"),
+        ex.dates(text, keep.get("dates")).alias("dates"),
+        ex.money(text, keep.get("money")).alias("money"),
     )
     topics = F.col("topics")
     fields = F.array_compact(
@@ -112,7 +114,7 @@ def extract(
             "customer_name",
             fields.alias("fields"),
             entities.alias("entities"),
-            ex.key_phrases(text).alias("key_phrases"),
+            ex.key_phrases(text, keep.get("key_phrases")).alias("key_phrases"),
             ex.summary(text).alias("summary"),
             word_count(text).alias("word_count"),
             F.ceil(F.size(F.split(text, "\n", -1)) / fv.LINES_PER_PAGE).cast("int").alias("pages"),
@@ -217,7 +219,8 @@ def with_customer(extracted: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def _auto_number(prefix: str) -> Column:
-    return F.concat(F.lit(prefix), F.upper(F.substring(F.md5("document_id"), 1, 8)))
+    """A number for a document without one: the whole hash of its id, so no two documents share it."""
+    return F.concat(F.lit(prefix), F.upper(F.md5("document_id")))
 
 
 def first_per_key(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
@@ -243,7 +246,7 @@ def ticket_facts(extracted: DataFrame, existing: DataFrame | None = None) -> Dat
         "document_id",
         "arrived_at",
         "customer_code",
-        F.substring(normalize_text(F.col("document_id")), 1, 500).alias("title"),
+        normalize_text(F.col("document_id")).alias("title"),
         level.alias("priority"),
         level.alias("severity"),
         F.lit("open").alias("status"),
@@ -251,7 +254,7 @@ def ticket_facts(extracted: DataFrame, existing: DataFrame | None = None) -> Dat
         "subcategory",
         "sentiment",
         "sentiment_score",
-        F.slice("topics", 1, 5).alias("tags"),
+        F.col("topics").alias("tags"),
         F.col("subcategory").alias("root_cause_category"),
         F.col("overall_confidence").alias("extraction_confidence"),
     )
@@ -268,7 +271,7 @@ def incident_facts(extracted: DataFrame, existing: DataFrame | None = None) -> D
         number.alias("incident_number"),
         "document_id",
         "arrived_at",
-        F.substring(normalize_text(F.col("document_id")), 1, 500).alias("title"),
+        normalize_text(F.col("document_id")).alias("title"),
         normalize_severity(F.col("severity")).alias("severity"),
         F.lit("open").alias("status"),
         "category",
@@ -313,11 +316,11 @@ def feedback_facts(extracted: DataFrame) -> DataFrame:
         "document_id",
         "customer_code",
         F.coalesce("domain", F.lit("document")).alias("feedback_type"),
-        F.substring("summary", 1, 2000).alias("raw_text"),
+        F.col("summary").alias("raw_text"),
         "sentiment",
         "sentiment_score",
         "topics",
-        F.slice("key_phrases", 1, 10).alias("key_phrases"),
+        "key_phrases",
         F.col("overall_confidence").alias("extraction_confidence"),
     )
 

@@ -135,6 +135,8 @@ def scan_csv_profile(t: Tables) -> DataFrame:
         F.when(F.col("o_orderkey") % 7 == 0, "N/A").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"),
         F.when(F.col("o_orderkey") % 11 == 0, "").otherwise(F.col("o_orderpriority")).alias("o_orderpriority"),
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate"),
+        "o_custkey",
+        F.col("o_totalprice").cast("decimal(14,2)").alias("o_totalprice"),
     )
     files.write_csv(flawed, path)
     scanned = files.read_csv(t.spark, path)
@@ -147,20 +149,25 @@ def scan_csv_profile(t: Tables) -> DataFrame:
 def scan_by_format(t: Tables) -> DataFrame:
     """Documents written and read back in every format by the reader registry."""
     out = None
-    base = t.documents.select("doc_id", "lang", "text")
+    base = t.documents
     for kind in ("csv", "json", "parquet"):
         path = scratch_path(t.spark, f"documents-{kind}")
         if kind == "csv":
             files.write_csv(base, path)
         else:
             base.write.format(kind).save(path)
-        back = files.read_by_format(t.spark, path, kind)
+        back = (
+            files.read_csv(t.spark, path, multi_line=True) if kind == "csv" else files.read_by_format(t.spark, path, kind)
+        )
         row = back.agg(
             F.lit(kind).alias("format"),
             F.count("*").alias("n_rows"),
             F.count("text").alias("n_texts"),
             F.count_distinct("lang").alias("n_langs"),
             F.sum(F.length("text")).alias("n_chars"),
+            F.count_distinct("doc_id").alias("n_ids"),
+            F.count_distinct("source").alias("n_sources"),
+            F.sum(F.col("n_chars").cast("bigint")).alias("stated_chars"),
         )
         out = row if out is None else out.unionByName(row)
     return out
@@ -168,7 +175,7 @@ def scan_by_format(t: Tables) -> DataFrame:
 
 @query
 def text_pages(t: Tables) -> DataFrame:
-    return profile.text_pages(star.spread(t.documents), "doc_id", lines_per_page=5)
+    return profile.text_pages(t.documents, "doc_id", lines_per_page=5)
 
 
 @query
@@ -180,6 +187,8 @@ def rows_to_text(t: Tables) -> DataFrame:
         "o_custkey",
         F.when(F.col("o_orderkey") % 5 > 0, F.col("o_orderstatus")).alias("o_orderstatus"),
         F.when(F.col("o_orderkey") % 6 > 0, F.col("o_orderpriority")).otherwise("").alias("o_orderpriority"),
+        F.col("o_totalprice").cast("decimal(14,2)").alias("o_totalprice"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate"),
     )
     return profile.rows_to_text(rows, ["document_id"], ["o_orderkey"], key_chunk("o_orderkey"))
 
@@ -198,8 +207,10 @@ def column_profile(t: Tables) -> DataFrame:
 
 @query
 def duplicate_rows(t: Tables) -> DataFrame:
-    """Repeated (order, line number) pairs among all lines."""
-    return profile.dataset_metadata(t.lineitem.select("l_orderkey", "l_linenumber"))
+    """Repeated lines, all columns compared, once every line has been put in a second time if its
+    order is a multiple of three."""
+    again = t.lineitem.filter(F.col("l_orderkey") % 3 == 0)
+    return profile.dataset_metadata(t.lineitem.unionByName(again))
 
 
 @query
@@ -207,6 +218,8 @@ def raw_records(t: Tables) -> DataFrame:
     rows = t.orders.select(
         F.date_format("o_orderdate", "yyyy-MM").alias("month"),
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority",
+        F.col("o_totalprice").cast("decimal(14,2)").alias("o_totalprice"),
+        F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("o_orderdate"),
     )
     return profile.raw_records(rows, "month", ["o_orderkey"], key_chunk("o_orderkey"))
 
@@ -608,14 +621,13 @@ def ack_insights(t: Tables) -> DataFrame:
 def normalize_text(t: Tables) -> DataFrame:
     """Documents with tabs and CRLF put in, normalised again."""
     messy = F.replace(F.replace(F.col("text"), F.lit("\n"), F.lit("\r\n\r\n \t\r")), F.lit(", "), F.lit(",\t "))
-    return star.spread(t.documents).select("doc_id", tx.normalize_text(messy).alias("text"))
+    return t.documents.select("doc_id", tx.normalize_text(messy).alias("text"))
 
 
 @query
 def normalize_name(t: Tables) -> DataFrame:
-    """Names made of a document's first words, with legal suffixes and punctuation."""
-    head = F.substring(F.col("text"), 1, 24)
-    raw = F.concat(head, F.lit(" Co., LTD. "), F.col("source"), F.lit(" (Inc)"))
+    """Whole documents as names, with legal suffixes and punctuation."""
+    raw = F.concat(F.col("text"), F.lit(" Co., LTD. "), F.col("source"), F.lit(" (Inc)"))
     return t.documents.select("doc_id", tx.normalize_name(raw).alias("name"))
 
 
@@ -694,7 +706,7 @@ def topics_of_text(t: Tables) -> DataFrame:
 
 @query
 def topics_of_documents(t: Tables) -> DataFrame:
-    found = lexicon.topics(F.col("text"), CORPUS_TOPICS, keep=2)
+    found = lexicon.topics(F.col("text"), CORPUS_TOPICS)
     return t.documents.select("doc_id", joined(found, ",").alias("topics"), lexicon.category(found).alias("category"))
 
 

@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from signalbook import fixed_values as fv
 
@@ -14,9 +15,14 @@ def null_tokens(value: Column, tokens: Sequence[str] = fv.NA_TOKENS) -> Column:
     return F.when(~value.isin(list(tokens)), value)
 
 
-def read_csv(spark: SparkSession, path: str, na_tokens: Sequence[str] = fv.NA_TOKENS) -> DataFrame:
-    """Header row, every column a string, missing-value words as null."""
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+def read_csv(
+    spark: SparkSession, path: str, na_tokens: Sequence[str] = fv.NA_TOKENS, multi_line: bool = False
+) -> DataFrame:
+    """Header row, every column a string, missing-value words as null.
+
+    Files are split between tasks.  Quoted line breaks need ``multi_line``, and then a file is one task.
+    """
+    raw = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
     return raw.select(*[null_tokens(F.col(c), na_tokens).alias(c) for c in raw.columns])
 
 
@@ -27,8 +33,10 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_json(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.json(path, primitivesAsString=True)
+def read_json(spark: SparkSession, path: str, schema: str | StructType | None = None) -> DataFrame:
+    """JSON lines; without a schema the data is read once more to find it, all values as strings."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.json(path, primitivesAsString=True)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -61,16 +69,19 @@ def read_by_format(
 def read_uploads(
     spark: SparkSession,
     path: str,
-    extensions: Sequence[str] = fv.ALLOWED_EXTENSIONS,
-    max_bytes: int = fv.MAX_FILE_BYTES,
+    extensions: Sequence[str] = tuple(READERS),
+    max_bytes: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Accepted and refused files.  Names and sizes are tested before content is read."""
+    """Accepted and refused files: those with a reader, and of any size unless there is a limit.
+
+    Names and sizes are tested before content is read.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     listed = files.withColumn(
         "file_type", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     )
     allowed = F.col("file_type").isin(list(extensions))
-    small = F.col("length") <= max_bytes
+    small = F.lit(True) if max_bytes is None else F.col("length") <= max_bytes
     accepted = listed.filter(allowed & small).withColumn("file_hash", F.sha2("content", 256))
     refused = listed.filter(~(allowed & small)).select(
         "path",

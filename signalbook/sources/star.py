@@ -30,18 +30,6 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for costly row work on a small input.
-
-    A file of one row group is one task.  Inputs with at least as many splits as
-    cores, that is all large ones, are left as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
-
-
 def word(seed: Column, start: int = 1, length: int = 8) -> Column:
     """A made-up capitalised name of letters a-p, fixed by the seed."""
     letters = F.translate(F.substring(F.md5(seed), start, length), "0123456789", "ghijklmnop")

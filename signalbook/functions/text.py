@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from collections.abc import Mapping, Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -94,3 +96,7 @@ def expand_abbreviations(text: Column, table: Mapping[str, str] = fv.ABBREVIATIO
 def word_count(text: Column) -> Column:
     """Number of white-space separated tokens."""
     return F.size(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != ""))
+
+
+# Workers get these functions whole and need not import the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -10,6 +10,38 @@ from signalbook import fixed_values as fv
 from signalbook.functions.values import days_before, half_up, money
 
 
+def ticket_activity(tickets: DataFrame, as_of: Column, window_days: int = 30) -> DataFrame:
+    """One row per customer: its tickets in the window and the one before, and all of them by status.
+
+    A customer with very many tickets costs one combined counter per task.
+    """
+    start = days_before(as_of, window_days)
+    created = F.col("created_at")
+    current = (created >= start) & (created < as_of)
+    earlier = (created >= days_before(as_of, 2 * window_days)) & (created < start)
+    return tickets.groupBy("customer_id").agg(
+        F.count("*").alias("total"),
+        F.count_if(F.col("status") == "open").alias("open"),
+        F.count_if(current).alias("ticket_count"),
+        F.count_if(earlier).alias("ticket_count_prev"),
+        F.count_if(current & F.col("sla_breached")).alias("sla_breach_count"),
+        F.count_if(current & (F.col("sentiment") == "negative")).alias("_negative"),
+        F.sum(F.when(current, money(F.col("resolution_hours")))).alias("_hours"),
+        F.count_if(current & F.col("resolution_hours").isNotNull()).alias("_resolved"),
+    )
+
+
+def incident_activity(incidents: DataFrame, as_of: Column, window_days: int = 30) -> DataFrame:
+    """One row per customer: its incidents in the window, and all of them by status and breach."""
+    occurred = F.col("occurred_at")
+    return incidents.groupBy("customer_id").agg(
+        F.count("*").alias("total"),
+        F.count_if(F.col("status") == "open").alias("open"),
+        F.count_if("sla_breached").alias("breached"),
+        F.count_if((occurred >= days_before(as_of, window_days)) & (occurred < as_of)).alias("incident_count"),
+    )
+
+
 def customer_metrics(
     customers: DataFrame,
     tickets: DataFrame,
@@ -21,33 +53,26 @@ def customer_metrics(
 
     Every fact is filtered to the two windows (the filter reaches the scan) and
     folded to one row per customer before it meets the dimension, so no join
-    multiplies rows and a customer with very many tickets costs one combined
-    counter per task.
+    multiplies rows.
     """
-    start = days_before(as_of, window_days)
-    prev_start = days_before(as_of, 2 * window_days)
-    created = F.col("created_at")
-    current = created >= start
+    start, prev_start = days_before(as_of, window_days), days_before(as_of, 2 * window_days)
+    created, occurred = F.col("created_at"), F.col("occurred_at")
     recent = tickets.filter((created >= prev_start) & (created < as_of))
-    by_ticket = recent.groupBy("customer_id").agg(
-        F.count_if(current).alias("ticket_count"),
-        F.count_if(~current).alias("ticket_count_prev"),
-        F.count_if(current & F.col("sla_breached")).alias("sla_breach_count"),
-        F.count_if(current & (F.col("sentiment") == "negative")).alias("_negative"),
-        F.sum(F.when(current, money(F.col("resolution_hours")))).alias("_hours"),
-        F.count_if(current & F.col("resolution_hours").isNotNull()).alias("_resolved"),
-    )
-    occurred = F.col("occurred_at")
-    by_incident = (
-        incidents.filter((occurred >= start) & (occurred < as_of))
-        .groupBy("customer_id")
-        .agg(F.count("*").alias("incident_count"))
+    happened = incidents.filter((occurred >= start) & (occurred < as_of))
+    return metrics_of_activity(
+        customers,
+        ticket_activity(recent, as_of, window_days),
+        incident_activity(happened, as_of, window_days),
     )
+
+
+def metrics_of_activity(customers: DataFrame, by_ticket: DataFrame, by_incident: DataFrame) -> DataFrame:
+    """Customers with the counts of :func:`ticket_activity` and :func:`incident_activity`."""
     zero = F.lit(0).cast("bigint")
     return (
         customers.select("customer_id", "canonical_id", "name", "contract_value")
-        .join(by_ticket, "customer_id", "left")
-        .join(by_incident, "customer_id", "left")
+        .join(by_ticket.drop("total", "open"), "customer_id", "left")
+        .join(by_incident.select("customer_id", "incident_count"), "customer_id", "left")
         .select(
             "customer_id",
             "canonical_id",

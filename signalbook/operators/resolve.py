@@ -13,10 +13,12 @@ strictest score down, so most of them never meet the wide lower tier.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
@@ -377,3 +379,7 @@ def ambiguous(log: DataFrame) -> DataFrame:
         "confidence",
         F.lit("medium").alias("priority"),
     )
+
+
+# Workers get these functions whole and need not import the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

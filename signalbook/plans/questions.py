@@ -32,5 +32,7 @@ def answers(
         "recent_incidents": lambda: serving.recent_incidents(incidents, as_of),
         "negative_sentiment_services": lambda: serving.negative_services(rollup),
         "sla_and_sentiment": lambda: serving.breach_and_sentiment(tickets),
-        "overview": lambda: serving.overview_counts(customers, tickets, incidents, insights),
+        "overview": lambda: serving.overview_counts(
+            customers, tickets.agg(F.count("*").alias("total")), incidents.agg(F.count("*").alias("total")), insights
+        ),
     }

@@ -21,6 +21,8 @@ DEFAULT_SETTINGS = {
     "spark.sql.parquet.aggregatePushdown": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
+    # Long texts: a batch is also limited by its bytes.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64MB",
 }
 
 
@@ -39,25 +41,38 @@ def build_session(app: str = "signalbook", master: str | None = None, **settings
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a temporary folder.
+    Where it is unset, as in tests, a folder of this machine is set; that only serves a session whose
+    executors run on it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         named = tempfile.mkdtemp(prefix="signalbook-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
+#: Paths given out by :func:`scratch_path` and not yet released.
+_given_out: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _given_out.append(path)
+    return path
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Remove everything this process wrote below the shared folder; results not yet read go with it."""
+    while _given_out:
+        where = spark._jvm.org.apache.hadoop.fs.Path(_given_out.pop())
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder so that later steps never recompute them."""
+    """The rows written once as Parquet to the shared folder, so that later steps never recompute
+    them, read only the columns they need and survive the loss of an executor."""
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    path = scratch_path(spark, "stage")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -86,10 +86,15 @@ def load_new(
 
 
 def topic_windows(mentions: DataFrame, length: str = "30 days", step: str = "1 day") -> DataFrame:
-    """Mentions of each topic in sliding windows; works on batch and stream alike."""
+    """Mentions of each topic in sliding windows; works on batch and stream alike.
+
+    Mentions are counted per step first and the counts are put into the windows, so a mention is not
+    copied once per window.  The length is a multiple of the step.
+    """
+    steps = mentions.groupBy(F.window("created_at", step).alias("s"), "topic").agg(F.count("*").alias("n"))
     return (
-        mentions.groupBy(F.window("created_at", length, step).alias("w"), "topic")
-        .agg(F.count("*").alias("mentions"))
+        steps.groupBy(F.window(F.window_time("s"), length, step).alias("w"), "topic")
+        .agg(F.sum("n").alias("mentions"))
         .select(
             F.col("w.start").alias("window_start"),
             F.col("w.end").alias("window_end"),

@@ -179,6 +179,7 @@ add("top_risk_customers", """
     SELECT canonical_id, name, risk_level, health_score, churn_risk_score, revenue_at_risk FROM health WHERE risk_level IN ('HIGH', 'CRITICAL')
     ORDER BY health_score, canonical_id LIMIT 10""", ["health"])
 add("recent_incidents", "SELECT severity, count(*) AS count FROM fact_incident WHERE occurred_at >= TIMESTAMP '2001-10-05' GROUP BY 1", ["fact_incident"])
+add("ask_recent_incidents", "SELECT severity, count(*) AS count FROM fact_incident WHERE occurred_at >= TIMESTAMP '2001-10-05' GROUP BY 1", ["fact_incident"])
 add("negative_services", f"""
     SELECT service_id, {stamp('period_start')} AS period_start, negative_pct, total_records FROM rollup WHERE scope = 'service_id'
     ORDER BY negative_pct DESC, service_id, rollup.period_start LIMIT 10""", ["rollup"])

@@ -211,11 +211,17 @@ def customer_mentions(extracted: DataFrame) -> DataFrame:
 
 
 def with_customer(extracted: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Add the canonical id of the customer named in the document, null if there is none."""
+    """Add the canonical id of the customer named in the document, null if there is none.
+
+    Documents that name nobody go round the join, where they would all meet under the null key.
+    """
     ids = decisions.filter(F.col("entity_type") == "customer").select(
         F.col("raw_value").alias("customer_name"), F.col("canonical_id").alias("customer_code")
     )
-    return extracted.join(ids, "customer_name", "left")
+    named = extracted.filter(F.col("customer_name").isNotNull()).join(ids, "customer_name", "left")
+    code = F.lit(None).cast(ids.schema["customer_code"].dataType).alias("customer_code")
+    others = extracted.filter(F.col("customer_name").isNull()).select("*", code)
+    return named.unionByName(others)
 
 
 def _auto_number(prefix: str) -> Column:

@@ -19,7 +19,7 @@ from signalbook.operators import series, staging, topics
 from signalbook.plans import insights as ins
 from signalbook.plans.analysis import full_analysis, scored_customers
 from signalbook.plans.intake import Run, document_run
-from signalbook.plans.questions import intent
+from signalbook.plans.questions import answer, intent
 from signalbook.session import cut_lineage, scratch_path
 from signalbook.sources import files, star, texts
 from signalbook.sources.replies import parse_replies
@@ -485,6 +485,16 @@ def sla_and_sentiment(t: Tables) -> DataFrame:
     return serving.breach_and_sentiment(star.fact_ticket(t))
 
 
+@query
+def ask_recent_incidents(t: Tables) -> DataFrame:
+    """A question in words, by way of its intent."""
+    return answer(
+        "How many incidents were there in the last month?",
+        _scored(t), star.fact_ticket(t), star.incident_events(t), _health_insights(t), _service_rollup(t),
+        instant("2001-11-04 00:00:00"),
+    )
+
+
 @query
 def tag_questions(t: Tables) -> DataFrame:
     return texts.questions(t).select("question_id", intent(F.col("question")).alias("intent"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -36,3 +37,15 @@ def answers(
             customers, tickets.agg(F.count("*").alias("total")), incidents.agg(F.count("*").alias("total")), insights
         ),
     }
+
+
+def answer(
+    question: str, *inputs: DataFrame | Column, table: Sequence[tuple[str, str]] = fv.QUESTION_INTENTS
+) -> DataFrame:
+    """The answer to one question: its intent by the patterns of :func:`intent`, then its query."""
+    text = question.strip().lower()
+    name = next((name for pattern, name in table if re.search(pattern, text)), None)
+    found = answers(*inputs).get(name)
+    if found is None:
+        raise ValueError(f"no query answers: {question}")
+    return found()

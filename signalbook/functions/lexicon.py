@@ -141,6 +141,11 @@ def _class_patterns(taxonomy: Mapping[str, Mapping[str, Sequence[str]]]) -> list
     return words(*[ps for subs in taxonomy.values() for ps in subs.values()])
 
 
+def issue_words(taxonomy: Mapping[str, Mapping[str, Sequence[str]]] = fv.ISSUE_TAXONOMY) -> list[str]:
+    """All words of the taxonomy, for :func:`found`."""
+    return _class_patterns(taxonomy)
+
+
 def issue_class_of(
     matched: Column, taxonomy: Mapping[str, Mapping[str, Sequence[str]]] = fv.ISSUE_TAXONOMY
 ) -> Column:

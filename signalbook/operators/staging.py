@@ -11,7 +11,8 @@ from signalbook import fixed_values as fv
 from signalbook.functions import extract as ex
 from signalbook.functions import lexicon
 from signalbook.functions.text import normalize_severity, normalize_text, word_count
-from signalbook.functions.values import half_up, once, stable_id
+from signalbook.functions.values import blank_to_null, half_up, once, stable_id
+from signalbook.sources.replies import read_replies
 
 CONF = fv.FIELD_CONFIDENCE
 TICKET_DOMAIN = "customer_intelligence"
@@ -123,6 +124,49 @@ def extract(
     )
 
 
+def extract_replies(documents: DataFrame, raw: str = "raw", fallback: bool = True) -> DataFrame:
+    """Extraction from a model's replies, in the rows and columns of :func:`extract`.
+
+    The customer is the field customer_name or company, else the first customer or company entity;
+    category and subcategory are those of the issue described.  A document whose reply cannot be read
+    is extracted by the rules (``fallback``), or has no fields.
+    """
+    docs = documents.drop(raw)
+    replied = read_replies(documents, raw, "text")
+    read = replied.filter(F.col("_r").isNotNull()) if fallback else replied
+    none = F.array().cast("array<string>")
+    is_customer = lambda e: e.type.isin("customer", "company")
+    issue = lexicon.issue_class_of(
+        lexicon.found(F.coalesce(field_value("issue_description"), F.lit("")), lexicon.issue_words())
+    )
+    rest = [c for c in docs.columns if c != "text"]
+    found = read.withColumn("_issue", issue).select(
+        *rest,
+        F.col("_r.sentiment").alias("sentiment"),
+        F.col("_r.sentiment_score").alias("sentiment_score"),
+        F.coalesce(field_value("severity"), F.lit("medium")).alias("severity"),
+        F.coalesce("_r.topics", none).alias("topics"),
+        F.col("_issue.category").alias("category"),
+        F.col("_issue.subcategory").alias("subcategory"),
+        F.coalesce(
+            blank_to_null(field_value("customer_name")),
+            blank_to_null(field_value("company")),
+            F.try_element_at(F.filter("entities", is_customer), F.lit(1)).getField("value"),
+        ).alias("customer_name"),
+        "fields",
+        "entities",
+        F.coalesce("_r.key_phrases", none).alias("key_phrases"),
+        F.coalesce("_r.summary", F.lit("")).alias("summary"),
+        word_count(F.col("text")).alias("word_count"),
+        F.ceil(F.size(F.split("text", "\n", -1)) / fv.LINES_PER_PAGE).cast("int").alias("pages"),
+        "overall_confidence",
+    )
+    if not fallback:
+        return found
+    unread = replied.filter(F.col("_r").isNull()).select(*docs.columns)
+    return found.unionByName(extract(unread))
+
+
 def field_value(name: str) -> Column:
     """Value of the first field of that name, else null."""
     hits = F.filter("fields", lambda f: f.field == name)
@@ -229,6 +273,11 @@ def _auto_number(prefix: str) -> Column:
     return F.concat(F.lit(prefix), F.upper(F.md5("document_id")))
 
 
+def _title() -> Column:
+    """The issue described in the document, else the document's id."""
+    return normalize_text(F.coalesce(field_value("issue_description"), F.col("document_id").cast("string")))
+
+
 def first_per_key(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """The earliest row of every key, combined before the shuffle."""
     rest = [c for c in rows.columns if c != key]
@@ -252,7 +301,7 @@ def ticket_facts(extracted: DataFrame, existing: DataFrame | None = None) -> Dat
         "document_id",
         "arrived_at",
         "customer_code",
-        normalize_text(F.col("document_id")).alias("title"),
+        _title().alias("title"),
         level.alias("priority"),
         level.alias("severity"),
         F.lit("open").alias("status"),
@@ -277,7 +326,7 @@ def incident_facts(extracted: DataFrame, existing: DataFrame | None = None) -> D
         number.alias("incident_number"),
         "document_id",
         "arrived_at",
-        normalize_text(F.col("document_id")).alias("title"),
+        _title().alias("title"),
         normalize_severity(F.col("severity")).alias("severity"),
         F.lit("open").alias("status"),
         "category",

@@ -11,7 +11,10 @@ from signalbook.functions.values import half_up
 
 FIELDS = "array<struct<field:string,value:string,confidence:double,text_span:string>>"
 ENTITIES = "array<struct<type:string,value:string,confidence:double>>"
-REPLY_SCHEMA = f"fields {FIELDS}, entities {ENTITIES}, sentiment string, sentiment_score double"
+REPLY_SCHEMA = (
+    f"fields {FIELDS}, entities {ENTITIES}, sentiment string, sentiment_score double, topics array<string>, "
+    "key_phrases array<string>, category string, subcategory string, summary string"
+)
 
 
 def reply_text(raw: Column) -> Column:
@@ -30,11 +33,12 @@ def _place(source: Column, span: Column) -> Column:
     return F.when(span != "", F.call_function("locate", span, source) - 1)
 
 
-def parse_replies(replies: DataFrame, key: str, raw: str, text: str) -> DataFrame:
-    """One row per reply with placed fields, entities, sentiment and mean confidence."""
+def read_replies(replies: DataFrame, raw: str, text: str) -> DataFrame:
+    """The rows with the reply as ``_r`` (null if it cannot be read), its placed fields, its entities
+    and the mean confidence of its fields."""
     default = F.lit(fv.FIELD_CONFIDENCE["reply_default"])
     source = F.col(text)
-    reply = replies.select(key, text, F.from_json(reply_text(F.col(raw)), REPLY_SCHEMA).alias("_r"))
+    reply = replies.withColumn("_r", F.from_json(reply_text(F.col(raw)), REPLY_SCHEMA))
     given = F.coalesce(F.col("_r.fields"), F.array().cast(FIELDS))
     placed = F.transform(
         given,
@@ -72,14 +76,16 @@ def parse_replies(replies: DataFrame, key: str, raw: str, text: str) -> DataFram
     )
     total = F.aggregate("fields", F.lit(0.0), lambda a, f: a + f.confidence)
     return (
-        reply.select(
-            key,
-            F.col("_r").isNotNull().alias("parsed"),
-            fields.alias("fields"),
-            entities.alias("entities"),
-        )
+        reply.withColumns({"fields": fields, "entities": entities})
         .withColumn(
             "overall_confidence",
             half_up(F.when(F.size("fields") > 0, total / F.size("fields")).otherwise(default), 2),
         )
     )
+
+
+def parse_replies(replies: DataFrame, key: str, raw: str, text: str) -> DataFrame:
+    """One row per reply with placed fields, entities, sentiment and mean confidence."""
+    return read_replies(replies, raw, text).select(
+        key, F.col("_r").isNotNull().alias("parsed"), "fields", "entities", "overall_confidence"
+    )

@@ -106,3 +106,24 @@ def test_late_copies_meet_what_is_stored(spark, tmp_path):
     stream = jobs.distinct_content(jobs.read_new_files(spark, source, schema, files_per_batch=1), "text", "at", "1 day")
     jobs.load_new(stream, target, state, "content_hash", lambda batch: batch).awaitTermination()
     assert sorted(r.text for r in spark.read.parquet(target).select("text").collect()) == ["a", "b", "c"]
+
+
+def test_replies_become_facts(spark):
+    reply = """{"fields": [{"field": "ticket_number", "value": "TK-77", "confidence": 0.9, "text_span": "TK-77"},
+        {"field": "severity", "value": "Sev1", "confidence": 0.6}, {"field": "issue_description", "value": "login  error", "confidence": 0.4}],
+        "entities": [{"type": "date", "value": "x"}, {"type": "company", "value": "Acme"}],
+        "sentiment": "negative", "sentiment_score": 0.2, "topics": ["a", "b"], "key_phrases": ["k"], "summary": "s"}"""
+    rows = [("D1", "customer_intelligence", "text with TK-77 in it", f"```json\n{reply}\n```"), ("D2", "customer_intelligence", "Ticket TK-1234567: outage", "no reply")]
+    docs = spark.createDataFrame([(*r, dt.datetime(2024, 1, 1)) for r in rows], "document_id string, domain string, text string, raw string, arrived_at timestamp")
+    found = staging.extract_replies(docs)
+    assert found.columns == staging.extract(docs.drop("raw")).columns
+    by_id = {r.document_id: r for r in found.collect()}
+    one = by_id["D1"]
+    assert (one.customer_name, one.sentiment, one.topics, one.key_phrases, one.summary) == ("Acme", "negative", ["a", "b"], ["k"], "s")
+    assert (one.fields[0].char_start, one.fields[0].char_end) == (10, 15)
+    facts = {r.document_id: r for r in staging.ticket_facts(found.withColumn("customer_code", F.lit(None).cast("string"))).collect()}
+    assert facts["D1"].ticket_number == "TK-77" and facts["D1"].title == "login error" and facts["D1"].tags == ["a", "b"]
+    assert set(facts) == {"D1", "D2"}
+    weak = staging.low_confidence_items(found).filter("document_id = 'D1'").collect()
+    assert {(r.title, r.priority) for r in weak} >= {("Low-confidence extraction: issue_description", "high"), ("Low-confidence extraction: severity", "medium")}
+    assert staging.extract_replies(docs, fallback=False).count() == 2

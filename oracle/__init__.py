@@ -437,13 +437,13 @@ cte("i_health", ["health"], f"""
             CASE WHEN {rnd('re', 1)} < 50 THEN 'Slow resolution times' END, CASE WHEN {rnd('ic', 1)} < 50 THEN 'Elevated incident frequency' END], lambda x: x IS NOT NULL) AS fs
           FROM health WHERE risk_level <> 'LOW' OR trend = 'DETERIORATING'))""")
 _pct = even_text("pct_change")
-_topic = "(upper(substr(topic, 1, 1)) || substr(topic, 2))"
+_topic = r"array_to_string(list_transform(regexp_extract_all(replace(topic, '_', ' '), '\p{L}+|\P{L}+'), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), '')"
 
 
 def _emerging(source: str, created: str) -> str:
     return f"""
     SELECT {_COLUMNS} {_PRIORITY} AS priority_score, {_TAIL} '{created}' AS created_at FROM (
-    SELECT {sid("'emerging_issue'", _topic)} AS insight_id, 'emerging_issue' AS insight_type, 'Emerging Issue: ' || {_topic} || ' Complaints Spike' AS title,
+    SELECT {sid("'emerging_issue'", 'topic')} AS insight_id, 'emerging_issue' AS insight_type, 'Emerging Issue: ' || {_topic} || ' Complaints Spike' AS title,
            {_topic} || ' complaints have increased by ' || {_pct} || '% compared to the previous period.' AS description,
            'Reports mentioning ''' || {_topic} || ''' increased from ' || previous_count || ' to ' || current_count || ' records — a ' || {_pct} || '% ' || CASE WHEN pct_change > 100 THEN 'surge' ELSE 'increase' END || '.' AS what_happened,
            replace({q(fv.EMERGING_TEXT['why_it_matters'])}, '%s', {_topic}) AS why_it_matters, replace({q(fv.EMERGING_TEXT['action'])}, '%s', {_topic}) AS recommended_action,

@@ -61,6 +61,12 @@ def lookup(table: Mapping[str, object], key: Column, default) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), key), F.lit(default))
 
 
+def title_case(text: Column) -> Column:
+    """Every run of letters with a capital first letter, also after digits and punctuation."""
+    runs = F.regexp_extract_all(text, F.lit(r"\p{L}+|\P{L}+"), F.lit(0))
+    return F.array_join(F.transform(runs, F.initcap), "")
+
+
 def first_items(items: Column, keep: int | None) -> Column:
     """The first ``keep`` items, or all."""
     return items if keep is None else F.slice(items, 1, keep)

@@ -12,7 +12,6 @@ from signalbook import fixed_values as fv
 from signalbook.functions.text import word_count
 from signalbook.functions.values import half_up
 from signalbook.operators.positions import number_rows
-from signalbook.operators.shape import side_by_side
 
 
 def text_pages(
@@ -181,7 +180,3 @@ def dedup_by_hash(documents: DataFrame, content: str, arrival: Sequence[str]) ->
         .agg(first, F.count("*").alias("copies"))
         .select("content_hash", "_first.*", "copies")
     )
-
-
-def one_row(*frames: DataFrame) -> DataFrame:
-    return side_by_side(*frames)

@@ -26,15 +26,12 @@ def critical_fields(record_type: str, fields: Sequence[str] | None = None) -> li
     return list(fields) if fields is not None else fv.CRITICAL_FIELDS.get(record_type, [])
 
 
-def is_missing(df: DataFrame, field: str, falsy: bool = False) -> Column:
-    """Null or empty; with ``falsy`` also 0 and false.  A column that is not there is missing."""
+def is_missing(df: DataFrame, field: str) -> Column:
+    """Null or empty.  A column that is not there is missing."""
     if field not in df.columns:
         return F.lit(True)
     value = F.col(field)
-    missing = value.isNull() | (value.cast("string") == "")
-    if falsy:
-        missing = missing | F.coalesce(value.cast("string").isin("0", "0.0", "false"), F.lit(False))
-    return missing
+    return value.isNull() | (value.cast("string") == "")
 
 
 def rule_for(column: str) -> tuple[str, str] | None:

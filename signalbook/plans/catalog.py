@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from signalbook.functions import extract as ex
 from signalbook.functions import lexicon, text as tx
-from signalbook.functions.values import blank_to_null, half_up, instant, stable_id
+from signalbook.functions.values import half_up, instant, stable_id
 from signalbook.operators import causes, health, impact, profile, quality, resolve, serving
 from signalbook.operators import series, staging, topics
 from signalbook.plans import insights as ins

@@ -12,6 +12,7 @@ from signalbook.functions.values import (
     half_even_text,
     half_up,
     stable_id,
+    title_case,
 )
 from signalbook.operators.impact import priority_score
 
@@ -33,7 +34,7 @@ def _insight(df: DataFrame, as_of: Column, **columns) -> DataFrame:
     """The insight row: given columns, priority, stable id and defaults."""
     none = F.lit(None)
     c = {k: v if isinstance(v, Column) else F.lit(v) for k, v in columns.items()}
-    entity = F.coalesce(c.get("entity_id", none).cast("string"), c["entity_name"])
+    entity = c.get("key", F.coalesce(c.get("entity_id", none).cast("string"), c["entity_name"]))
     money = c.get("financial_impact_estimate", none).cast("double")
     people = c["affected_population"].cast("bigint")
     order = [
@@ -123,13 +124,14 @@ def emerging_insights(emerging: DataFrame, as_of: Column, k: int | None = 5) ->
     text = fv.EMERGING_TEXT
     if k is not None:
         emerging = emerging.orderBy(F.desc("pct_change"), "topic").limit(k)
-    topic = F.initcap(F.translate("topic", "_", " "))
+    topic = title_case(F.translate("topic", "_", " "))
     now, before = F.col("current_count"), F.col("previous_count")
     pct = half_even_text(F.col("pct_change"))
     return _insight(
         emerging,
         as_of,
         insight_type="emerging_issue",
+        key=F.col("topic"),
         title=F.format_string(text["title"], topic),
         description=F.format_string(text["description"], topic, pct),
         what_happened=F.format_string(

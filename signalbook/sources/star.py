@@ -30,6 +30,16 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
+#: Session setting: deal tables out to so many tasks before costly row work.  Unset, they stay as read.
+SPREAD_SETTING = "signalbook.spread.partitions"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt out anew if the session asks for it: a file of one row group is one task."""
+    parts = df.sparkSession.conf.get(SPREAD_SETTING, None)
+    return df.repartition(int(parts)) if parts and not df.isStreaming else df
+
+
 def word(seed: Column, start: int = 1, length: int = 8) -> Column:
     """A made-up capitalised name of letters a-p, fixed by the seed."""
     letters = F.translate(F.substring(F.md5(seed), start, length), "0123456789", "ghijklmnop")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signalbook.sources.star import Tables, company_name, padded, word
+from signalbook.sources.star import Tables, company_name, padded, spread, word
 
 ISSUES = [
     "VPN down, unable to connect to VPN through the tunnel",
@@ -96,7 +96,7 @@ def ticket_texts(t: Tables) -> DataFrame:
             )
         )
     )
-    return t.orders.select(
+    return spread(t.orders).select(
         padded("TXT-", key).alias("document_id"),
         pick(DOMAINS, key).alias("domain"),
         day.alias("arrived_at"),
@@ -144,7 +144,7 @@ def service_mentions(t: Tables) -> DataFrame:
         .when(how == 8, F.concat_ws(" ", F.lit("Fresh"), word(F.concat(F.lit("f"), (supp % 20).cast("string")))))
         .otherwise(full)
     )
-    return t.lineitem.select(
+    return spread(t.lineitem).select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("document_id"),
         F.lit("service").alias("entity_type"),
         raw.alias("raw_value"),
@@ -159,7 +159,7 @@ def dirty_tickets(t: Tables) -> DataFrame:
     none = F.lit(None).cast("string")
     urgency = F.lower(F.element_at(F.split("o_orderpriority", "-"), 2))
     name = padded("Customer#", F.col("o_custkey"))
-    return t.orders.select(
+    return spread(t.orders).select(
         padded("R-", key).alias("row_id"),
         F.when(key % 17 == 0, "").otherwise(F.concat(F.lit("TK-"), (key % 9000).cast("string"))).alias("ticket_number"),
         F.when(key % 13 == 0, none).otherwise(name).alias("customer_name"),

@@ -57,10 +57,12 @@ def test_severity_first_level_wins(spark):
     assert got == [("critical", 0.82), ("high", 0.82), ("medium", 0.82), ("low", 0.82), ("medium", 0.55)]
 
 
-def test_topics_in_order_at_most_five(spark):
+def test_topics_in_order_and_the_first_five(spark):
     given = ["mail network hack lost data install refund slow login vpn", "crash", "hello"]
-    got = one_column(spark, given, lexicon.topics)
-    assert got == [["vpn", "authentication", "performance", "billing", "onboarding"], ["availability"], []]
+    first = ["vpn", "authentication", "performance", "billing", "onboarding"]
+    got = one_column(spark, given, lambda text: lexicon.topics(text, keep=5))
+    assert got == [first, ["availability"], []]
+    assert one_column(spark, given, lexicon.topics)[0] == [*first, "data_loss", "security", "network", "email"]
 
 
 def test_issue_class_ties_and_counts(spark):

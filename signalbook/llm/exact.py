@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from signalbook.llm.common import ascii_lower, free_name, staged, text_of
+from signalbook.llm.common import ascii_lower, keep_once, staged, text_of
 
 #: Keys in a bucket before it splits, and the most bits of the hash that the directory uses.
 BUCKET_KEYS = 100_000
@@ -24,20 +24,27 @@ DIRECTORY_BITS = 16
 def directory(keys: DataFrame, capacity: int = BUCKET_KEYS, bits: int = DIRECTORY_BITS) -> DataFrame:
     """Cells of the directory at its full depth: cell, depth of its bucket, bucket (its first cell).
 
-    Counts the keys per cell of ``bits`` leading bits and lets every cell look up the shallowest
-    depth at which its bucket is not overfull.  At most 2**bits rows whatever the input.
+    Counts the keys per cell of ``bits`` leading bits and per prefix of every depth.  A prefix is a
+    bucket if it is not overfull (or cannot be split) while the prefix above it is.  In the order of
+    the cells each one belongs to the bucket that began last.  At most 2**bits cells, and as many
+    buckets, whatever the input: one task orders them.
     """
     cells = keys.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-    levels = cells.select("cell", "n", F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("depth")).withColumn(
-        "prefix", F.expr(f"shiftright(cell, {bits} - depth)")
+    prefixes = (
+        cells.select("n", "cell", F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("depth"))
+        .groupBy("depth", F.expr(f"shiftright(cell, {bits} - depth)").alias("prefix"))
+        .agg(F.sum("n").alias("held"))
     )
-    buckets = levels.groupBy("depth", "prefix").agg(F.sum("n").alias("held"))
-    fits = levels.join(buckets, ["depth", "prefix"]).where((F.col("held") <= capacity) | (F.col("depth") == bits))
-    return (
-        fits.groupBy("cell")
-        .agg(F.min("depth").alias("depth"))
-        .withColumn("bucket", F.expr(f"shiftleft(shiftright(cell, {bits} - depth), {bits} - depth)"))
+    full = prefixes.where(F.col("held") > capacity).select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("above"))
+    ends = prefixes.where((F.col("held") <= capacity) | (F.col("depth") == bits)).withColumn("above", F.shiftright("prefix", 1))
+    below_full = ends.where("depth > 0").join(full, ["depth", "above"], "left_semi")
+    buckets = below_full.unionByName(ends.where("depth = 0")).select(
+        F.expr(f"shiftleft(prefix, {bits} - depth)").alias("cell"), "depth"
     )
+    so_far = Window.orderBy("cell", F.col("depth").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    begun = F.last(F.when(F.col("depth").isNotNull(), F.struct("depth", F.col("cell").alias("bucket"))), ignorenulls=True)
+    marked = buckets.unionByName(cells.select("cell"), allowMissingColumns=True).withColumn("in", begun.over(so_far))
+    return marked.where(F.col("depth").isNull()).select("cell", "in.depth", "in.bucket")
 
 
 def _key(text: Column, key_bits: int) -> Column:
@@ -100,20 +107,7 @@ def exact_groups(
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
-
-    Of repeated rows with the same id and text one stays: it carries the smallest position in its
-    group of equal (id, text) rows; which of them that is does not matter for id and text.
-    """
-    groups = exact_groups(docs, id_col, text_col, **settings).where("kept").select("doc_id", "text_sha256")
-    id_, sha, place = (free_name(docs, name) for name in ("_id", "_sha", "_place"))
-    marked = docs.withColumn(sha, F.sha2(ascii_lower(text_of(text_col)), 256))
-    groups = groups.withColumnsRenamed({"doc_id": id_, "text_sha256": sha})
-    same = Window.partitionBy(id_col, sha).orderBy(F.lit(0))
-    left, right = marked.alias("l"), groups.alias("r")
-    return (
-        left.join(right, F.col(f"l.{sha}").eqNullSafe(F.col(f"r.{sha}")) & F.col(f"l.`{id_col}`").eqNullSafe(F.col(f"r.{id_}")), "left_semi")
-        .withColumn(place, F.row_number().over(same))
-        .where(F.col(place) == 1)
-        .drop(sha, place)
-    )
+    """The rows of ``docs`` that stay, with all their columns; of rows with the same id and text one."""
+    groups = exact_groups(docs, id_col, text_col, **settings).where("kept")
+    kept = groups.select("doc_id", F.col("text_sha256").alias("key"))
+    return keep_once(docs, kept, id_col, F.sha2(ascii_lower(text_of(text_col)), 256))

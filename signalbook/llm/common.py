@@ -46,6 +46,25 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def keep_once(docs: DataFrame, kept: DataFrame, id_col: str, key: Column) -> DataFrame:
+    """The rows of ``docs`` whose (id, key) is in ``kept`` (doc_id, key), one row for each of these.
+
+    Ids may be null.  Join and row number share one partitioning, so a text moves once.
+    """
+    names = [free_name(docs, name) for name in ("_id", "_no_id", "_key", "_place")]
+    parts = lambda id_, key_: (F.coalesce(id_.cast("string"), F.lit("")), id_.isNull(), key_)
+    named = lambda id_, key_: [c.alias(n) for c, n in zip(parts(id_, key_), names)]
+    marked = docs.select("*", *named(F.col(f"`{id_col}`"), key))
+    wanted = kept.select(*named(F.col("doc_id"), F.col("key")))
+    same = Window.partitionBy(*names[:3]).orderBy(F.lit(0))
+    return (
+        marked.join(wanted, names[:3], "left_semi")
+        .withColumn(names[3], F.row_number().over(same))
+        .where(F.col(names[3]) == 1)
+        .select(*[F.col(f"`{c}`") for c in docs.columns])
+    )
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """The rows written as Parquet in the shared folder and read again.
 

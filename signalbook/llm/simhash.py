@@ -19,10 +19,10 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signalbook.llm.common import ascii_lower, by_value, free_name, staged, text_of, words
+from signalbook.llm.common import ascii_lower, by_value, keep_once, staged, text_of, words
 from signalbook.llm.components import components
 
 SHINGLE_WORDS = 4
@@ -210,6 +210,8 @@ def near_groups(
     smallest = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     of_linked = rooted.select("fp", "root").join(smallest, "root").select("fp", "component_id")
     of_fp = least.join(of_linked, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"))
+    # Written, so that the join below is one of two plain exchanges, whose hot partitions Spark splits.
+    of_fp = staged(of_fp, "component-of")
     return rows.join(of_fp, "fp").select("doc_id", "text_key", "fp", "component_id")
 
 
@@ -226,12 +228,8 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first")
     # Components without any id are kept apart by their fingerprint.
     kept = groups.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("loose")).agg(first)
-    id_, key, place = (free_name(docs, name) for name in ("_near_id", "_near_key", "_near_place"))
-    kept = kept.select(F.col("first.doc_id").alias(id_), F.col("first.text_key").alias("_r"))
-    marked = docs.withColumn(key, F.xxhash64(text_of(text_col)))
-    same = Window.partitionBy(id_col, key).orderBy(F.lit(0))
-    on = marked[key].eqNullSafe(kept["_r"]) & marked[f"`{id_col}`"].eqNullSafe(kept[id_])
-    return marked.join(kept, on, "left_semi").withColumn(place, F.row_number().over(same)).where(F.col(place) == 1).drop(key, place)
+    kept = kept.select("first.doc_id", F.col("first.text_key").alias("key"))
+    return keep_once(docs, kept, id_col, F.xxhash64(text_of(text_col)))
 
 
 by_value(__name__)

@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain, count
 from typing import NamedTuple
 
 import numpy as np
@@ -33,14 +34,16 @@ BLANK = 0x2581
 #: Stands for a literal U+2581 in a text: outside Unicode, so no piece has it.
 LITERAL_BLANK = 0x110001
 KEY_SHIFT = 21
-CHUNK_CHARS = 1_000_000
+SLOT_BITS = 18
+CHUNK_CHARS = 2_000_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Vocabulary(NamedTuple):
-    """Trie of the pieces as sorted arrays, and the bytes of every id."""
+    """Trie of the pieces as a hash table in arrays, and the bytes of every id."""
 
-    keys: np.ndarray  # node << 21 | character, sorted
+    slot: np.ndarray  # of a hash of (node, character): where its keys begin, one more at the end
+    keys: np.ndarray  # node << 21 | character, in the order of their hashes; one that is none at the end
     child: np.ndarray
     piece: np.ndarray  # id of the piece that ends at a node, or -1
     log_weight: np.ndarray  # by id
@@ -75,7 +78,11 @@ def load(model_file: str = MODEL, alpha: float = ALPHA) -> Vocabulary:
                 piece.append(-1)
             node = nodes[key]
         piece[node] = i
-    keys = np.array(sorted(nodes), np.int64)
+    keys = np.array(list(nodes), np.int64)
+    hashed = _slot_of(keys)
+    by_hash = np.argsort(hashed, kind="stable")
+    slot = np.searchsorted(hashed[by_hash], np.arange(2**SLOT_BITS + 1)).astype(np.int32)
+    child = np.array(list(nodes.values()), np.int64)[by_hash]
     rank = np.maximum(np.arange(size) - 256, 1)
     weight = -alpha * np.log(rank + 1.0)
     weight[is_byte] = -alpha * np.log(size + 1.0)
@@ -83,7 +90,26 @@ def load(model_file: str = MODEL, alpha: float = ALPHA) -> Vocabulary:
         b"" if special[i] else bytes([int(n[3:5], 16)]) if is_byte[i] else n.replace(chr(BLANK), " ").encode()
         for i, n in enumerate(names)
     ]
-    return Vocabulary(keys, np.array([nodes[k] for k in keys.tolist()], np.int64), np.array(piece, np.int64), weight, spelling, first_byte, parted)
+    keys, child = np.append(keys[by_hash], -1), np.append(child, 0)
+    return Vocabulary(slot, keys, child, np.array(piece, np.int64), weight, spelling, first_byte, parted)
+
+
+def _slot_of(key: np.ndarray) -> np.ndarray:
+    return ((key.astype(np.uint64) * GOLDEN) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _find(voc: Vocabulary, key: np.ndarray) -> np.ndarray:
+    """Where each key stands in the table, or -1."""
+    slot = _slot_of(key)
+    at, end = voc.slot[slot], voc.slot[slot + 1]
+    found = np.where((voc.keys[at] == key) & (at < end), at, -1)
+    open_ = np.flatnonzero((found < 0) & (at + 1 < end))
+    while len(open_):
+        at[open_] += 1
+        hit = voc.keys[at[open_]] == key[open_]
+        found[open_[hit]] = at[open_[hit]]
+        open_ = open_[~hit & (at[open_] + 1 < end[open_])]
+    return found
 
 
 def _utf8_length(character: np.ndarray) -> np.ndarray:
@@ -91,11 +117,11 @@ def _utf8_length(character: np.ndarray) -> np.ndarray:
 
 
 class Lattice(NamedTuple):
-    """Arcs of many parts, grouped by the node they end at."""
+    """Arcs of many parts, grouped by the node they end at, the longest first."""
 
     reach: np.ndarray  # log of the summed weight of all ways to a node
-    order: np.ndarray  # of a node: its place among the groups, -1 for the first node of a part
-    upto: np.ndarray  # of an arc: place of its group + cumulative probability
+    first: np.ndarray  # of a node: its first arc, -1 for the first node of a part
+    upto: np.ndarray  # of an arc: cumulative probability within its group, 1 for the last
     start: np.ndarray  # node at which the arc begins
     token: np.ndarray  # id, or -1 - character if it is spelt in several bytes
     final: np.ndarray  # last node of every part
@@ -114,8 +140,8 @@ def lattice(parts: list[str], voc: Vocabulary) -> Lattice:
     starts, ends, tokens = [], [], []
     while len(begin):
         key = node << KEY_SHIFT | text[end]
-        place = np.minimum(np.searchsorted(voc.keys, key), len(voc.keys) - 1)
-        found = voc.keys[place] == key
+        place = _find(voc, key)
+        found = place >= 0
         begin, end, node = begin[found], end[found] + 1, voc.child[place[found]]
         whole = voc.piece[node] >= 0
         starts.append(begin[whole])
@@ -138,14 +164,15 @@ def lattice(parts: list[str], voc: Vocabulary) -> Lattice:
     owner = part[start]
     depth = end - base[owner]
     start, end = start + owner, end + owner
-    sort = np.lexsort((end, depth))
+    # Arcs were found in the order of their lengths: turned round, the likeliest mostly come first.
+    sort = len(end) - 1 - np.argsort((depth * (len(text) + len(parts) + 1) + end)[::-1], kind="stable")
     start, end, token, weight, depth = start[sort], end[sort], token[sort], weight[sort], depth[sort]
     first = np.flatnonzero(np.append(True, end[1:] != end[:-1])) if len(end) else np.zeros(0, np.int64)
     group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(end))))
     reach = np.full(len(text) + len(parts), -np.inf)
     reach[base + np.arange(len(parts))] = 0.0
-    order = np.full(len(reach), -1, np.int64)
-    order[end[first]] = np.arange(len(first))
+    first_arc = np.full(len(reach), -1, np.int64)
+    first_arc[end[first]] = first
     share = np.zeros(len(end))
     levels = np.append(np.flatnonzero(np.append(True, depth[1:] != depth[:-1])), len(depth)) if len(depth) else []
     for a, b in zip(levels[:-1], levels[1:]):
@@ -158,10 +185,10 @@ def lattice(parts: list[str], voc: Vocabulary) -> Lattice:
         reach[end[a:b][inner]] = top + np.log(total)
         share[a:b] = raised / total[mine]
     run = np.cumsum(share)
-    upto = group + (run - (run[first] - share[first])[group])
+    upto = run - (run[first] - share[first])[group]
     if len(first):
-        upto[np.append(first[1:], len(end)) - 1] = np.arange(len(first)) + 1.0
-    return Lattice(reach, order, upto, start, token, base + sizes + np.arange(len(parts)))
+        upto[np.append(first[1:], len(end)) - 1] = 1.0
+    return Lattice(reach, first_arc, upto, start, token, base + sizes + np.arange(len(parts)))
 
 
 def _uniform(seed: np.ndarray, counter: np.ndarray) -> np.ndarray:
@@ -179,18 +206,20 @@ def sample(lat: Lattice, part: np.ndarray, seed: np.ndarray, offset: np.ndarray)
     """
     node = lat.final[part]
     back = offset - node  # position in the row minus node: constant along the walk
-    active = np.flatnonzero(lat.order[node] >= 0)
+    active = np.flatnonzero(lat.first[node] >= 0)
     steps, counts = [], np.zeros(len(part), np.int64)
     while len(active):
         now = node[active]
-        where = lat.order[now]
         u = _uniform(seed[active], (back[active] + now).astype(np.int64))
-        arc = np.searchsorted(lat.upto, where + u, "right")
-        arc = np.minimum(arc, len(lat.upto) - 1)
+        arc = lat.first[now]
+        past = np.flatnonzero(lat.upto[arc] <= u)
+        while len(past):
+            arc[past] += 1
+            past = past[lat.upto[arc[past]] <= u[past]]
         steps.append((active, lat.token[arc]))
         counts[active] += 1
         node[active] = lat.start[arc]
-        active = active[lat.order[node[active]] >= 0]
+        active = active[lat.first[node[active]] >= 0]
     out = np.zeros(int(counts.sum()), np.int64)
     last = np.cumsum(counts) - 1
     for step, (who, token) in enumerate(steps):
@@ -203,20 +232,19 @@ _PARTS = re.compile(r" *[^ ]+| +")
 
 def encode_batch(texts: list[str], seeds: np.ndarray, voc: Vocabulary) -> list[np.ndarray]:
     """Sampled ids of every text.  An empty text has none."""
-    number: dict[str, int] = {}
-    occurring, owners, offsets = [], [], []
-    for i, text in enumerate(texts):
-        if not text:
-            continue
-        cut = _PARTS.findall(" " + text) if voc.parted else [" " + text]
-        occurring.extend([number.setdefault(p, len(number)) for p in cut])
-        owners.append((i, len(cut)))
-        offsets.append(np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut))))
-    if not owners:
+    cuts = [(_PARTS.findall(" " + text) if voc.parted else [" " + text]) if text else [] for text in texts]
+    sizes = np.array([len(cut) for cut in cuts], np.int64)
+    parts = list(chain.from_iterable(cuts))
+    if not parts:
         return [np.zeros(0, np.int32) for _ in texts]
+    number = dict(zip(dict.fromkeys(parts), count()))
+    occurring = np.fromiter(map(number.__getitem__, parts), np.int64, len(parts))
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+    # Ends within the row: less what the rows before it hold.
+    before = np.append(0, ends)[np.cumsum(sizes) - sizes]
+    rows = np.repeat(np.arange(len(texts)), sizes)
     lat = lattice(list(number), voc)
-    rows = np.repeat([i for i, _ in owners], [n for _, n in owners])
-    tokens, counts = sample(lat, np.array(occurring, np.int64), seeds.view(np.uint64)[rows], np.concatenate(offsets))
+    tokens, counts = sample(lat, occurring, seeds.view(np.uint64)[rows], ends - before[rows])
     spelt = tokens < 0
     per_row = np.bincount(rows, counts, minlength=len(texts)).astype(np.int64)
     if spelt.any():

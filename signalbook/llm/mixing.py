@@ -78,7 +78,24 @@ def _pieces(rows: Column) -> Column:
     return F.ceil(rows / F.lit(PIECE_ROWS)).cast("long")
 
 
-def mix(
+KEYS = ["queue", "key", "size"]
+
+
+def _queue(source: Column) -> Column:
+    """Null-free form of the source for joining: '=name', or the empty string for null."""
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
+
+
+def _key(doc_id: Column) -> Column:
+    return F.coalesce(doc_id.cast("string"), F.lit("null"))
+
+
+def _copies(place: str) -> Column:
+    """How often the row at a place among equal rows is taken: in the epochs that reach it."""
+    return F.coalesce(F.size(F.filter("goes", lambda g: g >= F.col(place))), F.lit(0))
+
+
+def _schedule(
     docs: DataFrame,
     weights: Sequence[float] | Mapping[str, float] = WEIGHTS,
     budget_share: float = BUDGET_SHARE,
@@ -87,15 +104,10 @@ def mix(
     id_col: str = "doc_id",
     source_col: str = "source",
     text_col: str = "text",
-) -> DataFrame:
-    """One row per row of ``docs``: doc_id, size, source, source_size, target, copies, taken, first_finish.
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sizes with their number of rows, sources with targets, and what is taken of each size entry.
 
-    size counts the words; copies says how often the mix takes the document (0 to ``epochs``) and
-    taken how many words that is.  A document goes in whole or not at all.  The one that straddles
-    its source's target goes in if at least half of it lies below, so each source ends within its
-    largest document of its target.  The order is a hash of seed, epoch and id, so reruns agree.
-    A null text has size 0; a document without words costs nothing and is taken once.  Repeated
-    rows queue one behind the other.  An empty table gives no rows.
+    The last has KEYS, first_finish and goes: for every epoch how many of the equal rows go in.
     """
     size = F.size(words(text_of(text_col))).cast("long")
     sized = staged(
@@ -105,8 +117,7 @@ def mix(
         "mix-sizes",
     )
     sources = source_targets(sized, weights, budget_share, epochs)
-    # Null-free form of the source for joining: '=name', or the empty string for null.
-    queue = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
+    queue = _queue(F.col("source"))
     queued = (
         sized.withColumn("queue", queue)
         .join(sources.withColumn("queue", queue).drop("source"), "queue")
@@ -138,20 +149,31 @@ def mix(
         "goes",
         F.when(F.col("size") == 0, F.col("fits")).otherwise(F.least(F.greatest(left, F.lit(0)), F.col("fits"))).cast("long"),
     ).where("goes > 0")
-    keys = ["queue", "key", "size"]
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     taken = (
-        cut.withColumn("key", key)
-        .groupBy(*keys)
+        cut.withColumn("key", _key(F.col("doc_id")))
+        .groupBy(*KEYS)
         .agg(F.collect_list("goes").alias("goes"), F.min("finish").alias("first_finish"))
     )
+    return sized, sources, taken
+
+
+def mix(docs: DataFrame, **settings) -> DataFrame:
+    """One row per row of ``docs``: doc_id, size, source, source_size, target, copies, taken, first_finish.
+
+    size counts the words; copies says how often the mix takes the document (0 to ``epochs``) and
+    taken how many words that is.  A document goes in whole or not at all.  The one that straddles
+    its source's target goes in if at least half of it lies below, so each source ends within its
+    largest document of its target.  The order is a hash of seed, epoch and id, so reruns agree.
+    A null text has size 0; a document without words costs nothing and is taken once.  Repeated
+    rows queue one behind the other.  An empty table gives no rows.
+    """
+    sized, sources, taken = _schedule(docs, **settings)
     rows = (
-        sized.withColumn("queue", queue)
-        .withColumn("key", key)
-        .join(sources.withColumn("queue", queue).drop("source"), "queue")
-        .join(taken, keys, "left")
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
-        .withColumn("copies", F.coalesce(F.size(F.filter("goes", lambda g: g >= F.col("copy"))), F.lit(0)))
+        sized.withColumns({"queue": _queue(F.col("source")), "key": _key(F.col("doc_id"))})
+        .join(sources.withColumn("queue", _queue(F.col("source"))).drop("source"), "queue")
+        .join(taken, KEYS, "left")
+        .withColumn("place", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
+        .withColumn("copies", F.when(F.col("goes").isNull(), 0).otherwise(_copies("place")).cast("int"))
     )
     return rows.select(
         "doc_id",
@@ -159,41 +181,35 @@ def mix(
         "source",
         F.col("source_size").cast("long").alias("source_size"),
         "target",
-        F.when(F.col("goes").isNull(), 0).otherwise(F.col("copies")).cast("int").alias("copies"),
-        "copy",
+        "copies",
+        (F.col("size") * F.col("copies")).alias("taken"),
         "first_finish",
-    ).withColumn("taken", F.col("size") * F.col("copies"))
+    )
 
 
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """The documents of the mix with their own columns, each as often as it is taken.
 
-    Rows with the same id, source and size take their copies in turn.
+    Rows with the same id, source and size take their copies in turn.  Join and row number share one
+    partitioning, so a text moves once.
     """
-    id_col, source_col, text_col = (settings.get(k, v) for k, v in (("id_col", "doc_id"), ("source_col", "source"), ("text_col", "text")))
-    plan = mix(docs, **settings).where("copies > 0")
-    names = {name: free_name(docs, f"_mix_{name}") for name in ("id", "queue", "size", "copy", "copies")}
-    queue = lambda column: F.coalesce(F.concat(F.lit("="), column.cast("string")), F.lit(""))
-    key = lambda column: F.coalesce(column.cast("string"), F.lit("null"))
+    id_col, source_col, text_col = (settings.get(f"{k}_col", d) for k, d in (("id", "doc_id"), ("source", "source"), ("text", "text")))
+    _, _, taken = _schedule(docs, **settings)
+    names = {name: free_name(docs, f"_mix_{name}") for name in (*KEYS, "goes", "place", "again")}
     marked = docs.select(
         "*",
-        key(F.col(id_col)).alias(names["id"]),
-        queue(F.col(source_col)).alias(names["queue"]),
+        _queue(F.col(f"`{source_col}`")).alias(names["queue"]),
+        _key(F.col(f"`{id_col}`")).alias(names["key"]),
         F.size(words(text_of(text_col))).cast("long").alias(names["size"]),
     )
-    same = Window.partitionBy(names["id"], names["queue"], names["size"]).orderBy(F.lit(0))
-    marked = marked.withColumn(names["copy"], F.row_number().over(same))
-    plan = plan.select(
-        key(F.col("doc_id")).alias(names["id"]),
-        queue(F.col("source")).alias(names["queue"]),
-        F.col("size").alias(names["size"]),
-        F.col("copy").alias(names["copy"]),
-        F.col("copies").alias(names["copies"]),
-    )
-    on = [names[k] for k in ("id", "queue", "size", "copy")]
-    again = free_name(docs, "_mix_again")
+    on = [names[k] for k in KEYS]
+    goes, place = names["goes"], names["place"]
+    taken = taken.select(*[F.col(k).alias(names[k]) for k in (*KEYS, "goes")])
+    copies = F.size(F.filter(goes, lambda g: g >= F.col(place)))
     return (
-        marked.join(plan, on)
-        .withColumn(again, F.explode(F.sequence(F.lit(1), F.col(names["copies"]))))
+        marked.join(taken, on)
+        .withColumn(place, F.row_number().over(Window.partitionBy(*on).orderBy(F.lit(0))))
+        .where(copies > 0)
+        .withColumn(names["again"], F.explode(F.sequence(F.lit(1), copies)))
         .select(*[F.col(f"`{c}`") for c in docs.columns])
     )

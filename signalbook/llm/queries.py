@@ -23,8 +23,8 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sampled segmentation of every document, and whether decoding gives the text back."""
-    return pieces.encode(_table(spark, sf_dir, "documents"), ids=False)
+    """The piece ids of a sampled segmentation of every document, and whether decoding gives the text back."""
+    return pieces.encode(_table(spark, sf_dir, "documents"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

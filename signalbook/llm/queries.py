@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalbook.llm import dialogue, exact, fingerprints, html_text, lines, mixing, pieces, quality, secrets, simhash
+from signalbook.llm import dialogue, exact, fill_middle, fingerprints, html_text, licenses, lines, merkle, mixing, pieces, quality, secrets, simhash
+from signalbook.llm.common import ascii_lower
 from signalbook.llm.sql import SQL
 from signalbook.session import scratch_path
 
@@ -88,6 +89,56 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A proof for every document, folded with its digest or that of a tampered text."""
+    docs = _table(spark, sf_dir, "documents")
+    spoilt = [ascii_lower(F.col("text")) if name == "text" else F.col(name) for name in merkle.FIELDS]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, merkle.leaf_digest(spoilt))
+    manifest = merkle.build(docs, carry={"tampered": tampered})
+    proven = merkle.prove(manifest, manifest.leaves.select("tree", "rank", "id", "tampered"))
+    folded = merkle.fold(F.coalesce("tampered", "leaf"), F.col("proof"))
+    return proven.select(
+        F.col("id").alias("doc_id"),
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(merkle.proof_text(F.col("proof")), 256).alias("proof_sha256"),
+        folded.alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices in every document."""
+    found = licenses.scan(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["exact"])
+    names = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
+    starts = F.transform(base, lambda s: s["start"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        names(base).alias("base_labels"),
+        names(F.col("spans")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["score"])), F.lit(0.0)).alias("score"),
+    )
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document rearranged for infilling, and rebuilt from the result."""
+    made = fill_middle.rearrange(_table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
@@ -101,6 +152,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_simhash,
         op9_exact_dedup,
         op10_secrets,
+        op11_merkle_manifest,
+        op12_license_scan,
+        op13_fill_middle,
     )
 }
 

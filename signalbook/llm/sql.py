@@ -1,5 +1,7 @@
 """SQL that gives the rows of the corpus queries, written apart from the operators."""
 
+from signalbook.llm.licenses import TEMPLATES
+
 OP1 = r"""
 WITH sized AS (
     SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
@@ -102,4 +104,158 @@ SELECT conv_id, perspective, turn, place, speaker, head, body, start,
 FROM placed
 """
 
-SQL = {"op3_line_dedup": OP3, "op5_chat_perspectives": OP5, "op1_mix_sources": OP1, "op9_exact_dedup": OP9}
+OP11 = r"""
+WITH RECURSIVE leaf AS (
+    SELECT row_number() OVER () AS row, doc_id, lang, text,
+        concat(CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(doc_id::VARCHAR) || ':' || doc_id END,
+            CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END,
+            CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END,
+            CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(n_chars::VARCHAR) || ':' || n_chars END) AS head,
+        list_reduce(list_concat([4294967295], flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+            lambda c: [ord(c), 0, 0, 0, 0, 0, 0, 0]))),
+            lambda a, b: xor(xor(a::BIGINT, b::BIGINT) >> 1, CASE WHEN xor(a::BIGINT, b::BIGINT) % 2 = 1 THEN 3988292384 ELSE 0 END::BIGINT)) AS crc
+    FROM documents
+), hashed AS (
+    SELECT row, doc_id, lang,
+        sha256(head || CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END) AS leaf,
+        CASE WHEN xor(crc::BIGINT, 4294967295) % 3 = 0 THEN sha256(head || CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' ||
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END) END AS spoilt
+    FROM leaf
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, row) - 1 AS place,
+        dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree
+    FROM hashed
+), nodes AS (
+    SELECT tree, 0 AS level, place, leaf AS digest FROM placed
+    UNION ALL
+    SELECT tree, any_value(level) + 1, place // 8, sha256(string_agg(digest, '' ORDER BY place))
+    FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM nodes)
+    WHERE n > 1
+    GROUP BY tree, place // 8
+), sized AS (
+    SELECT *, count(*) OVER (PARTITION BY tree, level) AS n FROM nodes
+), subroots AS (
+    SELECT tree, digest AS subroot FROM sized WHERE n = 1 QUALIFY row_number() OVER (PARTITION BY tree ORDER BY level) = 1
+), tops AS (
+    SELECT 0 AS level, tree AS place, subroot AS digest FROM subroots
+    UNION ALL
+    SELECT any_value(level) + 1, place // 8, sha256(string_agg(digest, '' ORDER BY place))
+    FROM (SELECT *, count(*) OVER () AS n FROM tops)
+    WHERE n > 1
+    GROUP BY place // 8
+), root AS (
+    SELECT digest AS root FROM tops ORDER BY level DESC LIMIT 1
+), around AS (
+    SELECT tree, level, place,
+        coalesce(string_agg(digest, '') OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+        coalesce(string_agg(digest, '') OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+    FROM sized WHERE n > 1
+    WINDOW run AS (PARTITION BY tree, level, place // 8 ORDER BY place)
+), above AS (
+    SELECT level, place,
+        coalesce(string_agg(digest, '') OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+        coalesce(string_agg(digest, '') OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+    FROM (SELECT *, count(*) OVER (PARTITION BY level) AS n FROM tops) WHERE n > 1
+    WINDOW run AS (PARTITION BY level, place // 8 ORDER BY place)
+), steps AS (
+    SELECT p.row, a.level, a.l, a.r FROM placed p JOIN around a ON a.tree = p.tree AND a.place = p.place // (8 ** a.level)::BIGINT
+    UNION ALL
+    SELECT p.row, 100 + a.level, a.l, a.r FROM placed p JOIN above a ON a.place = p.tree // (8 ** a.level)::BIGINT
+), proofs AS (
+    SELECT row, list({'l': l, 'v': '', 'r': r} ORDER BY level) AS steps, string_agg(l || r, '' ORDER BY level) AS siblings
+    FROM steps GROUP BY row
+)
+SELECT p.doc_id, p.leaf, s.subroot, root, sha256(coalesce(f.siblings, '')) AS proof_sha256,
+    list_reduce(list_concat([{'l': '', 'v': coalesce(p.spoilt, p.leaf), 'r': ''}], coalesce(f.steps, [])),
+        lambda a, b: {'l': '', 'v': sha256(b.l || a.v || b.r), 'r': ''}).v AS folded_root,
+    folded_root = root AS verified
+FROM placed p JOIN subroots s ON s.tree = p.tree LEFT JOIN proofs f ON f.row = p.row, root
+"""
+
+OP12 = r"""
+WITH said AS (
+    SELECT row_number() OVER () AS row, doc_id,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+    FROM documents
+), template AS (
+    SELECT number, label, exact, string_split(phrase, ' ') AS words FROM (VALUES {templates}) t(number, label, exact, phrase)
+), run AS (
+    SELECT number, label, exact, len(words) AS size, unnest(range(len(words) - 2)) AS place,
+        unnest(list_transform(range(len(words) - 2), lambda i: words[i + 1:i + 3])) AS gram
+    FROM template
+), heard AS (
+    SELECT row, unnest(range(greatest(len(words) - 2, 0))) AS spot,
+        unnest(list_transform(range(greatest(len(words) - 2, 0)), lambda i: words[i + 1:i + 3])) AS gram
+    FROM said
+), hit AS (
+    SELECT h.row, r.number, r.label, r.exact, r.size, h.spot, r.place, h.spot - r.place AS diagonal
+    FROM heard h JOIN run r ON h.gram = r.gram
+), phrase AS (
+    SELECT row, label, exact, diagonal AS start, 1.0::DOUBLE AS score
+    FROM hit WHERE exact GROUP BY row, number, label, exact, size, diagonal HAVING count(DISTINCT place) = size - 2
+), marked AS (
+    SELECT *, coalesce(diagonal - lag(diagonal) OVER line > 3, true)::INT AS begins
+    FROM hit WHERE NOT exact
+    WINDOW line AS (PARTITION BY row, number ORDER BY diagonal, place)
+), grouped AS (
+    SELECT *, sum(begins) OVER (PARTITION BY row, number ORDER BY diagonal, place) AS cluster FROM marked
+), merged AS (
+    SELECT row, label, exact, size, min(spot) AS start, max(spot) + 3 AS stop,
+        list_reduce(list_concat([{'last': -3, 'words': 0}], list({'last': place, 'words': 0} ORDER BY spot, place)),
+            lambda a, b: CASE WHEN b.last > a.last
+                THEN {'last': b.last, 'words': a.words + least(3, b.last - a.last)} ELSE a END).words AS held
+    FROM grouped GROUP BY row, number, label, exact, size, cluster
+), span AS (
+    FROM phrase
+    UNION ALL
+    SELECT row, label, exact, start, held / size FROM merged WHERE held / size >= 0.8::DOUBLE AND stop - start <= 1.5 * size
+), summed AS (
+    SELECT row, count(*) FILTER (exact) AS n_base, min(start) FILTER (exact) AS first_word, max(start) FILTER (exact) AS last_word,
+        string_agg(DISTINCT label, ',' ORDER BY label) FILTER (exact) AS base_labels,
+        string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score
+    FROM span GROUP BY row
+)
+SELECT s.doc_id, len(s.words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+    coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM said s LEFT JOIN summed USING (row)
+""".replace(
+    "{templates}",
+    ", ".join(f"({number}, '{t.label}', {t.exact}, '{t.text}')" for number, t in enumerate(TEMPLATES)),
+)
+
+OP13 = r"""
+WITH drawn AS (
+    SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text,
+        sha256('42:' || coalesce(doc_id::VARCHAR, 'null')) AS digest
+    FROM documents
+), cut AS (
+    SELECT *, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units,
+        list_transform([1, 9, 17, 25], lambda i: ('0x' || digest[i:i + 7])::BIGINT) AS h
+    FROM drawn
+), chosen AS (
+    SELECT *, len(units)::BIGINT AS n, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+        CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 50 THEN 'plain'
+            WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+    FROM cut
+), parted AS (
+    SELECT *, array_to_string(units[1:a], '') AS pre, array_to_string(units[a + 1:b], '') AS mid, array_to_string(units[b + 1:], '') AS suf
+    FROM chosen
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars,
+    CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+        ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+    sha256(text) AS restored_sha256
+FROM parted
+"""
+
+SQL = {
+    "op3_line_dedup": OP3,
+    "op5_chat_perspectives": OP5,
+    "op1_mix_sources": OP1,
+    "op9_exact_dedup": OP9,
+    "op11_merkle_manifest": OP11,
+    "op12_license_scan": OP12,
+    "op13_fill_middle": OP13,
+}

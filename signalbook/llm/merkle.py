@@ -219,19 +219,11 @@ def _descend(seeds: DataFrame, levels: Sequence[DataFrame], requests: DataFrame,
             F.array_join(F.slice("children", F.lit(1), digit), "").alias("left"),
             F.array_join(F.slice("children", digit + 2, F.lit(fanout)), "").alias("right"),
         )
-        arrived = (
-            here.join(record, "digest")
-            .drop("digest")
-            .join(wanted, ["tree", "node"])
-            .withColumn("digest", F.get("children", digit))
-            .withColumn("path", F.array_append("path", segment))
-            .select(*requests.columns, "digest", "path")
-            if level == 1
-            else here.join(record, "digest")
-            .drop("digest")
-            .join(wanted, ["tree", "node"])
-            .select("tree", "rank", F.get("children", digit).alias("digest"), F.array_append("path", segment).alias("path"))
-        )
+        met = here.join(record, "digest").drop("digest").join(wanted, ["tree", "node"])
+        # A rank beyond the last leaf asks for a child that does not exist.
+        met = met.withColumn("digest", F.get("children", digit)).where(F.col("digest").isNotNull())
+        kept = requests.columns if level == 1 else ["tree", "rank"]
+        arrived = met.select(*kept, "digest", F.array_append("path", segment).alias("path"))
     alone = seeds.where("height = 0").select("tree", "digest", "path").join(requests.where("rank = 0"), "tree")
     alone = alone.select(*requests.columns, "digest", "path")
     return alone if arrived is None else arrived.unionByName(alone)

@@ -19,7 +19,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from signalbook.llm.common import ascii_lower, text_of
+from signalbook.llm.common import ascii_lower, staged, text_of
 
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 GRAM_WORDS = 3
@@ -177,7 +177,9 @@ def scan(
     repeated rows have the same; other columns are ignored; an empty table gives no rows.
     """
     text = text_of(F.col(f"`{text_col}`"))
-    found = spans(votes(docs, templates, gram_words, text_col), gram_words, **limits)
+    # Written once: phrases and notices both read the tallies, and the texts are searched once.
+    voted = staged(votes(docs, templates, gram_words, text_col), "license-votes")
+    found = spans(voted, gram_words, **limits)
     rows = docs.select(
         F.col(f"`{id_col}`").alias("doc_id"), F.sha2(text, 256).alias("content"), F.size(license_words(text)).cast("long").alias("n_words")
     )

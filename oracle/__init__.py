@@ -340,7 +340,8 @@ add("provenance_links", f"""
 add("resolve_exact", "SELECT * FROM s_exact", ["s_exact"])
 add("resolve_normalized", "SELECT * FROM s_same", ["s_same"])
 cte("s_norms", ["service_names"], f"SELECT entity_type, {name_norm('raw_value')} AS norm FROM service_names")
-add("resolve_fuzzy_lev", fuzzy_sql("s_norms", "s_known"), ["s_norms", "s_known"])
+add("resolve_fuzzy_lev", fuzzy_sql("s_norms", "s_known", "levenshtein"), ["s_norms", "s_known"])
+add("resolve_fuzzy", fuzzy_sql("s_norms", "s_known"), ["s_norms", "s_known"])
 add("resolve_new", "SELECT DISTINCT entity_type, canonical_id, canonical_name, confidence FROM s_decisions WHERE is_new_entity", ["s_decisions"])
 add("resolve_all", "SELECT * FROM s_decisions", ["s_decisions"])
 add("resolution_log", """

@@ -457,12 +457,21 @@ def resolution(prefix: str, names: str, registry: str, needs_names: list[str], n
     UNION ALL SELECT entity_type, raw_value, canonical_id, canonical_name, 'new_entity', 0.5, true, false, 0.0 FROM {p}new""")
 
 
-def fuzzy_sql(norms: str, known: str) -> str:
-    score = rnd("100.0 * (1 - levenshtein(a, b) * 1.0 / greatest(length(a), length(b)))", 6)
+def fuzzy_sql(norms: str, known: str, method: str = "indel") -> str:
+    """Best partner of every name.  The common subsequence is counted in the bits of one integer: each
+    letter of b clears at most one bit of the row, in the places where a has it."""
+    masks = "map_from_entries(list_transform(list_distinct(string_split(a, '')), lambda c: {'k': c, 'v': list_sum(list_transform(range(length(a)), lambda i: CASE WHEN a[i + 1] = c THEN 1::HUGEINT << i::INT ELSE 0 END))::HUGEINT}))"
+    everything = "((1::HUGEINT << length(a)::INT) - 1)"
+    row = f"""list_reduce(list_transform(string_split(b, ''), lambda c: coalesce(masks[c], 0::HUGEINT)),
+        lambda r, m: ((r + (r & m)) | (r - (r & m))) & {everything}, {everything})"""
+    if method == "levenshtein":
+        score = rnd("100.0 * (1 - levenshtein(a, b) * 1.0 / greatest(length(a), length(b)))", 6)
+    else:
+        score = rnd(f"200.0 * (length(a) - bit_count({row})) / (length(a) + length(b))", 6)
     return f"""
     SELECT entity_type, norm, arg_min(canonical_id, (-score, canonical_id)) AS canonical_id, arg_min(canonical_name, (-score, canonical_id)) AS canonical_name, max(score) AS score
     FROM (SELECT n.entity_type, norm, canonical_id, canonical_name, {score} AS score
-          FROM (SELECT DISTINCT entity_type, norm, {tok_sort('norm')} AS a FROM {norms} WHERE norm <> '') n
+          FROM (SELECT *, {masks} AS masks FROM (SELECT DISTINCT entity_type, norm, {tok_sort('norm')} AS a FROM {norms} WHERE norm <> '')) n
           JOIN (SELECT *, {tok_sort('known')} AS b FROM {known} WHERE known <> '') k ON n.entity_type = k.entity_type)
     WHERE score >= 60 GROUP BY 1, 2"""
 

@@ -2,30 +2,21 @@
 
 Mentions are reduced to distinct names first; every later step works on names.
 
-Fuzzy matching is an equi-join on signature grams with complete recall.  If two
-names reach a score, they share at least a certain number of grams (single
-characters or pairs of characters, numbered by occurrence).  With all grams in
-one fixed order, two such names must share a gram within the first
-``grams - needed + 1`` of each (the prefix filter for set similarity joins).
-Only these few, rare-first grams are joined.  Names are taken in tiers from the
-strictest score down, so most of them never meet the wide lower tier.
+Fuzzy matching finds every pair that reaches a score (see :mod:`similar`).  Names are taken in tiers
+from the strictest score down, so most of them never meet the wide lower tier.
 """
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 from signalbook import fixed_values as fv
-from signalbook.functions.text import normalize_name, token_sorted
-from signalbook.functions.values import half_up, lookup, once, stable_id
+from signalbook.functions.text import normalize_name
+from signalbook.functions.values import lookup, stable_id
+from signalbook.operators.similar import similar_names
 from signalbook.session import cut_lineage
 
 # --- registry ------------------------------------------------------------------
@@ -79,154 +70,6 @@ def resolve_normalized(names: DataFrame, known: DataFrame) -> DataFrame:
 # --- fuzzy -------------------------------------------------------------------------
 
 
-def _lcs_words(a: str, b: str) -> int:
-    """Length of the longest common subsequence, for names of any length."""
-    where: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        where[ch] = where.get(ch, 0) | (1 << i)
-    full = (1 << len(a)) - 1
-    row = full
-    for ch in b:
-        hit = row & where.get(ch, 0)
-        row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
-
-
-@F.pandas_udf(IntegerType())
-def common_subsequence(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Longest common subsequence of two columns, whole batches at a time.
-
-    Bit-parallel over 64-bit words; pairs with a name over 63 characters take
-    the arbitrary-length form.
-    """
-    size_a, size_b = a.str.len().to_numpy(), b.str.len().to_numpy()
-    out = np.zeros(len(a), dtype=np.int32)
-    short = (size_a < 64) & (size_b < 64)
-    if short.any():
-        left = a.to_numpy(dtype="U63")[short]
-        right = b.to_numpy(dtype="U63")[short]
-        x = left.view(np.uint32).reshape(len(left), 63)[:, : size_a[short].max() or 1]
-        y = right.view(np.uint32).reshape(len(right), 63)
-        bits = np.uint64(1) << np.arange(x.shape[1], dtype=np.uint64)
-        full = (np.uint64(1) << size_a[short].astype(np.uint64)) - np.uint64(1)
-        row = full.copy()
-        for j in range(int(size_b[short].max())):
-            ch = y[:, j : j + 1]
-            mask = np.where((x == ch) & (ch != 0), bits, np.uint64(0)).sum(axis=1, dtype=np.uint64)
-            hit = row & mask
-            row = ((row + hit) | (row - hit)) & full
-        out[short] = size_a[short] - np.bitwise_count(row)
-    for i in np.flatnonzero(~short):
-        out[i] = _lcs_words(a.iloc[i], b.iloc[i])
-    return pd.Series(out)
-
-
-# name -> (score column, share of the longer/own length that must be shared)
-def _score(method: str, a: str, b: str) -> Column:
-    total = F.length(a) + F.length(b)
-    if method == "levenshtein":
-        return 100.0 * (1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b)))
-    return F.when(total > 0, 200.0 * common_subsequence(F.col(a), F.col(b)) / total).otherwise(100.0)
-
-
-def _needed_characters(method: str, t: float, length: Column) -> Column:
-    """Common characters any partner at share ``t`` must have, from one length alone."""
-    share = t if method == "levenshtein" else t / (2 - t)
-    return F.ceil(length * share - 1e-9)
-
-
-def _needed_pairs(method: str, t: float, length: Column) -> Column:
-    """Common character pairs any partner must have; below 1 means no promise.
-
-    One substitution breaks two pairs, so a partner at edit share 1-t keeps
-    length-1-2(1-t)length of them; with insertions and deletions only, a partner
-    keeps 3*lcs - len1 - len2 - 1.
-    """
-    share = 2 * t - 1 if method == "levenshtein" else (3 * t - 2) / (2 - t)
-    return F.ceil(length * share - 1 - 1e-9)
-
-
-# Rare letters sort first, the blank last.
-_COMMON_FIRST = "etaoinshrdlcumwfgypbvkjxqz "
-_AS_LATE = "zyxwvutsrqponmlkjihgfedcba~"
-
-
-def _grams(name: Column, width: int) -> Column:
-    """Character groups of a name, numbered by occurrence, rare ones first."""
-    coded = F.translate(name, _COMMON_FIRST, _AS_LATE)
-    size = F.length(name)
-    starts = F.when(size >= width, F.sequence(F.lit(1), size - (width - 1)))
-
-    def numbered(ordered: Column) -> Column:
-        """Later occurrences of a gram are rarer: they get the smaller number."""
-        return F.transform(
-            ordered,
-            lambda g, i: F.concat(
-                F.lpad((F.lit(999_999_998) - i + F.array_position(ordered, g)).cast("string"), 9, "0"), g
-            ),
-        )
-
-    sorted_grams = once(
-        coded, lambda c: F.sort_array(F.transform(starts, lambda i: F.substr(c, i, F.lit(width))))
-    )
-    return F.coalesce(
-        F.sort_array(once(sorted_grams, numbered)), F.array().cast("array<string>")
-    )
-
-
-def _signed(df: DataFrame, name: str, method: str, t: float, side: str) -> DataFrame:
-    """Add full character grams and the grams to join on."""
-    size = F.length(name)
-    need1 = F.greatest(F.lit(1), _needed_characters(method, t, size))
-    need2 = _needed_pairs(method, t, size)
-    df = df.withColumn("_g1", _grams(F.col(name), 1)).withColumn("_g2", _grams(F.col(name), 2))
-    single = F.slice("_g1", 1, F.greatest(F.lit(0), F.size("_g1") - need1 + 1).cast("int"))
-    pairs = F.slice("_g2", 1, F.greatest(F.lit(0), F.size("_g2") - F.greatest(F.lit(1), need2) + 1).cast("int"))
-    tag = lambda grams, kind: F.transform(grams, lambda g: F.concat(F.lit(kind), g))
-    if side == "known":
-        joined = F.concat(tag(single, "1"), tag(pairs, "2"))
-    else:
-        joined = F.when(need2 >= 1, tag(pairs, "2")).otherwise(tag(single, "1"))
-    return df.withColumn("_prefix", joined).drop("_g2")
-
-
-def similar_names(
-    names: DataFrame, known: DataFrame, lowest: float, method: str = "indel"
-) -> DataFrame:
-    """All pairs of (entity_type, norm) and known names that reach the score.
-
-    Each pair is produced once: only at the first gram the two prefixes share.
-    Length and character counts, both exact bounds, come before the score.
-    """
-    t = lowest / 100.0
-    left = _signed(
-        names.withColumn("_a", token_sorted(F.col("norm"))).filter(F.col("_a") != ""),
-        "_a", method, t, "mention",
-    ).withColumnsRenamed({"_g1": "_ga", "_prefix": "_pa"})
-    right = _signed(
-        known.withColumn("_b", token_sorted(F.col("known"))).filter(F.col("_b") != ""),
-        "_b", method, t, "known",
-    ).withColumnsRenamed({"_g1": "_gb", "_prefix": "_pb"})
-    la, lb = F.length("_a"), F.length("_b")
-    if method == "levenshtein":
-        need = F.greatest(la, lb) * t
-    else:
-        need = (la + lb) * (t / 2)
-    pairs = (
-        left.withColumn("_gram", F.explode_outer("_pa"))
-        .join(right.withColumn("_gram", F.explode_outer("_pb")), ["entity_type", "_gram"])
-        .filter(F.least(la, lb) >= need - 1e-9)
-        .filter(F.size(F.array_intersect("_ga", "_gb")) >= need - 1e-9)
-        .filter(F.col("_gram") == F.array_min(F.array_intersect("_pa", "_pb")))
-        .select("entity_type", "norm", "canonical_id", "canonical_name", "known", "_a", "_b")
-    )
-    return (
-        pairs.withColumn("score", half_up(_score(method, "_a", "_b"), 6))
-        .filter(F.col("score") >= lowest)
-        .drop("_a", "_b")
-    )
-
-
 def best_fuzzy(
     norms: DataFrame,
     known: DataFrame,
@@ -379,7 +222,3 @@ def ambiguous(log: DataFrame) -> DataFrame:
         "confidence",
         F.lit("medium").alias("priority"),
     )
-
-
-# Workers get these functions whole and need not import the package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -125,7 +125,7 @@ def _causes(t: Tables) -> DataFrame:
 
 
 def _run(t: Tables) -> Run:
-    return document_run(texts.ticket_texts(t), texts.customer_registry(t), method="levenshtein")
+    return document_run(texts.ticket_texts(t), texts.customer_registry(t))
 
 
 def _extracted(t: Tables) -> DataFrame:
@@ -908,13 +908,13 @@ def resolve_fuzzy(t: Tables) -> DataFrame:
 
 @query
 def resolve_new(t: Tables) -> DataFrame:
-    decisions = resolve.resolve_names(_service_names(t), texts.service_registry(t), "levenshtein")
+    decisions = resolve.resolve_names(_service_names(t), texts.service_registry(t))
     return resolve.new_entities(decisions)
 
 
 @query
 def resolve_all(t: Tables) -> DataFrame:
-    return resolve.resolve_names(_service_names(t), texts.service_registry(t), "levenshtein")
+    return resolve.resolve_names(_service_names(t), texts.service_registry(t))
 
 
 @query

@@ -344,6 +344,15 @@ add("resolve_fuzzy_lev", fuzzy_sql("s_norms", "s_known", "levenshtein"), ["s_nor
 add("resolve_fuzzy", fuzzy_sql("s_norms", "s_known"), ["s_norms", "s_known"])
 add("resolve_new", "SELECT DISTINCT entity_type, canonical_id, canonical_name, confidence FROM s_decisions WHERE is_new_entity", ["s_decisions"])
 add("resolve_all", "SELECT * FROM s_decisions", ["s_decisions"])
+add("registry_after_run", """
+    SELECT entity_type, canonical_id, min(name) AS name, coalesce(string_agg(DISTINCT alias, '|' ORDER BY alias) FILTER (alias <> name), '') AS aliases
+    FROM registry_2 GROUP BY 1, 2""", ["registry_2"])
+_by_link = lambda i: "CASE " + " ".join(f"WHEN score >= {b[0]} THEN {repr(b[i]) if isinstance(b[i], str) else str(b[i]).lower()}" for b in fv.FUZZY_BANDS) + " END"
+add("resolve_components", f"""
+    SELECT * FROM s_decisions WHERE NOT is_new_entity
+    UNION ALL SELECT entity_type, raw_value, canonical_id, canonical_name, 'new_entity', 0.5, true, false, 0.0 FROM c_named WHERE form = canonical_id
+    UNION ALL SELECT entity_type, raw_value, canonical_id, canonical_name, {_by_link(2)}, {_by_link(1)}, false, {_by_link(3)}, score
+    FROM (SELECT *, (SELECT max(score) FROM c_links WHERE a = form) AS score FROM c_named WHERE form <> canonical_id)""", ["s_decisions", "c_named", "c_links"])
 add("resolution_log", """
     SELECT document_id, entity_type, raw_value, canonical_id, canonical_name, resolution_method, confidence, is_new_entity, requires_review, score
     FROM text_mentions JOIN t_decisions USING (entity_type, raw_value)""", ["text_mentions", "t_decisions"])

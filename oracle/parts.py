@@ -101,7 +101,7 @@ def with_(names: list[str], body: str) -> str:
 
     for name in names:
         visit(name)
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n][1]})" for n in order) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({CTES[n][1]})" for n in order) + "\n" + body
 
 
 cte("dim_customer", [], f"""
@@ -458,7 +458,14 @@ def resolution(prefix: str, names: str, registry: str, needs_names: list[str], n
 
 
 def fuzzy_sql(norms: str, known: str, method: str = "indel") -> str:
-    """Best partner of every name.  The common subsequence is counted in the bits of one integer: each
+    """Best partner of every name."""
+    return f"""
+    SELECT entity_type, norm, arg_min(canonical_id, (-score, canonical_id)) AS canonical_id, arg_min(canonical_name, (-score, canonical_id)) AS canonical_name, max(score) AS score
+    FROM ({alike_sql(norms, known, method)}) WHERE score >= 60 GROUP BY 1, 2"""
+
+
+def alike_sql(norms: str, known: str, method: str = "indel") -> str:
+    """Score of every name with every known name.  The common subsequence is counted in the bits of one integer: each
     letter of b clears at most one bit of the row, in the places where a has it."""
     masks = "map_from_entries(list_transform(list_distinct(string_split(a, '')), lambda c: {'k': c, 'v': list_sum(list_transform(range(length(a)), lambda i: CASE WHEN a[i + 1] = c THEN 1::HUGEINT << i::INT ELSE 0 END))::HUGEINT}))"
     everything = "((1::HUGEINT << length(a)::INT) - 1)"
@@ -469,22 +476,20 @@ def fuzzy_sql(norms: str, known: str, method: str = "indel") -> str:
     else:
         score = rnd(f"200.0 * (length(a) - bit_count({row})) / (length(a) + length(b))", 6)
     return f"""
-    SELECT entity_type, norm, arg_min(canonical_id, (-score, canonical_id)) AS canonical_id, arg_min(canonical_name, (-score, canonical_id)) AS canonical_name, max(score) AS score
-    FROM (SELECT n.entity_type, norm, canonical_id, canonical_name, {score} AS score
-          FROM (SELECT *, {masks} AS masks FROM (SELECT DISTINCT entity_type, norm, {tok_sort('norm')} AS a FROM {norms} WHERE norm <> '')) n
-          JOIN (SELECT *, {tok_sort('known')} AS b FROM {known} WHERE known <> '') k ON n.entity_type = k.entity_type)
-    WHERE score >= 60 GROUP BY 1, 2"""
+    SELECT n.entity_type, n.norm, k.known, k.canonical_id, k.canonical_name, {score} AS score
+    FROM (SELECT *, {masks} AS masks FROM (SELECT DISTINCT entity_type, norm, {tok_sort('norm')} AS a FROM {norms} WHERE norm <> '')) n
+    JOIN (SELECT *, {tok_sort('known')} AS b FROM {known} WHERE known <> '') k ON n.entity_type = k.entity_type"""
 
 
 cte("service_registry", [], f"""
     SELECT 'service' AS entity_type, 'SVC_' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS canonical_id,
            {word("'s' || s_suppkey")} || ' ' || {word("'s' || s_suppkey", 9)} AS name, {word("'s' || s_suppkey")} AS alias FROM supplier""")
-cte("service_names", [], f"""
-    SELECT 'service' AS entity_type, raw_value, min(l_orderkey) AS first_seen, count(*) AS n_mentions FROM (
-      SELECT l_orderkey, CASE l_partkey % 10 WHEN 0 THEN upper(fl) WHEN 1 THEN fl || ', Ltd.' WHEN 2 THEN one WHEN 3 THEN two || ' ' || one
-             WHEN 4 THEN substr(fl, 1, 2) || substr(fl, 4, 20) WHEN 5 THEN 'xyz' || substr(fl, 4, 20) WHEN 6 THEN 'vwxyzu' || substr(fl, 7, 20)
-             WHEN 7 THEN one || ' zzz' WHEN 8 THEN 'Fresh ' || {word("'f' || (l_suppkey % 20)")} ELSE fl END AS raw_value
-      FROM (SELECT *, {word("'s' || l_suppkey")} AS one, {word("'s' || l_suppkey", 9)} AS two, {word("'s' || l_suppkey")} || ' ' || {word("'s' || l_suppkey", 9)} AS fl FROM lineitem)) GROUP BY raw_value""")
+cte("service_mentions", [], f"""
+    SELECT l_orderkey, CASE l_partkey % 10 WHEN 0 THEN upper(fl) WHEN 1 THEN fl || ', Ltd.' WHEN 2 THEN one WHEN 3 THEN two || ' ' || one
+           WHEN 4 THEN substr(fl, 1, 2) || substr(fl, 4, 20) WHEN 5 THEN 'xyz' || substr(fl, 4, 20) WHEN 6 THEN 'vwxyzu' || substr(fl, 7, 20)
+           WHEN 7 THEN one || ' zzz' WHEN 8 THEN 'Fresh ' || {word("'f' || (l_suppkey % 20)")} ELSE fl END AS raw_value
+    FROM (SELECT *, {word("'s' || l_suppkey")} AS one, {word("'s' || l_suppkey", 9)} AS two, {word("'s' || l_suppkey")} || ' ' || {word("'s' || l_suppkey", 9)} AS fl FROM lineitem)""")
+cte("service_names", ["service_mentions"], "SELECT 'service' AS entity_type, raw_value, min(l_orderkey) AS first_seen, count(*) AS n_mentions FROM service_mentions GROUP BY raw_value")
 cte("customer_registry", [], f"""
     SELECT 'customer' AS entity_type, 'CUST_' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS canonical_id,
            {word('CAST(c_custkey AS VARCHAR)')} || ' ' || {word('CAST(c_custkey AS VARCHAR)', 9)} AS name, {word('CAST(c_custkey AS VARCHAR)')} AS alias FROM customer""")
@@ -495,6 +500,30 @@ cte("text_names", ["text_mentions"], """
 resolution("s_", "service_names", "service_registry", ["service_names"], ["service_registry"])
 resolution("t_", "text_names", "customer_registry", ["text_names"], ["customer_registry"])
 
+# The registry after a run over the first half of the orders, and after another over the rest.
+_half = "(SELECT max(o_orderkey) / 2.0 FROM orders)"
+for _run, _side, _known in (("r1_", "<=", "service_registry"), ("r2_", ">", "registry_1")):
+    cte(f"{_run}names", ["service_mentions"], f"""
+    SELECT 'service' AS entity_type, raw_value, min(l_orderkey) AS first_seen FROM service_mentions WHERE l_orderkey {_side} {_half} GROUP BY raw_value""")
+    resolution(_run, f"{_run}names", _known, [f"{_run}names"], [_known])
+    cte("registry_1" if _run == "r1_" else "registry_2", [f"{_run}decisions", _known], f"""
+    SELECT entity_type, canonical_id, name, alias FROM {_known}
+    UNION SELECT entity_type, canonical_id, canonical_name, NULL FROM {_run}decisions WHERE is_new_entity
+    UNION SELECT entity_type, canonical_id, canonical_name, raw_value FROM {_run}decisions WHERE raw_value <> canonical_name""")
+
+# New names that are alike, directly or over others.
+cte("c_fresh", ["s_new", "s_rest"], """
+    SELECT n.entity_type, n.raw_value, norm, first_seen, canonical_id AS form FROM s_new n JOIN s_rest USING (entity_type, raw_value)""")
+cte("c_forms", ["c_fresh"], "SELECT DISTINCT entity_type, norm, norm AS known, form AS canonical_id, form AS canonical_name FROM c_fresh WHERE norm <> ''")
+cte("c_links", ["c_forms"], f"""
+    SELECT f.canonical_id AS a, p.canonical_id AS b, score FROM ({alike_sql('c_forms', 'c_forms')}) p JOIN c_forms f USING (entity_type, norm)
+    WHERE score >= 70 AND a <> b""")
+cte("c_reach", ["c_links"], "SELECT a AS node, b AS other FROM c_links UNION SELECT node, b FROM c_reach JOIN c_links ON a = other")
+cte("c_named", ["c_reach", "c_fresh"], """
+    SELECT f.*, first_value(f.raw_value) OVER w AS canonical_name, first_value(f.form) OVER w AS canonical_id
+    FROM (SELECT f.*, coalesce(least(f.form, (SELECT min(other) FROM c_reach WHERE node = f.form)), f.form) AS root FROM c_fresh f) f
+    WINDOW w AS (PARTITION BY entity_type, root ORDER BY first_seen, raw_value)""")
+
 cte("with_customer", ["extracted", "t_decisions"], """
     SELECT e.*, d.canonical_id AS customer_code FROM extracted e LEFT JOIN t_decisions d ON d.raw_value = e.customer_name""")
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from signalbook import fixed_values as fv
 from signalbook.functions.text import normalize_name
 from signalbook.functions.values import lookup, stable_id
+from signalbook.operators.components import connected
 from signalbook.operators.similar import similar_names
 from signalbook.session import cut_lineage
 
@@ -131,14 +132,50 @@ def distinct_names(mentions: DataFrame, order: str) -> DataFrame:
     )
 
 
+def linked_forms(forms: DataFrame, link: float, method: str) -> tuple[DataFrame, DataFrame]:
+    """Groups of similar new names: (form, root) and (form, score of its best link).
+
+    ``forms`` has entity_type, norm and form (the id the name would have alone).
+    """
+    known = forms.select(
+        "entity_type", F.col("norm").alias("known"), F.col("form").alias("canonical_id"), F.col("norm").alias("canonical_name")
+    )
+    own = forms.select("entity_type", "norm", "form")
+    pairs = similar_names(own.select("entity_type", "norm"), known, link, method).join(own, ["entity_type", "norm"])
+    pairs = cut_lineage(pairs.where(F.col("form") != F.col("canonical_id")).select("form", "canonical_id", "score"))
+    roots = connected(pairs.select(F.col("form").alias("a"), F.col("canonical_id").alias("b")))
+    return roots.withColumnRenamed("node", "form"), pairs.groupBy("form").agg(F.max("score").alias("link_score"))
+
+
+def grown(fresh: DataFrame, link: float | None, method: str) -> DataFrame:
+    """New names with the entity each belongs to, and the score of the link that brought it there.
+
+    Names of the same normalised form are one.  With ``link`` forms as similar as that, directly or
+    over others, are one entity as well, whatever order they came in; it is named by the mention seen
+    first and has that form's id.  link_score is null for the forms that give the entity its name.
+    """
+    fresh = fresh.withColumn("form", new_canonical_id(F.col("entity_type"), F.col("norm"), F.col("raw_value")))
+    if link is None:
+        fresh = fresh.withColumn("root", F.col("form")).withColumn("link_score", F.lit(None).cast("double"))
+    else:
+        fresh = cut_lineage(fresh)
+        forms = cut_lineage(fresh.where("norm <> ''").select("entity_type", "norm", "form").distinct())
+        roots, scores = linked_forms(forms, link, method)
+        fresh = fresh.join(roots, "form", "left").join(scores, "form", "left").withColumn("root", F.coalesce("root", "form"))
+    first = fresh.groupBy("entity_type", "root").agg(F.min(F.struct("first_seen", "raw_value", "form")).alias("_f"))
+    named = first.select("entity_type", "root", F.col("_f.raw_value").alias("canonical_name"), F.col("_f.form").alias("canonical_id"))
+    own = F.col("form") == F.col("canonical_id")
+    return fresh.join(named, ["entity_type", "root"]).withColumn("link_score", F.when(~own, F.col("link_score"))).drop("root", "form")
+
+
 def resolve_names(
-    names: DataFrame, registry: DataFrame, method: str = "indel", tiers: Sequence[float] = (85, 60)
+    names: DataFrame, registry: DataFrame, method: str = "indel", tiers: Sequence[float] = (85, 60), link: float | None = None
 ) -> DataFrame:
     """Decide every distinct name: exact, then normalised, then fuzzy, then new.
 
-    New names with the same normalised form are one new entity, named by the
-    form seen first.  (One name at a time, a later name could also match an
-    earlier new one fuzzily; that depends on arrival order and is left out.)
+    New names with the same normalised form are one new entity, named by the form seen first.  With
+    ``link`` new names as similar as that are one as well (see :func:`grown`): the other forms are
+    fuzzy matches of the entity, by the score of their best link.
     """
     keys = ["entity_type", "raw_value"]
     # Names are read by every step below: store them (normalised) once, however
@@ -152,16 +189,8 @@ def resolve_names(
     fuzzy = best_fuzzy(remain, known, method, tiers)
     tried = remain.join(fuzzy, ["entity_type", "norm"], "left")
     matched = tried.filter(F.col("canonical_id").isNotNull())
-    fresh = tried.filter(F.col("canonical_id").isNull()).withColumn(
-        "canonical_id", new_canonical_id(F.col("entity_type"), F.col("norm"), F.col("raw_value"))
-    )
-    first_form = fresh.groupBy("entity_type", "canonical_id").agg(
-        F.min(F.struct("first_seen", "raw_value")).alias("_f")
-    )
-    new = fresh.drop("canonical_name").join(
-        first_form.select("entity_type", "canonical_id", F.col("_f.raw_value").alias("canonical_name")),
-        ["entity_type", "canonical_id"],
-    )
+    fresh = tried.filter(F.col("canonical_id").isNull()).drop("canonical_id", "canonical_name", "score")
+    new = grown(fresh, link, method)
 
     def decided(df: DataFrame, method_name, confidence, is_new, review, score) -> DataFrame:
         return df.select(
@@ -175,14 +204,19 @@ def resolve_names(
             score.alias("score"),
         )
 
-    no, zero, score = F.lit(False), F.lit(0.0), F.col("score")
+    no, zero, score, by_link = F.lit(False), F.lit(0.0), F.col("score"), F.col("link_score")
     return (
         decided(exact, "exact", F.lit(fv.EXACT_CONFIDENCE), False, no, zero)
         .unionByName(decided(same, "normalized", F.lit(fv.NORMALIZED_CONFIDENCE), False, no, zero))
         .unionByName(
             decided(matched, _band(score, 2), _band(score, 1), False, _band(score, 3), score)
         )
-        .unionByName(decided(new, "new_entity", F.lit(fv.NEW_ENTITY_CONFIDENCE), True, no, zero))
+        .unionByName(
+            decided(new.where("link_score IS NULL"), "new_entity", F.lit(fv.NEW_ENTITY_CONFIDENCE), True, no, zero)
+        )
+        .unionByName(
+            decided(new.where("link_score IS NOT NULL"), _band(by_link, 2), _band(by_link, 1), False, _band(by_link, 3), by_link)
+        )
     )
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from signalbook.functions import extract as ex
 from signalbook.functions import lexicon, text as tx
 from signalbook.functions.values import half_up, instant, stable_id
-from signalbook.operators import causes, health, impact, profile, quality, resolve, serving
+from signalbook.operators import causes, health, impact, profile, quality, registry, resolve, serving
 from signalbook.operators import series, staging, topics
 from signalbook.plans import insights as ins
 from signalbook.plans.analysis import full_analysis, scored_customers
@@ -29,6 +29,7 @@ from signalbook.streaming import jobs
 AS_OF = "2000-01-01 00:00:00"
 WINDOW_DAYS = 365
 TOPICS_AS_OF = "2024-01-31 00:00:00"
+COMPONENT_LINK = 70
 TOPIC_DAYS = 7
 
 # Words that English documents of the corpus hold, as a stand-in word list.
@@ -917,6 +918,27 @@ def resolve_all(t: Tables) -> DataFrame:
     return resolve.resolve_names(_service_names(t), texts.service_registry(t))
 
 
+@query
+def resolve_components(t: Tables) -> DataFrame:
+    """All decisions when new names that are alike, directly or over others, are one entity."""
+    return resolve.resolve_names(_service_names(t), texts.service_registry(t), link=COMPONENT_LINK)
+
+
+@query
+def registry_after_run(t: Tables) -> DataFrame:
+    """The stored registry after two runs: the mentions of the first half of the orders, then the others."""
+    path = scratch_path(t.spark, "registry")
+    registry.create(texts.service_registry(t), path)
+    mentions = texts.service_mentions(t)
+    half = t.orders.agg((F.max("o_orderkey") / 2).alias("half"))
+    for first in (True, False):
+        run = mentions.join(half, (F.col("seen_order") <= F.col("half")) == F.lit(first), "left_semi")
+        names = resolve.distinct_names(run, "seen_order")
+        registry.merge(cut_lineage(resolve.resolve_names(names, registry.read(t.spark, path))), path)
+    stored = registry.read(t.spark, path)
+    return stored.select("entity_type", "canonical_id", "name", F.array_join("aliases", "|").alias("aliases"))
+
+
 @query
 def resolution_log(t: Tables) -> DataFrame:
     """Decision of every mention in the operational texts."""

@@ -75,6 +75,11 @@ add("raw_records", """
     FROM orders""")
 add("dedup_by_hash", """
     SELECT sha256(text) AS content_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1""")
+add("stream_intake", f"""
+    SELECT content_hash, arg_min(doc_id, (came, doc_id)) AS document_id, {stamp('min(came)')} AS arrived_at, count(*) - 1 AS copies
+    FROM (SELECT sha256(text) AS content_hash, doc_id,
+          TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id) - CASE WHEN doc_id % 3 = 0 THEN INTERVAL 36 HOUR ELSE INTERVAL 0 HOUR END AS came FROM documents)
+    GROUP BY content_hash""")
 add("stream_dedup_by_hash", "SELECT DISTINCT sha256(text) AS content_hash FROM documents")
 add("parse_model_json", f"""
     WITH r AS (SELECT doc_id, text, lang, source, regexp_extract(text, '[a-z]{{4,}}', 0) AS span,
@@ -376,6 +381,9 @@ cte("service_months", ["fact_ticket"], """
     SELECT service_id, date_trunc('month', created_at) AS t, CAST(sum(CAST(resolution_hours AS DECIMAL(18,4))) AS DOUBLE) AS value FROM fact_ticket GROUP BY 1, 2""")
 add("trend_services", _trend("service_months", "service_id"), ["service_months"])
 add("anomaly_zscore", f"SELECT * REPLACE ({stamp('t')} AS t) FROM zscores", ["zscores"])
+add("stream_learnt_moments", f"""
+    SELECT event_type, count(*) AS hours, {rnd('avg(value)', 4)} AS mean, {rnd('stddev_samp(value)', 4)} AS deviation
+    FROM hourly WHERE t + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY event_type""", ["hourly"])
 add("stream_metric_anomalies", f"""
     SELECT * REPLACE ({stamp('t')} AS t) FROM zscores WHERE t + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""", ["zscores"])
 

@@ -116,6 +116,38 @@ def series_stats(series: DataFrame, keys: Sequence[str], value: str = "value") -
     )
 
 
+def moments(series: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
+    """Count, mean and sum of squared deviations per series; these merge (see :func:`merge_moments`)."""
+    return series.groupBy(*keys).agg(
+        F.count(value).alias("n"),
+        F.coalesce(F.avg(value), F.lit(0.0)).alias("mean"),
+        F.coalesce(F.var_pop(value) * F.count(value), F.lit(0.0)).alias("m2"),
+    )
+
+
+def merge_moments(one: DataFrame, two: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The moments of both together: the means' difference gives what lies between them."""
+    null_safe = [one[k].eqNullSafe(two[k]) for k in keys]
+    zero = lambda df, name: F.coalesce(df[name], F.lit(0))
+    a, b = (zero(df, "n") for df in (one, two))
+    ma, mb = (zero(df, "mean") for df in (one, two))
+    n, apart = a + b, mb - ma
+    joined = one.join(two, null_safe, "full")
+    share = F.when(n > 0, b / n).otherwise(0.0)
+    return joined.select(
+        *[F.coalesce(one[k], two[k]).alias(k) for k in keys],
+        n.alias("n"),
+        (ma + apart * share).alias("mean"),
+        (zero(one, "m2") + zero(two, "m2") + apart * apart * a * share).alias("m2"),
+    )
+
+
+def stats_of(found: DataFrame) -> DataFrame:
+    """Moments as the statistics that :func:`zscore_anomalies` takes."""
+    sd = F.when(F.col("n") > 1, F.sqrt(F.col("m2") / (F.col("n") - 1)))
+    return found.withColumn("_sd", sd).withColumnsRenamed({"mean": "_mean", "n": "_n"}).drop("m2")
+
+
 def values_at_ranks(
     df: DataFrame,
     keys: Sequence[str],

@@ -1215,14 +1215,28 @@ def stream_topic_windows(t: Tables) -> DataFrame:
     return back.withColumn("window_start", stamp(F.col("window_start"))).withColumn("window_end", stamp(F.col("window_end")))
 
 
+def _arriving(docs: DataFrame) -> DataFrame:
+    """Documents a minute apart, every third one a day and a half late."""
+    at = F.timestamp_add("MINUTE", F.col("doc_id").cast("int"), instant("2024-01-01 00:00:00"))
+    late = F.when(F.col("doc_id") % 3 == 0, F.timestamp_add("HOUR", F.lit(-36), at)).otherwise(at)
+    return jobs.hashed(docs, "text").withColumn("arrived_at", late)
+
+
 @query
 def stream_dedup_by_hash(t: Tables) -> DataFrame:
-    """Distinct contents of a stream of documents; a copy behind the watermark meets what is stored."""
-    docs = _stream(t, "documents").withColumn("arrived_at", F.timestamp_add("MINUTE", F.col("doc_id").cast("int"), instant("2024-01-01 00:00:00")))
-    distinct = jobs.distinct_content(docs, "text", "arrived_at", "1 day").select("content_hash", "doc_id")
+    """Distinct contents of a stream of documents, each stored by the batch that brought it first."""
+    docs = jobs.hashed(_stream(t, "documents"), "text").select("content_hash")
+    target, checkpoint = scratch_path(t.spark, "contents"), scratch_path(t.spark, "contents-state")
+    _finish(jobs.load_new(docs, target, checkpoint, "content_hash", lambda batch: batch.distinct()))
+    return jobs.loaded(t.spark, target)
+
+
+@query
+def stream_intake(t: Tables) -> DataFrame:
+    """First document and copies of every content of a stream whose documents come out of order."""
     target, checkpoint = scratch_path(t.spark, "intake"), scratch_path(t.spark, "intake-state")
-    _finish(jobs.load_new(distinct, target, checkpoint, "content_hash", lambda batch: batch))
-    return t.spark.read.parquet(target).select("content_hash")
+    _finish(jobs.intake(_arriving(_stream(t, "documents")), target, checkpoint, "doc_id", "arrived_at"))
+    return jobs.intake_state(t.spark, target).withColumn("arrived_at", stamp(F.col("arrived_at")))
 
 
 @query
@@ -1233,18 +1247,30 @@ def stream_incident_facts(t: Tables) -> DataFrame:
     target, checkpoint = scratch_path(t.spark, "incidents"), scratch_path(t.spark, "incidents-state")
     build = lambda batch: staging.incident_facts(staging.extract(batch))
     _finish(jobs.load_new(texts.ticket_texts(live), target, checkpoint, "incident_number", build))
-    return t.spark.read.parquet(target).drop("batch_id").withColumn("arrived_at", stamp(F.col("arrived_at")))
+    return jobs.loaded(t.spark, target).withColumn("arrived_at", stamp(F.col("arrived_at")))
 
 
 @query
 def stream_metric_anomalies(t: Tables) -> DataFrame:
-    """Closed hours of an event stream against the stored history."""
+    """Closed hours of an event stream against the moments of the stored history."""
     hours = jobs.hourly_metrics(_stream(t, "events"), "1 hour")
     target, checkpoint = scratch_path(t.spark, "anomalies"), scratch_path(t.spark, "anomalies-state")
     _finish(jobs.metric_anomalies(hours, _hourly(t), target, checkpoint, ["event_type"]))
     return t.spark.read.parquet(target).drop("batch_id").withColumn("t", stamp(F.col("t")))
 
 
+@query
+def stream_learnt_moments(t: Tables) -> DataFrame:
+    """Count, mean and deviation of every metric as learnt batch by batch from its closed hours."""
+    hours = jobs.hourly_metrics(_stream(t, "events"), "1 hour")
+    target, checkpoint = scratch_path(t.spark, "learnt"), scratch_path(t.spark, "learnt-state")
+    _finish(jobs.metric_anomalies(hours, None, target, checkpoint, ["event_type"], learn=True))
+    learnt = series.stats_of(jobs.learnt_moments(t.spark, target))
+    return learnt.select(
+        "event_type", F.col("_n").alias("hours"), half_up(F.col("_mean"), 4).alias("mean"), half_up(F.col("_sd"), 4).alias("deviation")
+    )
+
+
 def flagship(t: Tables) -> DataFrame:
     """Which customers are at risk, and what is at stake?"""
     return top_risk_customers(t)

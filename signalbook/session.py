@@ -41,11 +41,14 @@ def build_session(app: str = "signalbook", master: str | None = None, **settings
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Where it is unset, as in tests, a folder of this machine is set; that only serves a session whose
-    executors run on it.
+    Where it is unset, a folder of this machine is set if the whole session runs in this process, as
+    in tests.  On a cluster there is no such folder to choose, so the setting is asked for.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} reach")
         named = tempfile.mkdtemp(prefix="signalbook-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")

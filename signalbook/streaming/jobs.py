@@ -5,14 +5,15 @@ Each job reuses the batch operators; its result on the same rows is the same.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
-from signalbook.operators.series import series_stats, zscore_anomalies
+from signalbook.operators.series import merge_moments, moments, stats_of, zscore_anomalies
+from signalbook.session import cut_lineage
 
 
 def read_new_files(
@@ -27,33 +28,61 @@ def read_new_files(
     )
 
 
-def distinct_content(documents: DataFrame, content: str, arrival: str, delay: str) -> DataFrame:
-    """First document of each content hash; state is dropped behind the watermark.
+def hashed(documents: DataFrame, content: str) -> DataFrame:
+    """``documents`` with the SHA-256 of their content."""
+    return documents.withColumn("content_hash", F.sha2(F.col(content), 256))
 
-    A copy that comes later than ``delay`` is caught by the anti-join in
-    :func:`load_new`, which looks at everything stored.
-    """
-    return (
-        documents.withColumn("content_hash", F.sha2(F.col(content), 256))
-        .withColumn("_event_time", F.col(arrival).cast("timestamp"))
-        .withWatermark("_event_time", delay)
-        .dropDuplicatesWithinWatermark(["content_hash"])
-        .drop("_event_time")
-    )
 
+# --- targets in buckets by key --------------------------------------------------------------
+#
+# bucket=K/batch_id=N holds what batch N added to bucket K.  A batch compares itself with earlier
+# batches of the buckets its own keys fall into and reads nothing else.  Run again, it replaces its
+# own folders.
 
-def _batch_folder(target: str, batch_id: int) -> str:
-    return f"{target}/batch_id={batch_id}"
+BUCKETS = 256
+
+
+def _bucket(key: Sequence[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
+
+
+def _folders(spark: SparkSession, target: str) -> list[str]:
+    """Names of the folders in ``target``."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(target)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in store.listStatus(where) if s.isDirectory()] if store.exists(where) else []
+
+
+def earlier(spark: SparkSession, target: str, schema: StructType, touched: Sequence[int], batch_id: int) -> DataFrame:
+    """Rows that earlier batches have stored in the touched buckets; no other bucket is listed or read."""
+    names = {f"bucket={bucket}" for bucket in touched} & set(_folders(spark, target))
+    full = StructType([*schema.fields, StructField("batch_id", LongType())])
+    if not names:
+        return spark.createDataFrame([], full)
+    rows = spark.read.schema(full).option("basePath", target).parquet(*[f"{target}/{name}" for name in sorted(names)])
+    return rows.where(F.col("batch_id") < batch_id).select(*full.fieldNames())
+
+
+def add_batch(rows: DataFrame, target: str, key: Sequence[str], batch_id: int, buckets: int, new_only: bool) -> None:
+    """Store the rows of a batch by bucket; with ``new_only`` those whose key no earlier batch has."""
+    spark = rows.sparkSession
+    rows = cut_lineage(rows.withColumn("bucket", _bucket(key, buckets)))
+    if new_only:
+        touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]
+        schema = StructType([f for f in rows.schema.fields if f.name in key])
+        rows = rows.join(earlier(spark, target, schema, touched, batch_id).select(*key), list(key), "left_anti")
+    (
+        rows.withColumn("batch_id", F.lit(batch_id).cast("long"))
+        .repartition("bucket")
+        .write.partitionBy("bucket", "batch_id")
+        .mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .parquet(target)
+    )
 
 
-def stored(spark: SparkSession, target: str, schema, before_batch: int | None = None) -> DataFrame:
-    """Rows of a target, optionally only those of earlier batches."""
-    fields = [f for f in schema.fields if f.name != "batch_id"]
-    full = StructType([*fields, StructField("batch_id", LongType())])
-    rows = spark.read.schema(full).parquet(target)
-    if before_batch is not None:
-        rows = rows.filter(F.col("batch_id") < before_batch)
-    return rows.drop("batch_id")
+def _run_batches(stream: DataFrame, checkpoint: str, store: Callable[[DataFrame, int], None]) -> StreamingQuery:
+    return stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def load_new(
@@ -62,29 +91,68 @@ def load_new(
     checkpoint: str,
     key: str,
     build: Callable[[DataFrame], DataFrame],
+    buckets: int = BUCKETS,
 ) -> StreamingQuery:
     """Build facts from each micro-batch and store those whose key is not stored yet.
 
-    A batch writes its own partition and compares itself only with earlier
-    batches, so running it again after a failure gives the same files.
+    ``build`` gives one row per key.  Only the key column of the buckets that the batch touches is
+    read.  A batch writes its own folders and compares itself only with earlier batches, so running
+    it again after a failure gives the same files.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        facts = build(batch)
-        if batch_id > 0:
-            old = stored(spark, target, facts.schema, batch_id).select(key)
-            facts = facts.join(old, key, "left_anti")
-        facts.write.mode("overwrite").parquet(_batch_folder(target, batch_id))
+        add_batch(build(batch), target, [key], batch_id, buckets, new_only=True)
+
+    return _run_batches(stream, checkpoint, store)
+
+
+def loaded(spark: SparkSession, target: str) -> DataFrame:
+    """What :func:`load_new` has stored."""
+    return spark.read.option("basePath", target).parquet(target).drop("bucket", "batch_id")
+
+
+def intake(
+    documents: DataFrame, target: str, checkpoint: str, doc_id: str, arrival: str, buckets: int = BUCKETS
+) -> StreamingQuery:
+    """Keep, for every content hash, its first document and how many copies there are.
+
+    Each micro-batch stores one row per hash it holds: the earliest document in it and their number.
+    Such rows merge (smallest, sum), so nothing stored is read, and a document that arrives after its
+    later copies, however late, becomes the first.  No watermark drops it and no state is held.
+    ``documents`` has content_hash (null hashes are one content).
+    """
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        first = F.min(F.struct(F.col(arrival).alias("arrived_at"), F.col(doc_id).alias("document_id")))
+        seen = batch.groupBy("content_hash").agg(first.alias("first"), F.count(F.lit(1)).alias("documents"))
+        add_batch(seen, target, ["content_hash"], batch_id, buckets, new_only=False)
+
+    return _run_batches(documents, checkpoint, store)
 
+
+def intake_state(spark: SparkSession, target: str) -> DataFrame:
+    """content_hash, document_id and arrived_at of its first document, and its number of copies."""
+    stored = spark.read.option("basePath", target).parquet(target)
     return (
-        stream.writeStream.foreachBatch(store)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
+        stored.groupBy("bucket", "content_hash")
+        .agg(F.min("first").alias("first"), F.sum("documents").alias("n"))
+        .select("content_hash", "first.document_id", "first.arrived_at", (F.col("n") - 1).alias("copies"))
     )
 
 
+def batch_intake(documents: DataFrame, doc_id: str, arrival: str) -> DataFrame:
+    """The same as one batch job."""
+    first = F.min(F.struct(F.col(arrival).alias("arrived_at"), F.col(doc_id).alias("document_id")))
+    return (
+        documents.groupBy("content_hash")
+        .agg(first.alias("first"), F.count(F.lit(1)).alias("n"))
+        .select("content_hash", "first.document_id", "first.arrived_at", (F.col("n") - 1).alias("copies"))
+    )
+
+
+# --- windows and metrics ------------------------------------------------------------------------
+
+
 def topic_windows(mentions: DataFrame, length: str = "30 days", step: str = "1 day") -> DataFrame:
     """Mentions of each topic in sliding windows; works on batch and stream alike.
 
@@ -125,23 +193,49 @@ def hourly_metrics(events: DataFrame, delay: str) -> DataFrame:
     )
 
 
+def _batch_folder(target: str, batch_id: int) -> str:
+    return f"{target}/batch_id={batch_id}"
+
+
+def _state(spark: SparkSession, path: str, before: int) -> DataFrame | None:
+    """Moments that the latest batch before the given one has left."""
+    done = [int(name.removeprefix("batch_id=")) for name in _folders(spark, path) if name.startswith("batch_id=")]
+    last = max((n for n in done if n < before), default=None)
+    return None if last is None else spark.read.parquet(_batch_folder(path, last))
+
+
 def metric_anomalies(
-    hours: DataFrame, history: DataFrame, target: str, checkpoint: str, keys: list[str]
+    hours: DataFrame, history: DataFrame | None, target: str, checkpoint: str, keys: list[str], learn: bool = False
 ) -> StreamingQuery:
-    """Compare each closed hour with the stored history of its series."""
-    stats = series_stats(history, keys)
+    """Compare each closed hour with the moments (count, mean, squares) of its series.
+
+    The history is scanned once, when the job is first started: its moments are stored beside the
+    target.  With ``learn`` every micro-batch merges its own moments into the stored ones first, so a
+    series is judged by all hours closed so far; each batch starts from the moments that the batch
+    before it left, so one that runs again gives the same.
+    """
+    state = f"{target}-moments"
+    spark = hours.sparkSession
+    if not _folders(spark, state) and history is not None:
+        moments(history, keys).write.mode("overwrite").parquet(_batch_folder(state, -1))
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        found = zscore_anomalies(batch, keys, stats=stats)
+        spark = batch.sparkSession
+        known = _state(spark, state, batch_id if learn else 0)
+        if learn:
+            batch = cut_lineage(batch)
+            own = moments(batch, keys)
+            (own if known is None else merge_moments(known, own, keys)).write.mode("overwrite").parquet(_batch_folder(state, batch_id))
+            known = spark.read.parquet(_batch_folder(state, batch_id))
+        found = zscore_anomalies(batch, keys, stats=stats_of(known))
         found.write.mode("overwrite").parquet(_batch_folder(target, batch_id))
 
-    return (
-        hours.writeStream.outputMode("append")
-        .foreachBatch(store)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return _run_batches(hours, checkpoint, store)
+
+
+def learnt_moments(spark: SparkSession, target: str) -> DataFrame:
+    """The moments of every series after the last micro-batch."""
+    return _state(spark, f"{target}-moments", 2**62)
 
 
 def to_files(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:

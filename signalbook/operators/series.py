@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql.window import Window
 from signalbook.functions.values import half_up
 from signalbook.operators.positions import number_rows
 from signalbook.operators.shape import join_keys
+from signalbook.session import cut_lineage
 
 
 def metric_series(
@@ -148,6 +150,31 @@ def stats_of(found: DataFrame) -> DataFrame:
     return found.withColumn("_sd", sd).withColumnsRenamed({"mean": "_mean", "n": "_n"}).drop("m2")
 
 
+#: Parts into which a round of the selection cuts the range that holds a rank.
+BINS = 1024
+
+
+def _magnitude(v: Column) -> Column:
+    """A scale that rises with the value by octaves, through zero."""
+    octave = F.least(F.log2(F.abs(v)), F.lit(1100.0)) + 1075
+    return F.when(v == 0, 0.0).otherwise(F.signum(v) * octave)
+
+
+def _bin(v: Column, lo: Column, hi: Column) -> Column:
+    """Part of the range that a value falls into; both ends have parts of their own, -1 is below.
+
+    Parts are of equal width, or of equal ratio where the range spans many octaves, so that a few
+    rounds do for values of any size.
+    """
+    wide = (F.signum(lo) != F.signum(hi)) | (F.greatest(F.abs(lo), F.abs(hi)) / 16 > F.least(F.abs(lo), F.abs(hi)))
+    # Halves, so that no difference overflows; a range too narrow to divide is one part.
+    share = F.when(wide, F.try_divide(_magnitude(v) - _magnitude(lo), _magnitude(hi) - _magnitude(lo))).otherwise(
+        F.try_divide(v / 2 - lo / 2, hi / 2 - lo / 2)
+    )
+    inner = F.when(share.isNull() | F.isnan(share), 1).otherwise(F.greatest(F.lit(1), F.least(F.lit(BINS - 2), F.floor(share * BINS))))
+    return F.when(v < lo, -1).when(v == lo, 0).when(v == hi, BINS - 1).otherwise(inner).cast("int")
+
+
 def values_at_ranks(
     df: DataFrame,
     keys: Sequence[str],
@@ -157,63 +184,58 @@ def values_at_ranks(
 ) -> DataFrame:
     """Exact values at given 0-based ranks of each group with its size ``_n``, without sorting a group.
 
-    ``ranks`` names each target with its approximate share and its exact rank as
-    a function of the row count.  A mergeable sketch brackets every target to a
-    few ten-thousandths of the group; one counting pass then counts what lies
-    below the bracket and, value by value, what lies inside it.
+    ``ranks`` names each target with its approximate share and its exact rank as a function of the row
+    count.  A mergeable sketch gives each target a first range, most likely a narrow one.  Then, in
+    rounds of one scan, the values are counted by parts of the range (and below it); the part whose
+    counts enclose the rank gives, with the values it really holds, the next range.  A sketch that
+    missed the rank is thus noticed and put right.  A round divides the rows in range by about a
+    thousand; it ends when a range is a single value, however many rows have that value.  Nothing
+    larger than the list of parts is ordered.
     """
     margin = 4.0 / accuracy
-    names = list(ranks)
-    low_high = [
-        min(1.0, max(0.0, share + side * margin))
-        for share, _ in ranks.values()
-        for side in (-1, 1)
-    ]
-    sketch = df.groupBy(*keys).agg(
-        F.count(value).alias("_n"),
-        F.min(value).alias("_min"),
-        F.max(value).alias("_max"),
-        F.percentile_approx(value, low_high, accuracy).alias("_q"),
-    )
-    targets = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("name"),
-                exact(F.col("_n")).alias("rank"),
-                (F.col("_min") if low_high[2 * i] == 0 else F.col("_q")[2 * i]).alias("lo"),
-                (F.col("_max") if low_high[2 * i + 1] == 1 else F.col("_q")[2 * i + 1]).alias("hi"),
-            )
-            for i, (name, (_, exact)) in enumerate(ranks.items())
-        ]
-    )
-    brackets = sketch.select(*keys, "_n", targets.alias("_targets"))
     v = F.col(value)
-    counted = (
-        join_keys(df.select(*keys, v), brackets, keys)
-        # One row per target that the value can still decide, not one per target.
-        .select(*keys, "_n", v, F.explode(F.filter("_targets", lambda t: v <= t.hi)).alias("_t"))
-        .groupBy(
-            *keys,
-            "_n",
-            F.col("_t.name").alias("_name"),
-            F.col("_t.rank").alias("_rank"),
-            F.when(v >= F.col("_t.lo"), v).alias("_v"),
-        )
-        .agg(F.count("*").alias("_c"))
-    )
-    upto = (
-        Window.partitionBy(*keys, "_name")
-        .orderBy(F.col("_v").asc_nulls_first())
-        .rowsBetween(Window.unboundedPreceding, 0)
+    rows = df.where(v.isNotNull()).select(*keys, v.alias("_v"))
+    shares = [min(1.0, max(0.0, share + side * margin)) for share, _ in ranks.values() for side in (-1, 1)]
+    sketch = rows.groupBy(*keys).agg(
+        F.count("_v").alias("_n"),
+        F.min("_v").alias("_min"),
+        F.max("_v").alias("_max"),
+        F.percentile_approx("_v", shares, accuracy).alias("_q"),
     )
-    return (
-        counted.withColumn("_cum", F.sum("_c").over(upto))
-        .filter(F.col("_v").isNotNull() & (F.col("_cum") > F.col("_rank")))
-        .groupBy(*keys)
-        .agg(
-            F.max("_n").alias("_n"),
-            *[F.min(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in names],
+    targets = [
+        F.struct(F.lit(name).alias("_name"), exact(F.col("_n")).cast("long").alias("_rank"), F.col("_q")[2 * i].alias("_lo"), F.col("_q")[2 * i + 1].alias("_hi"))
+        for i, (name, (_, exact)) in enumerate(ranks.items())
+    ]
+    target = [*keys, "_n", "_max", "_name", "_rank", "_lo", "_hi"]
+    todo = cut_lineage(sketch.select(*keys, "_n", "_max", F.inline(F.array(*targets))).where("_rank >= 0 AND _rank < _n"))
+    found = []
+    while not todo.isEmpty():
+        listed = todo.groupBy(*keys).agg(F.collect_list(F.struct(*target[len(keys) :])).alias("_todo"))
+        counted = (
+            join_keys(rows, listed, keys)
+            # One row per target that the value can still decide, not one per target.
+            .select(*keys, "_v", F.explode(F.filter("_todo", lambda t: F.col("_v") <= t["_hi"])).alias("_t"))
+            .select(*keys, "_t.*", "_v", _bin(F.col("_v"), F.col("_t._lo"), F.col("_t._hi")).alias("_bin"))
+            .groupBy(*target, "_bin")
+            .agg(F.count("_v").alias("_c"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
+        )
+        upto = Window.partitionBy(*target).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+        encloses = (F.col("_cum") > F.col("_rank")) & (F.col("_cum") - F.col("_c") <= F.col("_rank"))
+        step = (
+            counted.withColumn("_cum", F.sum("_c").over(upto))
+            .groupBy(*target)
+            .agg(F.max(F.when(encloses, F.struct("_least", "_most"))).alias("_next"))
+            # No part encloses the rank: it lies above the range.
+            .withColumn("_lo", F.coalesce("_next._least", "_hi"))
+            .withColumn("_hi", F.coalesce("_next._most", "_max"))
         )
+        step = cut_lineage(step.select(*target, F.col("_next").isNull().alias("_missed")))
+        done = (F.col("_lo") == F.col("_hi")) & ~F.col("_missed")
+        found.append(step.where(done).drop("_missed"))
+        todo = step.where(~done).drop("_missed")
+    found = reduce(DataFrame.unionByName, found, todo)
+    return found.groupBy(*keys).agg(
+        F.max("_n").alias("_n"), *[F.max(F.when(F.col("_name") == name, F.col("_lo"))).alias(name) for name in ranks]
     )
 
 

@@ -160,6 +160,25 @@ add("sentiment_top_topics", f"""
       SELECT *, row_number() OVER (PARTITION BY m ORDER BY mentions DESC, topic) AS rank FROM (
         SELECT m, topic, count(*) AS mentions FROM (SELECT date_trunc('month', arrived_at) AS m, unnest(topics) AS topic FROM read_texts) GROUP BY 1, 2))
     WHERE rank <= 3""", ["read_texts"])
+_tops = """
+    SELECT *, row_number() OVER (PARTITION BY m, scope, domain, category ORDER BY mentions DESC, topic) AS rank FROM (
+      SELECT m, CASE WHEN grouping(domain) = 0 THEN 'domain' WHEN grouping(category) = 0 THEN 'category' ELSE 'all' END AS scope, domain, category, topic, count(*) AS mentions
+      FROM (SELECT date_trunc('month', arrived_at) AS m, domain, category, unnest(topics) AS topic FROM extracted) GROUP BY GROUPING SETS ((m, topic), (m, domain, topic), (m, category, topic)))
+    QUALIFY rank <= 3"""
+add("topics_by_scope", f"SELECT {stamp('m')} AS period_start, * EXCLUDE (m) FROM ({_tops})", ["extracted"])
+add("rollup_with_topics", f"""
+    SELECT {stamp('r.m')} AS period_start, r.* EXCLUDE (m), coalesce(top_topics, '') AS top_topics FROM (
+      SELECT m, CASE WHEN grouping(domain) = 0 THEN 'domain' WHEN grouping(category) = 0 THEN 'category' ELSE 'all' END AS scope, domain, category, count(*) AS total_records,
+             count(*) FILTER (sentiment = 'positive') AS positive_count, count(*) FILTER (sentiment = 'neutral') AS neutral_count, count(*) FILTER (sentiment = 'negative') AS negative_count,
+             {rnd("count(*) FILTER (sentiment = 'positive') * 100.0 / count(*)", 2)} AS positive_pct, {rnd("count(*) FILTER (sentiment = 'neutral') * 100.0 / count(*)", 2)} AS neutral_pct,
+             {rnd("count(*) FILTER (sentiment = 'negative') * 100.0 / count(*)", 2)} AS negative_pct,
+             {rnd('CAST(sum(CAST(sentiment_score AS DECIMAL(10,4))) AS DOUBLE) / count(*)', 4)} AS avg_sentiment_score
+      FROM (SELECT *, date_trunc('month', arrived_at) AS m FROM extracted) GROUP BY GROUPING SETS ((m), (m, domain), (m, category))) r
+    LEFT JOIN (SELECT m, scope, domain, category, string_agg(topic, ' ; ' ORDER BY rank) AS top_topics FROM ({_tops}) GROUP BY ALL) t
+    ON t.m = r.m AND t.scope = r.scope AND t.domain IS NOT DISTINCT FROM r.domain AND t.category IS NOT DISTINCT FROM r.category""", ["extracted"])
+add("deep_page", """
+    SELECT o_orderkey, o_custkey, CAST(o_totalprice AS DOUBLE) AS o_totalprice, o_orderpriority, (SELECT count(*) FROM orders) AS total
+    FROM orders ORDER BY o_orderpriority, o_totalprice DESC NULLS LAST, o_orderkey LIMIT 20 OFFSET 580""")
 add("customer_metrics", f"SELECT * REPLACE ({rnd('avg_resolution_hours', 6)} AS avg_resolution_hours, {rnd('negative_pct', 6)} AS negative_pct) FROM metrics", ["metrics"])
 add("service_metrics", f"""
     SELECT s_suppkey AS service_id, s_name AS name, coalesce(i.n, 0) AS incident_count, {rnd('CAST(t.hours AS DOUBLE) / t.n', 4)} AS avg_resolution_hours,

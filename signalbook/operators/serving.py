@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from signalbook import fixed_values as fv
 from signalbook.functions.values import days_before, half_up, money
-from signalbook.operators.shape import side_by_side
+from signalbook.operators.shape import join_keys, side_by_side
 
 AT_RISK = ["HIGH", "CRITICAL"]
 
@@ -57,6 +59,54 @@ def page_after(df: DataFrame, order: str, key: str, last: tuple, size: int = 20)
     return df.filter(later).orderBy(F.desc_nulls_last(order), F.asc(key)).limit(size)
 
 
+#: Bits of monotonically_increasing_id that count inside a partition.
+_PLACE_BITS = 33
+
+
+def store_pages(df: DataFrame, order: Sequence[Column], path: str) -> None:
+    """Store a list in ranges of its order, with an index of how many rows each range has.
+
+    The order should end with a unique column.  The list is computed and sorted once; see :func:`page_at`.
+    """
+    place = F.monotonically_increasing_id()
+    df.limit(0).write.parquet(f"{path}/columns")  # an empty list has no ranges to read them from
+    (
+        df.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .withColumn("_range", F.shiftright(place, _PLACE_BITS).cast("int"))
+        .withColumn("_place", place.bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)))
+        .write.partitionBy("_range")
+        .parquet(f"{path}/rows")
+    )
+    stored = df.sparkSession.read.schema("_place long, _range int").parquet(f"{path}/rows")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    # As many rows as ranges, which is a setting: one task orders them.
+    stored.groupBy("_range").agg(F.count("_place").alias("rows")).withColumn(
+        "start", F.coalesce(F.sum("rows").over(before), F.lit(0))
+    ).coalesce(1).write.parquet(f"{path}/index")
+
+
+def page_at(spark: SparkSession, path: str, number: int = 1, size: int = 20) -> DataFrame:
+    """A page of a stored list, however deep, and the size of the whole list.
+
+    Reads the index and the ranges that the page lies in (one, or two where it crosses a border), and
+    of these only the rows of the page; the total comes from the index.
+    """
+    first = (number - 1) * size
+    index = spark.read.parquet(f"{path}/index")
+    total = index.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    met = index.where((F.col("start") < first + size) & (F.col("start") + F.col("rows") > first)).orderBy("start").collect()
+    columns = spark.read.parquet(f"{path}/columns").schema
+    schema = StructType([*columns, StructField("_place", LongType()), StructField("_range", IntegerType())])
+    found = [
+        spark.read.schema(schema).option("basePath", f"{path}/rows").parquet(f"{path}/rows/_range={r['_range']}")
+        .where(F.col("_place").between(first - r["start"], first + size - 1 - r["start"]))
+        for r in met
+    ]
+    rows = reduce(DataFrame.unionByName, found, spark.createDataFrame([], schema))
+    return rows.orderBy("_range", "_place").drop("_range", "_place").withColumn("total", F.lit(total))
+
+
 # --- KPIs ---------------------------------------------------------------------------
 
 
@@ -205,6 +255,14 @@ def latest_months(rollup: DataFrame, k: int = 12) -> DataFrame:
 SCOPES = ["customer_id", "service_id", "product_id", "category"]
 
 
+def _scope(scopes: Sequence[str]) -> Column:
+    """The dimension that a grouped row is about, by the _no_ columns of the grouping sets."""
+    scope = F.lit("all")
+    for s in scopes:
+        scope = F.when(F.col(f"_no_{s}") == 0, s).otherwise(scope)
+    return scope
+
+
 def sentiment_rollup(
     records: DataFrame, time: str = "created_at", every: str = "month", scopes: Sequence[str] = SCOPES
 ) -> DataFrame:
@@ -224,9 +282,6 @@ def sentiment_rollup(
     sets = [[period]] + [[period, d] for d in dims]
     total = F.col("total_records")
     mood = F.col("sentiment")
-    scope = F.lit("all")
-    for s in scopes:
-        scope = F.when(F.col(f"_no_{s}") == 0, s).otherwise(scope)
     rolled = rows.groupingSets(sets, period, *dims).agg(
         *[F.grouping(s).alias(f"_no_{s}") for s in scopes],
         F.count("*").alias("total_records"),
@@ -245,7 +300,7 @@ def sentiment_rollup(
         "period_start",
         (period + step).alias("period_end"),
         F.lit({"day": "daily", "week": "weekly", "month": "monthly"}[every]).alias("period_type"),
-        scope.alias("scope"),
+        _scope(scopes).alias("scope"),
         *scopes,
         "total_records",
         "positive_count",
@@ -258,21 +313,41 @@ def sentiment_rollup(
     )
 
 
-def top_topics(records: DataFrame, time: str, every: str = "month", k: int = 3) -> DataFrame:
-    """Most frequent topics of each period; counted first, ranked on the counts."""
-    counts = (
-        records.select(
-            F.date_trunc(every, time).cast("timestamp_ntz").alias("period_start"),
-            F.explode_outer("topics").alias("topic"),
+def top_topics(
+    records: DataFrame, time: str, every: str = "month", k: int = 3, scopes: Sequence[str] = ()
+) -> DataFrame:
+    """Most frequent topics of each period, with ``scopes`` also of every value of each dimension.
+
+    Mentions are counted first, by grouping sets that combine before the shuffle; only counts are
+    ranked, and a task passes on no more than ``k`` of a period and scope.  Ties go to the smaller
+    topic.  Columns: period_start, with scopes also scope and the dimensions, topic, mentions, rank.
+    """
+    period, topic = F.col("period_start"), F.col("topic")
+    rows = records.select(
+        F.date_trunc(every, time).cast("timestamp_ntz").alias("period_start"), *scopes, F.explode("topics").alias("topic")
+    ).filter(topic.isNotNull())
+    if not scopes:
+        counts = rows.groupBy(period, topic).agg(F.count("*").alias("mentions"))
+        key = ["period_start"]
+    else:
+        dims = [F.col(s) for s in scopes]
+        counts = rows.groupingSets([[period, topic]] + [[period, d, topic] for d in dims], period, *dims, topic).agg(
+            *[F.grouping(s).alias(f"_no_{s}") for s in scopes], F.count("*").alias("mentions")
         )
-        .filter(F.col("topic").isNotNull())
-        .groupBy("period_start", "topic")
-        .agg(F.count("*").alias("mentions"))
-    )
-    rank = Window.partitionBy("period_start").orderBy(F.desc("mentions"), "topic")
+        counts = counts.select(period, _scope(scopes).alias("scope"), *scopes, topic, "mentions")
+        key = ["period_start", "scope", *scopes]
+    rank = Window.partitionBy(*key).orderBy(F.desc("mentions"), "topic")
     return counts.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
 
 
+def with_top_topics(rolled: DataFrame, tops: DataFrame, scopes: Sequence[str]) -> DataFrame:
+    """A sentiment rollup with the list of the top topics of each row (empty where there is none)."""
+    key = ["period_start", "scope", *scopes]
+    listed = tops.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("rank", "topic"))).alias("_tops"))
+    joined = join_keys(rolled, listed, key, "left")
+    return joined.withColumn("top_topics", F.coalesce("_tops.topic", F.array().cast("array<string>"))).drop("_tops")
+
+
 def sentiment_long(rollup: DataFrame) -> DataFrame:
     """Monthly averages of the positive and negative share as name/value rows."""
     month = F.date_trunc("month", "period_start").cast("date").cast("string").alias("month")

@@ -109,6 +109,29 @@ def _overall_rollup(t: Tables) -> DataFrame:
     return serving.sentiment_rollup(star.fact_ticket(t), scopes=[])
 
 
+TEXT_SCOPES = ["domain", "category"]
+
+
+def _text_records(t: Tables) -> DataFrame:
+    return _extracted(t).select("arrived_at", *TEXT_SCOPES, "topics", "sentiment", "sentiment_score")
+
+
+@query
+def topics_by_scope(t: Tables) -> DataFrame:
+    """Top topics of every month, overall, per domain and per category."""
+    return serving.top_topics(_text_records(t), "arrived_at", scopes=TEXT_SCOPES).withColumn("period_start", stamp(F.col("period_start")))
+
+
+@query
+def rollup_with_topics(t: Tables) -> DataFrame:
+    """Monthly sentiment of the texts with the top topics of every row."""
+    records = cut_lineage(_text_records(t))
+    rolled = serving.sentiment_rollup(records, "arrived_at", scopes=TEXT_SCOPES)
+    tops = serving.top_topics(records, "arrived_at", scopes=TEXT_SCOPES)
+    found = serving.with_top_topics(rolled, tops, TEXT_SCOPES).drop("period_end", "period_type")
+    return found.withColumn("period_start", stamp(F.col("period_start"))).withColumn("top_topics", joined(F.col("top_topics")))
+
+
 def _hourly(t: Tables) -> DataFrame:
     return series.metric_series(t.events, ["event_type"], "ts", "value", "hour")
 
@@ -299,6 +322,15 @@ def incident_list(t: Tables) -> DataFrame:
     )
 
 
+@query
+def deep_page(t: Tables) -> DataFrame:
+    """Page 30 of all orders by value, from the stored ranges of the list."""
+    path = scratch_path(t.spark, "pages")
+    rows = t.orders.select("o_orderkey", "o_custkey", F.col("o_totalprice").cast("double").alias("o_totalprice"), "o_orderpriority")
+    serving.store_pages(rows, [F.asc("o_orderpriority"), F.desc_nulls_last("o_totalprice"), F.asc("o_orderkey")], path)
+    return serving.page_at(t.spark, path, number=30)
+
+
 @query
 def insight_list(t: Tables) -> DataFrame:
     """First page of active high-severity risk insights."""

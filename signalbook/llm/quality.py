@@ -17,15 +17,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalbook.llm.common import by_value, text_of
 
 PASSAGE_WORDS = 64
-#: Most labelled documents used for fitting, and most passages of each (evenly spaced).
+#: Most labelled documents used for fitting, always whole; no more are chosen once they have so many
+#: passages together.
 TRAIN_DOCUMENTS = 4000
-TRAIN_PASSAGES = 64
+TRAIN_PASSAGES = 60_000
 THRESHOLD = 0.3
 HIDDEN, GATES = 16, 8
 ROUNDS, STEP, DECAY = 400, 0.02, 1e-4
@@ -171,20 +172,16 @@ def _chunks(batch: pa.RecordBatch, text_col: str = "text") -> Iterator[tuple[pa.
             at, size = i + 1, 0
 
 
-def _encoder(most: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, texts in _chunks(batch):
-                x, counts = encode(texts)
-                bags = []
-                for bag in np.split(x, np.cumsum(counts)[:-1]):
-                    pick = bag if len(bag) <= most else bag[np.linspace(0, len(bag) - 1, most).astype(int)]
-                    bags.append(pick.astype(np.float32).tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("quality"), pa.array(bags, pa.binary())], ["doc_id", "quality", "bag"]
-                )
-
-    return run
+def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, quality, place, the features of all passages of each text, and their number."""
+    for batch in batches:
+        for part, texts in _chunks(batch):
+            x, counts = encode(texts)
+            bags = [bag.astype(np.float32).tobytes() for bag in np.split(x, np.cumsum(counts)[:-1])]
+            yield pa.RecordBatch.from_arrays(
+                [*[part.column(c) for c in ("doc_id", "quality", "place")], pa.array(bags, pa.binary()), pa.array(counts, pa.int64())],
+                ["doc_id", "quality", "place", "bag", "passages"],
+            )
 
 
 def judge(model: dict | float, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -221,24 +218,32 @@ def _kind(docs: DataFrame) -> str:
     return docs.schema["doc_id"].dataType.simpleString()
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCUMENTS) -> dict | float:
+def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCUMENTS, passages: int = TRAIN_PASSAGES) -> dict | float:
     """A network fitted on at most ``most`` labelled documents whose remainder is not 0.
 
-    Takes the smallest hashes of the id, so reruns agree.  Null labels are passed over; an id that is
-    labelled twice counts with its larger label.  Without both labels the answer is the constant
-    share of label 1 (0.5 without any).
+    Takes the smallest hashes of the id, so reruns agree, and every document with all its passages;
+    once these are ``passages`` or more, no further document is taken.  Null labels are passed over;
+    an id that is labelled twice counts with its larger label.  Without both labels the answer is the
+    constant share of label 1 (0.5 without any).
     """
     usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id")) != 0))
     chosen = (
         usable.groupBy("doc_id").agg(F.max(F.col("quality").cast("int")).alias("quality"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        .withColumn("place", F.xxhash64("doc_id"))
+        .orderBy("place", "doc_id").limit(most)
     )
+    order = ["place", "doc_id", "bag"]
+    before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     rows = (
         docs.select("doc_id", text_of("text").alias("text")).join(chosen, "doc_id")
-        .select("doc_id", "quality", "text")
-        .mapInArrow(_encoder(TRAIN_PASSAGES), f"doc_id {_kind(docs)}, quality int, bag binary")
-        .orderBy("doc_id", "bag")
+        .select("doc_id", "quality", "place", "text")
+        .mapInArrow(_encoded, f"doc_id {_kind(docs)}, quality int, place long, bag binary, passages long")
+        .orderBy(*order)
         .limit(most)
+        # At most ``most`` rows are ordered here.
+        .withColumn("before", F.coalesce(F.sum("passages").over(before), F.lit(0)))
+        .where(F.col("before") < passages)
+        .select("quality", "bag")
         .collect()
     )
     label = np.array([row["quality"] for row in rows], float)

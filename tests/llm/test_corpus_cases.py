@@ -382,3 +382,17 @@ def test_pipeline_stages(spark, docs, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.count() == kept.count() and out.where("not lossless").count() == 0
     assert [name for name, _ in corpus_pipeline.STAGES][2] == "SimHash near-dedup"
+
+
+def test_quality_fits_on_whole_documents(spark, monkeypatch):
+    # Long documents are never cut for fitting; the bound stops the choice between documents.
+    seen = {}
+    monkeypatch.setattr(quality, "fit", lambda x, counts, label: seen.update(counts=list(counts)) or {})
+    docs = spark.createDataFrame([(i, "some word " * (32 * (i % 7 + 1) * 20)) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    quality.train(docs, labels)
+    full = seen["counts"]
+    assert sorted(set(full)) == [20 * k for k in range(1, 8)]
+    quality.train(docs, labels, passages=300)
+    some = seen["counts"]
+    assert some == full[: len(some)] and sum(some) >= 300 > sum(some[:-1])

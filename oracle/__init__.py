@@ -93,6 +93,33 @@ add("parse_model_json", f"""
            CASE WHEN ok THEN 'source|' || source || '|0.7' ELSE '' END AS entities,
            CASE WHEN ok THEN {rnd('CAST(total AS DOUBLE) / n', 2)} ELSE 0.7 END AS overall_confidence FROM f""")
 
+cte("replied", [], f"""
+    SELECT *, CASE WHEN listed THEN [{{'f': 'ticket_number', 'v': number, 'c': sure}}, {{'f': 'severity', 'v': level, 'c': firm}}] ELSE [] END
+              || CASE WHEN ok THEN [{{'f': 'sentiment', 'v': mood, 'c': coalesce(score, 0.7)}}] ELSE [] END AS fields
+    FROM (SELECT 'DOC-' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS document_id, doc_id % 13 <> 7 AS ok, doc_id % 13 <> 7 AND doc_id % 11 <> 5 AS listed,
+                 'TK-' || (doc_id % 700) AS number, ([0.7, 0.95, 0.7, 0.45])[doc_id % 4 + 1] AS sure, {pick(['P1', 'low', 'odd'], 'doc_id')} AS level,
+                 CASE WHEN doc_id % 5 = 0 THEN 0.6 ELSE 0.8 END AS firm, {pick(['negative', 'neutral'], 'doc_id')} AS mood,
+                 CASE WHEN doc_id % 9 <> 4 THEN 0.25 END AS score, CASE WHEN doc_id % 7 = 3 THEN '' ELSE 'b ; 7 ; t' || (doc_id % 5) END AS tags, doc_id FROM documents)""")
+add("reply_facts", f"""
+    SELECT * EXCLUDE (place) FROM (
+      SELECT CASE WHEN listed THEN number ELSE 'TK-AUTO-' || upper(md5(document_id)) END AS ticket_number, document_id,
+             CASE WHEN listed THEN CASE level WHEN 'P1' THEN 'critical' WHEN 'low' THEN 'low' ELSE 'medium' END ELSE 'medium' END AS severity,
+             CASE WHEN ok THEN mood END AS sentiment, CASE WHEN ok THEN CAST(score AS DOUBLE) END AS sentiment_score, CASE WHEN ok THEN tags ELSE '' END AS tags,
+             CASE WHEN len(fields) > 0 THEN {rnd('list_sum(list_transform(fields, lambda x: CAST(x.c AS DECIMAL(10,4)))) / len(fields)', 2)} ELSE 0.7 END AS extraction_confidence,
+             row_number() OVER (PARTITION BY CASE WHEN listed THEN number ELSE document_id END ORDER BY doc_id) AS place FROM replied) WHERE place = 1""", ["replied"])
+add("reply_reviews", f"""
+    SELECT {sid("'low_confidence_extraction'", 'document_id', "'Low-confidence extraction: ' || x.f")} AS item_id, document_id, 'Low-confidence extraction: ' || x.f AS title,
+           'Field ' || chr(39) || x.f || chr(39) || ' extracted with ' || CAST(CAST(x.c * 100 AS INTEGER) AS VARCHAR) || '% confidence' AS description, x.v AS current_value,
+           CAST(x.c AS DOUBLE) AS confidence, CASE WHEN x.c < 0.5 THEN 'high' ELSE 'medium' END AS priority, 'pending' AS status
+    FROM (SELECT document_id, unnest(fields) AS x FROM replied) WHERE x.c < 0.65""", ["replied"])
+add("upload_intake", f"""
+    WITH u AS (SELECT 'DOC-' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS document_id, 'up/' || doc_id || {pick(['.txt', '.json', '.PDF', '', '.tar.exe', '.csv'], 'doc_id')} AS filename,
+                      {pick(['txt', 'json', 'pdf', '', 'exe', 'csv'], 'doc_id')} AS file_type, strlen(coalesce(text, '')) AS file_size_bytes, sha256(coalesce(text, '')) AS h, doc_id FROM documents),
+    r AS (SELECT *, CASE WHEN file_type IN ('', 'exe') THEN 'file type not allowed' WHEN file_size_bytes > {_catalog.UPLOAD_BYTES} THEN 'file too large' END AS reason FROM u),
+    k AS (SELECT *, first_value(document_id) OVER (PARTITION BY reason IS NULL, h ORDER BY doc_id % 2, doc_id) AS kept FROM r)
+    SELECT document_id, filename, file_type, file_size_bytes, CASE WHEN reason IS NULL THEN h END AS file_hash,
+           CASE WHEN reason IS NOT NULL THEN 'refused' WHEN kept = document_id THEN 'uploaded' ELSE 'duplicate' END AS status, CASE WHEN reason IS NULL THEN kept END AS stored_as, reason FROM k""")
+
 # --- lists --------------------------------------------------------------------------
 
 add("customer_search", "SELECT canonical_id, name, risk_level, health_score FROM health WHERE risk_level = 'HIGH' AND name ILIKE '%mer#0000__1%'", ["health"])
@@ -561,6 +588,21 @@ cte("dq_reports", ["dq_counts"], f"""
            missing AS missing_critical_fields, least(n, badrows + dup) AS records_requiring_review
     FROM (SELECT *, 100 - missing * 100.0 / (n * nc) AS c, 100 - bad * 100.0 / (n * nf) AS v, 100 - dup * 100.0 / n AS u, 100 - ord * 100.0 / n AS k, 100 - stale * 100.0 / n AS t FROM dq_counts)""")
 add("dq_report", "SELECT * FROM dq_reports", ["dq_reports"])
+_blocks = {"customer": fv.CRITICAL_FIELDS["customer"], "ticket": fv.CRITICAL_FIELDS["ticket"]}
+_have = ["ticket_number", "customer_name", "priority", "status", "created_date", "resolved_date", "customer_email", "amount_currency", "updated_at"]
+_lost = {k: " + ".join(f"CAST(coalesce({f}, '') = '' AS INTEGER)" if f in _have else "1" for f in fields) for k, fields in _blocks.items()}
+add("dq_documents", f"""
+    SELECT * FROM (WITH r AS (SELECT *, CAST(substr(row_id, 3) AS BIGINT) // 2000 AS block FROM dirty),
+    d AS (SELECT *, {pick(['customer_intelligence', 'it_operations', 'ticket'], 'block')} AS domain, {pick(['customer', 'operations', 'ticket'], 'block')} AS record_type FROM r),
+    g AS (SELECT block, domain, record_type, CASE record_type WHEN 'customer' THEN 2 WHEN 'ticket' THEN 5 ELSE 1 END AS nc, count(*) AS n,
+                 sum(CASE record_type WHEN 'customer' THEN {_lost['customer']} WHEN 'ticket' THEN {_lost['ticket']} ELSE 0 END) AS missing, sum({_nbad}) AS bad,
+                 count(*) FILTER ({_nbad} > 0) AS badrows, count(*) FILTER ({_order}) AS ord, count(*) FILTER ({_stale}) AS stale,
+                 count(*) FILTER ({_key} <> '') - count(DISTINCT CASE WHEN {_key} <> '' THEN {_key} END) AS dup FROM d GROUP BY ALL),
+    s AS (SELECT *, greatest(0, 100 - missing * 100.0 / (n * nc)) AS c, 100 - bad * 100.0 / (n * 9) AS v, 100 - dup * 100.0 / n AS u, 100 - ord * 100.0 / n AS k, 100 - stale * 100.0 / n AS t FROM g)
+    SELECT 'DOC-' || block AS document_id, 'part-' || block || '.csv' AS dataset_name, domain, record_type, '2000-01-01 00:00:00' AS report_date,
+           {rnd('.3*c + .25*v + .2*u + .15*k + .1*t', 1)} AS overall_score, {rnd('c', 1)} AS completeness_score, {rnd('v', 1)} AS validity_score, {rnd('u', 1)} AS uniqueness_score,
+           {rnd('k', 1)} AS consistency_score, {rnd('t', 1)} AS timeliness_score, n AS total_records, n - badrows AS valid_records, badrows AS invalid_records, dup AS duplicate_records,
+           missing AS missing_critical_fields, least(n, badrows + dup) AS records_requiring_review FROM s)""", ["dirty"])
 add("dq_summary", f"""
     SELECT {rnd('avg(overall_score)', 1)} AS avg_overall_score, {rnd('avg(completeness_score)', 1)} AS avg_completeness_score, {rnd('avg(validity_score)', 1)} AS avg_validity_score,
            sum(total_records) AS total_records_assessed, sum(invalid_records) AS total_invalid_records, sum(duplicate_records) AS total_duplicate_records FROM dq_reports""", ["dq_reports"])

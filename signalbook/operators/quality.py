@@ -120,9 +120,24 @@ def quality_report(
 ) -> DataFrame:
     """One row: counts, the five scores and the weighted overall score."""
     counts = side_by_side(row_counts(df, record_type, as_of, fields), duplicate_count(df))
-    total = F.col("total_records")
     n_critical = max(len(critical_fields(record_type, fields)), 1)
-    n_columns = max(len(df.columns), 1)
+    return _scores(counts, F.lit(n_critical), len(df.columns)).select(
+        F.lit(dataset_name).alias("dataset_name"),
+        F.lit(record_type).alias("record_type"),
+        as_of.alias("report_date"),
+        *REPORT,
+    )
+
+
+REPORT = [
+    "overall_score", *[f"{part}_score" for part in fv.QUALITY_WEIGHTS], "total_records", "valid_records",
+    "invalid_records", "duplicate_records", "missing_critical_fields", "records_requiring_review",
+]
+
+
+def _scores(counts: DataFrame, n_critical: Column, n_columns: int) -> DataFrame:
+    """The columns of ``counts`` with the five scores, the weighted one and the derived counts."""
+    total = F.col("total_records")
 
     def score(bad: str, per: Column) -> Column:
         share = F.try_divide(F.col(bad) * 100.0, per)
@@ -131,27 +146,71 @@ def quality_report(
     scored = counts.select(
         "*",
         score("missing_critical_fields", total * n_critical).alias("completeness"),
-        score("invalid_values", total * n_columns).alias("validity"),
+        score("invalid_values", total * max(n_columns, 1)).alias("validity"),
         score("duplicate_records", total).alias("uniqueness"),
         score("order_errors", total).alias("consistency"),
         score("stale_records", total).alias("timeliness"),
     )
     overall = sum(F.col(part) * weight for part, weight in fv.QUALITY_WEIGHTS.items())
     return scored.select(
-        F.lit(dataset_name).alias("dataset_name"),
-        F.lit(record_type).alias("record_type"),
-        as_of.alias("report_date"),
+        "*",
         half_up(overall, 1).alias("overall_score"),
         *[half_up(F.col(part), 1).alias(f"{part}_score") for part in fv.QUALITY_WEIGHTS],
-        "total_records",
         (total - F.col("invalid_records")).alias("valid_records"),
-        "invalid_records",
-        "duplicate_records",
-        "missing_critical_fields",
-        F.least(total, F.col("invalid_records") + F.col("duplicate_records")).alias(
-            "records_requiring_review"
-        ),
+        F.least(total, F.col("invalid_records") + F.col("duplicate_records")).alias("records_requiring_review"),
+    )
+
+
+def record_type_of(domain: Column) -> Column:
+    """The record type whose critical fields a domain's records are held to."""
+    return F.replace(F.replace(domain, F.lit("_intelligence"), F.lit("")), F.lit("it_"), F.lit(""))
+
+
+def document_reports(
+    df: DataFrame, as_of: Column, document: str = "document_id", dataset: str = "dataset_name", domain: str = "domain"
+) -> DataFrame:
+    """One quality report per document from the records of all documents together.
+
+    The record type follows from the document's domain; a type without critical fields misses none.
+    The labels are not checked themselves.  Duplicates count inside a document.  One pass: records are
+    first folded by document and key, so that a document with most of the records, or one key that most
+    of them share, weighs one row per task; these are then summed by document.
+    """
+    labels = [document, dataset, domain]
+    checked = df.drop(*labels)
+    kind = F.coalesce(record_type_of(F.col(domain)), F.lit(""))
+    zero = F.lit(0)
+    bad = reduce(add, [is_invalid(c).cast("int") for c in ruled_columns(checked)], zero)
+    missing, n_critical = zero, F.lit(1)
+    for name in fv.CRITICAL_FIELDS:
+        fields = critical_fields(name)
+        lost = reduce(add, [is_missing(checked, f).cast("int") for f in fields], zero)
+        missing = F.when(kind == name, lost).otherwise(missing)
+        n_critical = F.when(F.col("record_type") == name, max(len(fields), 1)).otherwise(n_critical)
+    rows = df.select(
+        *labels,
+        kind.alias("record_type"),
+        duplicate_key(checked).alias("_key"),
+        bad.alias("_bad"),
+        missing.alias("_missing"),
+        wrong_order(checked).alias("_order"),
+        is_stale(checked, as_of).alias("_stale"),
+    )
+    total = {
+        "total_records": F.count(F.lit(1)),
+        "missing_critical_fields": F.sum("_missing"),
+        "invalid_values": F.sum("_bad"),
+        "invalid_records": F.count_if(F.col("_bad") > 0),
+        "order_errors": F.count_if("_order"),
+        "stale_records": F.count_if("_stale"),
+    }
+    by = [*labels, "record_type"]
+    keyed = rows.groupBy(*by, "_key").agg(*[made.alias(name) for name, made in total.items()])
+    again = F.when(F.col("_key") != "", F.col("total_records") - 1).otherwise(0)
+    counts = keyed.withColumn("duplicate_records", again).groupBy(*by).agg(
+        *[F.sum(name).alias(name) for name in [*total, "duplicate_records"]]
     )
+    return _scores(counts, n_critical, len(checked.columns)).select(*by, as_of.alias("report_date"), *REPORT)
 
 
 def missing_by_field(

@@ -15,7 +15,7 @@ from signalbook.functions import extract as ex
 from signalbook.functions import lexicon, text as tx
 from signalbook.functions.values import half_up, instant, stable_id
 from signalbook.operators import causes, health, impact, profile, quality, registry, resolve, serving
-from signalbook.operators import series, staging, topics
+from signalbook.operators import series, staging, topics, uploads
 from signalbook.plans import insights as ins
 from signalbook.plans.analysis import full_analysis, scored_customers
 from signalbook.plans.intake import Run, document_run
@@ -287,6 +287,38 @@ def parse_model_json(t: Tables) -> DataFrame:
     )
 
 
+def _replied(t: Tables) -> DataFrame:
+    return staging.extract_replies(texts.ticket_replies(t), fallback=False)
+
+
+@query
+def reply_facts(t: Tables) -> DataFrame:
+    """Ticket facts from model replies, whatever properties these have."""
+    facts = staging.ticket_facts(_replied(t).withColumn("customer_code", F.lit(None).cast("string")))
+    return facts.select(
+        "ticket_number", "document_id", "severity", "sentiment", "sentiment_score", joined(F.col("tags")).alias("tags"), "extraction_confidence"
+    )
+
+
+@query
+def reply_reviews(t: Tables) -> DataFrame:
+    """Review items for the uncertain fields of model replies."""
+    items = staging.review_queue(staging.low_confidence_items(_replied(t)))
+    return items.select("item_id", "document_id", "title", "description", "current_value", "confidence", "priority", "status")
+
+
+UPLOAD_BYTES = 3000
+
+
+@query
+def upload_intake(t: Tables) -> DataFrame:
+    """Documents uploaded in two runs; the second knows what the first stored."""
+    found = texts.upload_files(t)
+    first = cut_lineage(uploads.intake(found.filter("run = 0"), ["document_id"], max_bytes=UPLOAD_BYTES))
+    known = uploads.stored_files(first)
+    return first.unionByName(uploads.intake(found.filter("run = 1"), ["document_id"], max_bytes=UPLOAD_BYTES, known=known))
+
+
 # --- lists ---------------------------------------------------------------------------------
 
 
@@ -1201,6 +1233,13 @@ def dq_report(t: Tables) -> DataFrame:
     return _reports(t).withColumn("report_date", stamp(F.col("report_date")))
 
 
+@query
+def dq_documents(t: Tables) -> DataFrame:
+    """A report per document, its record type by its domain."""
+    found = quality.document_reports(texts.document_records(t), instant(AS_OF))
+    return found.withColumn("report_date", stamp(F.col("report_date")))
+
+
 @query
 def dq_summary(t: Tables) -> DataFrame:
     return quality.quality_summary(_reports(t))

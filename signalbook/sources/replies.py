@@ -11,10 +11,8 @@ from signalbook.functions.values import half_up
 
 FIELDS = "array<struct<field:string,value:string,confidence:double,text_span:string>>"
 ENTITIES = "array<struct<type:string,value:string,confidence:double>>"
-REPLY_SCHEMA = (
-    f"fields {FIELDS}, entities {ENTITIES}, sentiment string, sentiment_score double, topics array<string>, "
-    "key_phrases array<string>, category string, subcategory string, summary string"
-)
+TEXTS = ["sentiment", "category", "subcategory", "summary"]
+LISTS = ["topics", "key_phrases"]
 
 
 def reply_text(raw: Column) -> Column:
@@ -28,6 +26,56 @@ def reply_text(raw: Column) -> Column:
     return F.coalesce(valid(clean), valid(block))
 
 
+def _at(value: Column, name: str, dtype: str) -> Column:
+    """A property of a semi-structured value, null if it is missing or of another kind."""
+    return F.try_variant_get(value, f"$.{name}", dtype)
+
+
+def _text_at(value: Column, name: str) -> Column:
+    """As text; a list or an object stays as its JSON."""
+    whole = _at(value, name, "variant")
+    return F.when(~F.is_variant_null(whole), F.coalesce(_at(value, name, "string"), F.to_json(whole)))
+
+
+def _is_object(value: Column) -> Column:
+    return F.coalesce(F.startswith(F.schema_of_variant(value), F.lit("OBJECT")), F.lit(False))
+
+
+def _objects(value: Column, name: str) -> Column:
+    """The objects of a list; anything else in it, or in its place, is left out."""
+    listed = F.coalesce(_at(value, name, "array<variant>"), F.array().cast("array<variant>"))
+    return F.filter(listed, _is_object)
+
+
+def reply_of(value: Column) -> Column:
+    """The known properties of a reply by typed paths; others stay in the value, wrong kinds are null."""
+    return F.when(
+        _is_object(value),
+        F.struct(
+            F.transform(
+                _objects(value, "fields"),
+                lambda f: F.struct(
+                    _at(f, "field", "string").alias("field"),
+                    _text_at(f, "value").alias("value"),
+                    _at(f, "confidence", "double").alias("confidence"),
+                    _at(f, "text_span", "string").alias("text_span"),
+                ),
+            ).alias("fields"),
+            F.transform(
+                _objects(value, "entities"),
+                lambda e: F.struct(
+                    _at(e, "type", "string").alias("type"),
+                    _text_at(e, "value").alias("value"),
+                    _at(e, "confidence", "double").alias("confidence"),
+                ),
+            ).alias("entities"),
+            _at(value, "sentiment_score", "double").alias("sentiment_score"),
+            *[_at(value, name, "string").alias(name) for name in TEXTS],
+            *[_at(value, name, "array<string>").alias(name) for name in LISTS],
+        ),
+    )
+
+
 def _place(source: Column, span: Column) -> Column:
     """0-based start of the span in the text, -1 when it is not there, null without a span."""
     return F.when(span != "", F.call_function("locate", span, source) - 1)
@@ -38,7 +86,8 @@ def read_replies(replies: DataFrame, raw: str, text: str) -> DataFrame:
     and the mean confidence of its fields."""
     default = F.lit(fv.FIELD_CONFIDENCE["reply_default"])
     source = F.col(text)
-    reply = replies.withColumn("_r", F.from_json(reply_text(F.col(raw)), REPLY_SCHEMA))
+    landed = replies.withColumn("_v", F.try_parse_json(reply_text(F.col(raw))))
+    reply = landed.withColumn("_r", reply_of(F.col("_v"))).drop("_v")
     given = F.coalesce(F.col("_r.fields"), F.array().cast(FIELDS))
     placed = F.transform(
         given,

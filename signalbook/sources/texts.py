@@ -205,6 +205,57 @@ def model_replies(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", "text", reply.alias("raw"))
 
 
+def ticket_replies(t: Tables) -> DataFrame:
+    """A reply about a ticket for every document, with missing, extra and wrongly typed properties."""
+    key = F.col("doc_id")
+    number = F.concat(F.lit("TK-"), (key % 700).cast("string"))
+    sure = pick(["\"high\"", "0.95", "null", "0.45"], key)
+    json = F.concat(
+        F.lit('{"fields": '),
+        F.when(key % 11 == 5, F.lit('"none"')).otherwise(
+            F.concat(
+                F.lit('[{"field": "ticket_number", "value": "'), number, F.lit('", "confidence": '), sure,
+                F.lit(', "note": {"page": 2}}, "stray", {"field": "severity", "value": "'), pick(["P1", "low", "odd"], key),
+                F.lit('", "confidence": '), F.when(key % 5 == 0, "0.6").otherwise("0.8"), F.lit("}]"),
+            )
+        ),
+        F.lit(', "sentiment": "'), pick(["negative", "neutral"], key), F.lit('", "sentiment_score": '),
+        F.when(key % 9 == 4, F.lit('"much"')).otherwise("0.25"),
+        F.lit(', "topics": '), F.when(key % 7 == 3, F.lit('"alone"')).otherwise(F.concat(F.lit('["b", 7, "t'), (key % 5).cast("string"), F.lit('"]'))),
+        F.lit(', "extra": [1, {"a": null}]}'),
+    )
+    return t.documents.select(
+        padded("DOC-", key).alias("document_id"),
+        F.lit("customer_intelligence").alias("domain"),
+        F.timestamp_add("MINUTE", key.cast("int"), F.lit("2024-01-01 00:00:00").cast("timestamp")).alias("arrived_at"),
+        "text",
+        F.when(key % 13 == 6, F.concat(F.lit("[1, "), json, F.lit(", 2"))).when(key % 13 == 7, F.lit("[1, 2]")).otherwise(json).alias("raw"),
+    )
+
+
+def upload_files(t: Tables) -> DataFrame:
+    """The documents as uploaded files of several types, some not allowed, some without one."""
+    key = F.col("doc_id")
+    ending = pick([".txt", ".json", ".PDF", "", ".tar.exe", ".csv"], key)
+    return t.documents.select(
+        padded("DOC-", key).alias("document_id"),
+        F.concat(F.lit("up/"), key.cast("string"), ending).alias("filename"),
+        F.col("text").alias("content"),
+        (key % 2).alias("run"),
+    )
+
+
+def document_records(t: Tables) -> DataFrame:
+    """The records of :func:`dirty_tickets` as rows of documents of two thousand keys and three domains."""
+    block = F.floor(F.substring("row_id", 3, 18).cast("long") / 2000)
+    return dirty_tickets(t).select(
+        F.concat(F.lit("DOC-"), block.cast("string")).alias("document_id"),
+        F.concat(F.lit("part-"), block.cast("string"), F.lit(".csv")).alias("dataset_name"),
+        pick(["customer_intelligence", "it_operations", "ticket"], block).alias("domain"),
+        "*",
+    ).drop("row_id")
+
+
 QUESTIONS = [
     "Which customers have the highest support risk?",
     "Summarise incidents of the last month",

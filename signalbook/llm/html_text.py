@@ -21,7 +21,11 @@ from signalbook.llm.common import by_value
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Content is text up to the matching end tag.
 RAW = set("script style textarea title xmp iframe noembed noframes plaintext".split())
-HIDDEN = set("head script style template title noscript iframe object audio video canvas svg math datalist noembed noframes".split())
+HIDDEN = set("head script style template title noscript iframe object audio video canvas datalist noembed noframes".split()) | set(
+    "annotation annotation-xml desc defs metadata symbol clippath".split()  # of formulas and drawings
+)
+#: Inputs that show no text of their value.
+VALUELESS = set("hidden password checkbox radio file image color range".split())
 PARAGRAPHS = set("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure fieldset hr".split())
 BLOCKS = PARAGRAPHS | set(
     "html body div section article aside header footer nav main address form li dt dd tr td th thead tbody tfoot caption "
@@ -46,13 +50,16 @@ IMPLIED_END = {
 #: Inline end tags do not reach out of these.
 SCOPES = {"table", "td", "th", "caption", "html"}
 #: Tables nested deeper than this are rendered as blocks.
-TABLE_DEPTH = 8
+TABLE_DEPTH = 100
+#: Bounds of the HTML standard.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
 
 TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>?|</[^>]*>?", re.DOTALL
 )
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)")
+DISPLAY = re.compile(r"(?:^|[;\s])display\s*:\s*([a-z-]+)")
+VISIBILITY = re.compile(r"(?:^|[;\s])visibility\s*:\s*([a-z-]+)")
 SPACE = re.compile(r"[ \t\n\r\f\v]+")
 
 
@@ -151,15 +158,24 @@ def _find_end(page: str, tag: str, at: int) -> int:
 
 
 def hidden(node: Node) -> bool:
-    """Whether a browser shows nothing of the element."""
+    """Whether the element is not laid out, nor anything in it."""
     if node.tag in HIDDEN:
         return True
     attrs = node.attrs
     if not attrs:
         return False
-    if "hidden" in attrs or node.tag == "input" and attrs.get("type", "").lower() == "hidden":
-        return True
-    return "style" in attrs and bool(UNSEEN.search(attrs["style"].lower()))
+    display = DISPLAY.findall(attrs["style"].lower()) if "style" in attrs else None
+    if display:
+        return display[-1] == "none"
+    return "hidden" in attrs or node.tag == "input" and attrs.get("type", "").lower() == "hidden"
+
+
+def visible(node: Node, inherited: bool) -> bool:
+    """Whether the element shows its text: its own visibility, else that of the element around it."""
+    own = VISIBILITY.findall(node.attrs["style"].lower()) if "style" in node.attrs else None
+    if not own or own[-1] not in ("visible", "hidden", "collapse"):
+        return inherited
+    return own[-1] == "visible"
 
 
 class Writer:
@@ -211,15 +227,18 @@ def _number(text: str, default: int) -> int:
     return int(text) if re.fullmatch(r"-?\d{1,9}", text or "", re.ASCII) else default
 
 
-def render(node: Node, tables: int = 0) -> str:
-    """The visible text below a node, walked without recursion except for tables in tables."""
+def render(node: Node, tables: int = 0, shown: bool = True) -> str:
+    """The visible text below a node, walked without recursion except for tables in tables.
+
+    ``shown`` is the visibility that the node inherits."""
     out = Writer()
     lists: list[list] = []  # [ordered, next number]
-    todo: list = [("open", node, False)]
+    todo: list = [("open", node, False, shown)]
     while todo:
-        kind, item, pre = todo.pop()
+        kind, item, pre, shown = todo.pop()
         if kind == "text":
-            out.verbatim(item) if pre else out.flow(item)
+            if shown:
+                out.verbatim(item) if pre else out.flow(item)
             continue
         if kind == "close":
             if item.tag in ("ul", "ol", "menu", "dir"):
@@ -238,20 +257,23 @@ def render(node: Node, tables: int = 0) -> str:
         tag = item.tag
         if hidden(item):
             continue
+        shown = visible(item, shown)
         if tag == "br":
             out.breaks, out.blank = min(out.breaks + 1, 2), False
             continue
         if tag in ("img", "area"):
-            if item.attrs.get("alt", "").strip():
+            if shown and item.attrs.get("alt", "").strip():
                 out.flow(item.attrs["alt"])
             continue
         if tag == "input":
-            if item.attrs.get("type", "text").lower() in ("submit", "button", "reset", "text", "search") and item.attrs.get("value"):
+            if shown and item.attrs.get("type", "text").lower() not in VALUELESS and item.attrs.get("value"):
                 out.flow(" " + item.attrs["value"] + " ")
             continue
+        if tag == "text":  # of a drawing: stands apart
+            out.flow(" ")
         if tag == "table" and tables < TABLE_DEPTH:
             out.space(2)
-            for line in table_lines(item, tables + 1):
+            for line in table_lines(item, tables + 1, shown):
                 if line:
                     out.put(line)
                 out.space(1)
@@ -275,47 +297,74 @@ def render(node: Node, tables: int = 0) -> str:
                 out.marker, out.indent = marker, out.indent + "  "
             elif tag == "dd":
                 out.indent += "    "
-            todo.append(("close", item, False))
-        todo.extend(_children(item, pre))
+            todo.append(("close", item, False, shown))
+        todo.extend(_children(item, pre, shown))
     return out.text()
 
 
-def _children(node: Node, pre: bool) -> list:
-    return [("text", c, pre) if isinstance(c, str) else ("open", c, pre) for c in reversed(node.children)]
+def _children(node: Node, pre: bool, shown: bool) -> list:
+    return [("text" if isinstance(c, str) else "open", c, pre, shown) for c in reversed(node.children)]
 
 
-def table_lines(table: Node, tables: int) -> list[str]:
+def table_lines(table: Node, tables: int, shown: bool = True) -> list[str]:
     """Rows of the table with cells padded to the width of their column; a cell of several lines
-    takes several lines.  Captions and stray content come first."""
-    rows, before = [], []
-    todo = list(reversed(table.children))
+    takes several lines.  Captions and stray content come first.
+
+    A cell over several rows stands in the first and keeps its columns free in the others, as long as
+    its group of rows lasts.  Cells that are laid out but not visible stay empty; a row without any
+    visible text because of that is left out."""
+    rows, before, groups = [], [], 0
+    taken: dict[int, int] = {}  # column -> rows for which a cell above still holds it
+    last = None
+    todo = [(item, 0, shown) for item in reversed(table.children)]
     while todo:
-        item = todo.pop()
+        item, group, seen = todo.pop()
         if isinstance(item, str):
-            if item.strip():
+            if seen and item.strip():
                 before.append(SPACE.sub(" ", item).strip())
-        elif hidden(item):
             continue
-        elif item.tag in ("thead", "tbody", "tfoot", "form"):
-            todo.extend(reversed(item.children))
+        if hidden(item):
+            continue
+        if item.tag in ("thead", "tbody", "tfoot", "form"):
+            groups += 1
+            seen = visible(item, seen)
+            todo.extend((child, groups, seen) for child in reversed(item.children))
         elif item.tag == "tr":
-            cells = []
+            if group != last:
+                taken, last = {}, group
+            seen = visible(item, seen)
+            cells, at, fresh = [], 0, {}
             for cell in item.children:
                 if isinstance(cell, str):
-                    if cell.strip():
-                        cells.append(([SPACE.sub(" ", cell).strip()], 1))
-                elif not hidden(cell):
-                    span = min(max(_number(cell.attrs.get("colspan", ""), 1), 1), 100)
-                    cells.append((render(cell, tables).split("\n"), span))
-            rows.append(cells)
+                    if not seen or not cell.strip():
+                        continue
+                    lines, span, down = [SPACE.sub(" ", cell).strip()], 1, 1
+                elif hidden(cell):
+                    continue
+                else:
+                    lines = render(cell, tables, seen).split("\n")
+                    span = min(max(_number(cell.attrs.get("colspan", ""), 1), 1), MOST_COLUMNS)
+                    down = _number(cell.attrs.get("rowspan", ""), 1)
+                    down = MOST_ROWS if down == 0 else min(max(down, 1), MOST_ROWS)
+                at = _pass_taken(cells, at, taken)
+                cells.append((lines, span))
+                if down > 1:
+                    fresh |= dict.fromkeys(range(at, at + span), down - 1)
+                at += span
+            _pass_taken(cells, at, taken)
+            taken = {column: left - 1 for column, left in taken.items() if left > 1} | fresh
+            if seen or any(any(lines) for lines, _ in cells):
+                rows.append(cells)
         else:
-            text = render(item, tables)
+            text = render(item, tables, seen)
             if text:
                 before.extend(text.split("\n"))
     widths: dict[int, int] = {}
+    starts = set()  # columns in which some cell begins: others have no border of their own
     for cells in rows:
         at = 0
         for lines, span in cells:
+            starts.add(at)
             if span == 1:
                 widths[at] = max(widths.get(at, 0), max(map(len, lines)))
             at += span
@@ -324,13 +373,23 @@ def table_lines(table: Node, tables: int) -> list[str]:
         for k in range(max((len(lines) for lines, _ in cells), default=0)):
             line, at = [], 0
             for lines, span in cells:
-                width = sum(widths.get(i, 0) for i in range(at, at + span)) + 3 * (span - 1)
+                width = sum(widths.get(i, 0) for i in range(at, at + span)) + 3 * sum(i in starts for i in range(at + 1, at + span))
                 line.append((lines[k] if k < len(lines) else "").ljust(width))
                 at += span
             out.append(" | ".join(line).rstrip())
     return out
 
 
+def _pass_taken(cells: list, at: int, taken: dict[int, int]) -> int:
+    """The first free column from ``at``; the columns passed over become one empty cell."""
+    start = at
+    while at in taken:
+        at += 1
+    if at > start:
+        cells.append(([""], at - start))
+    return at
+
+
 def text_of_page(page: str | None) -> str:
     """All visible text of a page; of null the empty text."""
     return render(build(page)) if page else ""

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from signalbook.llm.common import staged
 
@@ -27,15 +28,16 @@ def rotate(turns: DataFrame, system_role: str = SYSTEM) -> DataFrame:
     others' segments.  Turns are ordered by turn, role and text (nulls last); repeated rows are said
     again.  ``system_role`` is no participant and opens as system.  A null role is the participant
     "unknown"; a null text is empty; a null conv_id is a conversation of its own.  A conversation of
-    system turns only has no perspective and gives no rows.
+    system turns only has no perspective and gives no rows.  Ids may be of any type: whole numbers
+    become long, others stay as they are.  A turn that is not a number counts as null.
     """
     rows = turns.select(
-        F.col("conv_id").cast("long").alias("conv"),
-        F.col("turn").cast("long").alias("turn"),
+        (F.col("conv_id").cast("long") if isinstance(turns.schema["conv_id"].dataType, IntegralType) else F.col("conv_id")).alias("conv"),
+        F.col("turn").try_cast("long").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"),
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
     )
-    conv = F.coalesce(F.col("conv").cast("string"), F.lit("null"))
+    conv = F.coalesce(F.concat(F.lit("="), F.col("conv").cast("string")), F.lit(""))  # no text stands for null
     rows = rows.groupBy("conv", "turn", "role", "text").agg(F.count(F.lit(1)).alias("said")).withColumn("key", conv)
     order = [F.col("key"), F.col("turn").asc_nulls_last(), F.col("role"), F.col("text")]
     # Dealt out by conversation and turn, then written: a long conversation spans several ranges.

@@ -1,12 +1,14 @@
 """Exact duplicates by an extendible-hash index kept as files in the shared folder.
 
-The index has an entry per different text under its key, a 64-bit hash of the normalised text.  Its
-directory starts with one bucket; as long as a bucket holds more than ``capacity`` keys the directory
-doubles and the overfull bucket splits on the next bit of the hash.  A bucket is therefore a range of
-keys; buckets are dealt out by range and written, each range by the task that owns it.  Texts under
-one key are compared byte by byte: every different one is a link of the key's chain.
-
-Copies are folded before the shuffle, so a text that a third of all rows share moves once per task.
+A text's key is a 64-bit hash of its normalised form.  The directory is made first, from the keys
+alone: it doubles, a bit of the key at a time, as long as a cell holds more than ``capacity`` keys;
+cells that need not be told apart share the bucket of a shorter prefix.  A bucket is a range of keys
+and has one owner: the entries (a text, its largest id, its copies) are dealt to the tasks by bucket,
+and the owner chains them.  Entries under one key are compared byte by byte; equal ones are merged
+into one link, every different text adds a link.  Only there it is decided which rows are copies.
+
+Each reading task sends a text at most once per lot (``LOTS``), so an owner of a text that a third of
+all rows share receives as many entries of it as there are lots, however many rows there are.
 """
 
 from __future__ import annotations
@@ -16,35 +18,47 @@ from pyspark.sql import functions as F
 
 from signalbook.llm.common import ascii_lower, keep_once, staged, text_of
 
-#: Keys in a bucket before it splits, and the most bits of the hash that the directory uses.
-BUCKET_KEYS = 100_000
-DIRECTORY_BITS = 16
+#: Keys in a bucket before it splits.
+BUCKET_KEYS = 8192
+#: Lots in which the copies of a text are folded before its owner receives them.
+LOTS = 16
+
 
+def _cell(key_bits: int, bits: int) -> Column:
+    """Cell of a key in a directory of ``bits`` bits: its leading bits."""
+    return F.shiftrightunsigned("key", key_bits - bits) if bits else F.lit(0).cast("long")
 
-def directory(keys: DataFrame, capacity: int = BUCKET_KEYS, bits: int = DIRECTORY_BITS) -> DataFrame:
-    """Cells of the directory at its full depth: cell, depth of its bucket, bucket (its first cell).
 
-    Counts the keys per cell of ``bits`` leading bits and per prefix of every depth.  A prefix is a
-    bucket if it is not overfull (or cannot be split) while the prefix above it is.  In the order of
-    the cells each one belongs to the bucket that began last.  At most 2**bits cells, and as many
-    buckets, whatever the input: one task orders them.
+def directory(keys: DataFrame, capacity: int, bits: int) -> DataFrame:
+    """The directory of ``bits`` bits over the different ``keys`` (column cell): cell, depth, bucket.
+
+    A prefix of a cell is a bucket if it is not overfull (or is the whole cell) while the prefix above
+    it is overfull.  depth is the number of its bits, bucket its first cell.
     """
     cells = keys.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-    prefixes = (
-        cells.select("n", "cell", F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("depth"))
-        .groupBy("depth", F.expr(f"shiftright(cell, {bits} - depth)").alias("prefix"))
-        .agg(F.sum("n").alias("held"))
-    )
-    full = prefixes.where(F.col("held") > capacity).select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("above"))
-    ends = prefixes.where((F.col("held") <= capacity) | (F.col("depth") == bits)).withColumn("above", F.shiftright("prefix", 1))
-    below_full = ends.where("depth > 0").join(full, ["depth", "above"], "left_semi")
-    buckets = below_full.unionByName(ends.where("depth = 0")).select(
-        F.expr(f"shiftleft(prefix, {bits} - depth)").alias("cell"), "depth"
-    )
-    so_far = Window.orderBy("cell", F.col("depth").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    begun = F.last(F.when(F.col("depth").isNotNull(), F.struct("depth", F.col("cell").alias("bucket"))), ignorenulls=True)
-    marked = buckets.unionByName(cells.select("cell"), allowMissingColumns=True).withColumn("in", begun.over(so_far))
-    return marked.where(F.col("depth").isNull()).select("cell", "in.depth", "in.bucket")
+    depths = F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("depth")
+    prefixes = cells.select("cell", "n", depths).withColumn("prefix", F.expr(f"shiftright(cell, {bits} - depth)"))
+    held = prefixes.groupBy("depth", "prefix").agg(F.sum("n").alias("held"))
+    fits = held.where((F.col("held") <= capacity) | (F.col("depth") == bits)).select("depth", "prefix")
+    # Every prefix above the shortest one that fits is overfull.
+    chosen = prefixes.join(fits, ["depth", "prefix"], "left_semi").groupBy("cell").agg(F.min("depth").alias("depth"))
+    return chosen.withColumn("bucket", F.expr(f"shiftleft(shiftright(cell, {bits} - depth), {bits} - depth)"))
+
+
+def doubled(keys: DataFrame, capacity: int, bits: int = 0, key_bits: int = 64) -> int:
+    """Bits of the directory after all doublings: the fewest from ``bits`` on at which no cell of the
+    different ``keys`` (column key) is overfull.
+
+    Starts at the bits that equally full buckets would need, so it takes few rounds; there is no
+    deepest directory short of the whole key.  Cells number a few times the keys / ``capacity``.
+    """
+    bits = min(key_bits, max(bits, (max(keys.count() - 1, 0) // capacity).bit_length()))
+    while bits < key_bits:
+        held = keys.groupBy(_cell(key_bits, bits).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+        if held.where(F.col("n") > capacity).isEmpty():
+            break
+        bits += 1
+    return bits
 
 
 def _key(text: Column, key_bits: int) -> Column:
@@ -52,40 +66,43 @@ def _key(text: Column, key_bits: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(text), 64 - key_bits)
 
 
+def chains(source: DataFrame, capacity: int = BUCKET_KEYS, bits: int = 0, key_bits: int = 64) -> DataFrame:
+    """The index of ``source`` (doc_id, norm, key): bucket, depth, key, link, text_sha256, keep_id, group_size.
+
+    One row per different text; link counts the texts of a key from 1.
+    """
+    keys = staged(source.select("key").distinct(), "index-keys")
+    bits = doubled(keys, capacity, bits, key_bits)
+    buckets = staged(directory(keys.select(_cell(key_bits, bits).alias("cell")), capacity, bits), "directory")
+    lots = source.withColumn("lot", F.spark_partition_id() % LOTS)
+    entries = lots.groupBy("key", "norm", "lot").agg(F.max("doc_id").alias("largest"), F.count(F.lit(1)).alias("rows"))
+    owned = entries.withColumn("cell", _cell(key_bits, bits)).join(buckets, "cell").repartition("bucket")
+    # A bucket lies whole in one task, so neither the grouping nor the numbering moves its rows again.
+    texts = owned.groupBy("bucket", "depth", "key", "norm").agg(F.max("largest").alias("keep_id"), F.sum("rows").alias("group_size"))
+    linked = texts.select("bucket", "depth", "key", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size")
+    chain = Window.partitionBy("bucket", "key").orderBy("text_sha256")
+    return staged(linked.withColumn("link", F.row_number().over(chain)), "exact-index")
+
+
 def exact_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     capacity: int = BUCKET_KEYS,
-    bits: int = DIRECTORY_BITS,
+    bits: int = 0,
     key_bits: int = 64,
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, bucket, depth.
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, bucket, depth, link.
 
     Texts are equal when identical after lower-casing A-Z.  keep_id is the largest doc_id of the
     equal texts.  A null text counts as empty.  A null id is never the largest unless all are null.
     Of repeated rows with the same id and text, all count in group_size and one is kept.  An empty
-    table gives no rows; columns other than id and text are ignored.
+    table gives no rows; columns other than id and text are ignored.  Rows look up their link by key
+    and SHA-256, so that their texts do not move again.
     """
     norm = ascii_lower(text_of(text_col))
     source = docs.select(F.col(id_col).alias("doc_id"), norm.alias("norm")).withColumn("key", _key(F.col("norm"), key_bits))
-    # Grouping by the text itself compares bytes; its digest then names the link of the chain.
-    links = staged(
-        source.groupBy("key", "norm")
-        .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .select("key", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size"),
-        "exact-links",
-    )
-    cell = F.shiftrightunsigned("key", max(key_bits - bits, 0))
-    buckets = directory(links.select("key").distinct().withColumn("cell", cell), capacity, bits)
-    index = staged(
-        links.withColumn("cell", cell)
-        .join(buckets, "cell")
-        .drop("cell")
-        .repartitionByRange("bucket", "key")
-        .sortWithinPartitions("bucket", "key", "text_sha256"),
-        "exact-index",
-    )
+    index = chains(source, capacity, bits, key_bits)
     rows = (
         source.select("doc_id", "key", F.sha2("norm", 256).alias("text_sha256"))
         .groupBy("doc_id", "key", "text_sha256")
@@ -102,6 +119,7 @@ def exact_groups(
             "text_sha256",
             "bucket",
             "depth",
+            "link",
         )
     )
 

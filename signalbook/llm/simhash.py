@@ -3,8 +3,8 @@
 Two 64-bit fingerprints that differ in at most four bits share at least four of their eight bytes at
 the same positions.  Posting lists of single bytes would hold N/256 fingerprints each, so the index
 posts sets of three positional bytes: 20 such sets are enough for every choice of four positions to
-contain one.  Within a posting list the shared positional bytes of each pair are tallied, pairs below
-the guaranteed four are passed over and the rest is verified by counting the bits that differ.
+contain one.  Within a posting list the shared positional bytes of each pair are tallied; pairs that
+reach the guaranteed four are retained, and only these are verified by counting the bits that differ.
 
 A list longer than ``LIST_ROWS`` is posted again under five longer keys (of five blocks of the open
 bits, four differing bits leave one untouched), so no task meets a long list however large a group
@@ -27,7 +27,6 @@ from signalbook.llm.components import components
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
-SHARED_BYTES = 8 - MAX_BITS
 #: Fingerprints in a posting list before it is posted again under longer keys.
 LIST_ROWS = 4096
 #: Fingerprints compared with a list at a time inside a task.
@@ -100,6 +99,25 @@ def _posted(rows: DataFrame, masks: Column) -> DataFrame:
     return rows.select("fp", F.explode(masks).alias("mask")).withColumn("part", F.col("fp").bitwiseAND(F.col("mask")))
 
 
+def shared_bytes(differ: np.ndarray) -> np.ndarray:
+    """Positions at which two fingerprints have the same byte, from the bits that differ."""
+    spread = differ | (differ >> np.uint64(4))
+    spread |= spread >> np.uint64(2)
+    spread |= spread >> np.uint64(1)
+    return 8 - np.bitwise_count(spread & np.uint64(0x0101010101010101)).astype(np.int8)
+
+
+def retained(differ: np.ndarray, max_bits: int) -> tuple[np.ndarray, ...]:
+    """Places in ``differ`` of the linked pairs: tallied first, then verified by their bits.
+
+    Only pairs that share the guaranteed number of positional bytes have their bits counted.  Pairs
+    that merely share the three bytes of their list are most of a list of unlike texts, and end here.
+    """
+    enough = np.nonzero(shared_bytes(differ) >= 8 - max_bits)
+    close = np.bitwise_count(differ[enough]) <= max_bits
+    return tuple(places[close] for places in enough)
+
+
 def linked(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (smallest, other) that join the fingerprints of one list into their groups.
 
@@ -112,12 +130,7 @@ def linked(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
         while len(frontier) and len(rest):
             hit = np.zeros(len(rest), bool)
             for at in range(0, len(frontier), BLOCK_ROWS):
-                differ = frontier[at : at + BLOCK_ROWS, None] ^ rest[None, :]
-                spread = differ | (differ >> np.uint64(4))
-                spread |= spread >> np.uint64(2)
-                spread |= spread >> np.uint64(1)
-                other_bytes = np.bitwise_count(spread & np.uint64(0x0101010101010101))
-                hit |= ((other_bytes <= 8 - SHARED_BYTES) & (np.bitwise_count(differ) <= max_bits)).any(axis=0)
+                hit[retained(frontier[at : at + BLOCK_ROWS, None] ^ rest[None, :], max_bits)[1]] = True
             frontier, rest = rest[hit], rest[~hit]
             left.append(np.full(len(frontier), root))
             right.append(frontier)
@@ -150,8 +163,8 @@ def _links(fp: np.ndarray, bounds: np.ndarray, max_bits: int) -> Iterator[pd.Dat
     fp = fp.astype(np.int64).view(np.uint64)
     length = np.diff(bounds)
     at = bounds[:-1][length == 2]
-    close = np.bitwise_count(fp[at] ^ fp[at + 1]) <= max_bits
-    a, b = [fp[at][close]], [fp[at + 1][close]]
+    close = at[retained(fp[at] ^ fp[at + 1], max_bits)]
+    a, b = [fp[close]], [fp[close + 1]]
     for i in np.flatnonzero(length > 2):
         one, other = linked(fp[bounds[i] : bounds[i + 1]], max_bits)
         a.append(one)

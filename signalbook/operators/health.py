@@ -66,28 +66,61 @@ def customer_metrics(
     )
 
 
+def _metrics() -> list[Column]:
+    zero = F.lit(0).cast("bigint")
+    return [
+        F.col("customer_id"),
+        F.col("canonical_id"),
+        F.col("name"),
+        F.coalesce("ticket_count", zero).alias("ticket_count"),
+        F.coalesce("ticket_count_prev", zero).alias("ticket_count_prev"),
+        F.coalesce("incident_count", zero).alias("incident_count"),
+        F.coalesce("sla_breach_count", zero).alias("sla_breach_count"),
+        F.coalesce(
+            F.try_divide(F.col("_hours").cast("double"), F.col("_resolved")), F.lit(0.0)
+        ).alias("avg_resolution_hours"),
+        F.coalesce(
+            F.try_divide(F.col("_negative") * 100.0, F.col("ticket_count")), F.lit(0.0)
+        ).alias("negative_pct"),
+        F.coalesce(F.col("contract_value").cast("double"), F.lit(0.0)).alias("contract_value"),
+    ]
+
+
 def metrics_of_activity(customers: DataFrame, by_ticket: DataFrame, by_incident: DataFrame) -> DataFrame:
     """Customers with the counts of :func:`ticket_activity` and :func:`incident_activity`."""
-    zero = F.lit(0).cast("bigint")
     return (
         customers.select("customer_id", "canonical_id", "name", "contract_value")
         .join(by_ticket.drop("total", "open"), "customer_id", "left")
         .join(by_incident.select("customer_id", "incident_count"), "customer_id", "left")
-        .select(
+        .select(*_metrics())
+    )
+
+
+#: Counts of all tickets and incidents of a customer, kept by :func:`whole_activity`.
+TOTALS = ("tickets", "tickets_open", "incidents", "incidents_open", "incidents_breached")
+
+
+def whole_activity(customers: DataFrame, by_ticket: DataFrame, by_incident: DataFrame) -> DataFrame:
+    """:func:`metrics_of_activity` with all counts (``TOTALS``) and is_customer.
+
+    Tickets and incidents of customers that are not known, or of none, have rows of their own, so that
+    sums over the rows are sums over the facts; each fact is read once.
+    """
+    zero = F.lit(0).cast("bigint")
+    return (
+        customers.select("customer_id", "canonical_id", "name", "contract_value", F.lit(True).alias("_known"))
+        .join(by_ticket.withColumnsRenamed({"total": "tickets", "open": "tickets_open"}), "customer_id", "full")
+        .join(
+            by_incident.withColumnsRenamed(
+                {"total": "incidents", "open": "incidents_open", "breached": "incidents_breached"}
+            ),
             "customer_id",
-            "canonical_id",
-            "name",
-            F.coalesce("ticket_count", zero).alias("ticket_count"),
-            F.coalesce("ticket_count_prev", zero).alias("ticket_count_prev"),
-            F.coalesce("incident_count", zero).alias("incident_count"),
-            F.coalesce("sla_breach_count", zero).alias("sla_breach_count"),
-            F.coalesce(
-                F.try_divide(F.col("_hours").cast("double"), F.col("_resolved")), F.lit(0.0)
-            ).alias("avg_resolution_hours"),
-            F.coalesce(
-                F.try_divide(F.col("_negative") * 100.0, F.col("ticket_count")), F.lit(0.0)
-            ).alias("negative_pct"),
-            F.coalesce(F.col("contract_value").cast("double"), F.lit(0.0)).alias("contract_value"),
+            "full",
+        )
+        .select(
+            *_metrics(),
+            *[F.coalesce(c, zero).alias(c) for c in TOTALS],
+            F.col("_known").isNotNull().alias("is_customer"),
         )
     )
 

@@ -67,17 +67,14 @@ def _scored(t: Tables) -> DataFrame:
     )
 
 
-def _scored_once(t: Tables) -> tuple[DataFrame, tuple[DataFrame, DataFrame]]:
-    """Scored customers, and the tickets and incidents of each customer: each fact is read once."""
-    tickets, incidents = (
-        cut_lineage(activity)
-        for activity in (
-            health.ticket_activity(star.fact_ticket(t), instant(AS_OF), WINDOW_DAYS),
-            health.incident_activity(star.incident_events(t), instant(AS_OF), WINDOW_DAYS),
-        )
+def _overview(t: Tables) -> DataFrame:
+    """All counts of the overviews: nothing is written or run before the result is asked for."""
+    rows = health.whole_activity(
+        star.dim_customer(t),
+        health.ticket_activity(star.fact_ticket(t), instant(AS_OF), WINDOW_DAYS),
+        health.incident_activity(star.incident_events(t), instant(AS_OF), WINDOW_DAYS),
     )
-    metrics = health.metrics_of_activity(star.dim_customer(t), tickets, incidents)
-    return cut_lineage(health.customer_health(metrics)), (tickets, incidents)
+    return serving.activity_overview(health.customer_health(rows), ins.notable_health())
 
 
 def _health(t: Tables, at: str = AS_OF) -> DataFrame:
@@ -421,15 +418,14 @@ def anomaly_list(t: Tables) -> DataFrame:
 
 @query
 def kpi_overview(t: Tables) -> DataFrame:
-    scored, done = _scored_once(t)
-    return serving.kpi_overview(scored, *done, ins.health_insights(scored, instant(AS_OF)))
+    return _overview(t).drop("active_insights")
 
 
 @query
 def ask_overview(t: Tables) -> DataFrame:
-    scored, done = _scored_once(t)
-    return serving.overview_counts(
-        star.dim_customer(t), *done, ins.health_insights(scored, instant(AS_OF))
+    return _overview(t).select(
+        F.col("total_customers").alias("customers"), F.col("total_tickets").alias("tickets"),
+        F.col("total_incidents").alias("incidents"), "active_insights",
     )
 
 

@@ -66,6 +66,11 @@ def _insight(df: DataFrame, as_of: Column, **columns) -> DataFrame:
     )
 
 
+def notable_health() -> Column:
+    """Whether a customer gets an insight: not at low risk, or getting worse."""
+    return (F.col("risk_level") != "LOW") | (F.col("trend") == "DETERIORATING")
+
+
 def health_insights(health: DataFrame, as_of: Column) -> DataFrame:
     """One insight per customer that is not at low risk, or is getting worse."""
     text = fv.HEALTH_TEXT
@@ -77,7 +82,7 @@ def health_insights(health: DataFrame, as_of: Column) -> DataFrame:
     )
     named = F.array_join(F.slice(factors, 1, 3), ", ")
     signed = F.concat(F.when(change >= 0, "+").otherwise(""), fixed_text(change, 1), F.lit("%"))
-    notable = health.filter((risk != "LOW") | (F.col("trend") == "DETERIORATING"))
+    notable = health.filter(notable_health())
     return _insight(
         notable,
         as_of,

@@ -18,6 +18,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from signalbook.llm.common import staged, text_of, words
 
@@ -131,10 +132,16 @@ def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES, id_col: str = "
 
     The edited text is the text whose last floor(n_chars / 2) code points are replaced by the first as
     many, or all, of the next document's; documents are ordered by id (null first) and then, should
-    an id occur twice, by a hash of the text; the last one's next is the first.  Rows that repeat an
+    an id occur twice, by a hash of the text; the last one's next is the first.  Whole numbers as ids
+    become long, others are taken as texts and ordered bytewise.  Rows that repeat an
     id and text are one document, returned as often as it occurs.  A null text is the empty text.
     """
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), F.col(id_col).isNull().alias("no_id"), text_of(text_col).alias("text"))
+    kind = "long" if isinstance(docs.schema[id_col].dataType, IntegralType) else "string"
+    rows = docs.select(
+        F.coalesce(F.col(f"`{id_col}`").cast(kind), F.lit("0").cast(kind)).alias("id"),
+        F.col(f"`{id_col}`").isNull().alias("no_id"),
+        text_of(text_col).alias("text"),
+    )
     key = ["id", "no_id", "text_key"]
     rows = rows.withColumn("text_key", F.xxhash64("text"))
     slim = rows.select(*key, F.length("text").cast("long").alias("n_chars")).groupBy(*key).agg(F.first("n_chars").alias("n_chars"), F.count(F.lit(1)).alias("rows"))

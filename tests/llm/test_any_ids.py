@@ -1,6 +1,8 @@
-"""Conversations whose ids are texts, one of them the word null."""
+"""Conversations and documents whose ids are texts, one of them the word null."""
 
-from signalbook.llm import dialogue
+import hashlib
+
+from signalbook.llm import dialogue, fingerprints
 
 
 def test_text_ids(spark):
@@ -18,3 +20,20 @@ def test_text_ids(spark):
 def test_number_ids_become_long(spark):
     turns = spark.createDataFrame([(1, 0, "a", "x")], "conv_id int, turn int, role string, text string")
     assert dict(dialogue.rotate(turns).dtypes)["conv_id"] == "bigint"
+
+
+def test_fingerprints_of_text_ids(spark):
+    texts = ["one two three four", "five six seven", None, "one two three four", ""]
+    ids = ["b-10", "a", "c", None, "0"]
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id string, text string")
+    got = {r["doc_id"]: r for r in fingerprints.edited_fingerprints(docs, samples=8).collect()}
+    assert set(got) == set(ids) and dict(fingerprints.edited_fingerprints(docs, samples=8).dtypes)["doc_id"] == "string"
+    order = [None, "0", "a", "b-10", "c"]
+    text_of = dict(zip(ids, texts))
+    for at, id_ in enumerate(order):
+        text, after = (text_of[i] or "" for i in (id_, order[(at + 1) % len(order)]))
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        assert got[id_]["n_chars"] == len(text)
+        assert got[id_]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+    assert got[None]["signature"] == got["b-10"]["signature"] and got["0"]["signature"] == got["c"]["signature"]

@@ -28,6 +28,15 @@ def read_new_files(
     )
 
 
+def read_new_table(spark: SparkSession, folder: str, table: str, schema) -> DataFrame:
+    """The files of one table as they arrive: ``folder``/``table``.parquet is one file, or a folder of files."""
+    name = f"{table}.parquet"
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():
+        return read_new_files(spark, f"{folder}/{name}", schema, "*")
+    return read_new_files(spark, folder, schema, name)
+
+
 def hashed(documents: DataFrame, content: str) -> DataFrame:
     """``documents`` with the SHA-256 of their content."""
     return documents.withColumn("content_hash", F.sha2(F.col(content), 256))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from signalbook.operators import resolve, staging
-from signalbook.operators.similar import similar_names
+from signalbook.operators.similar import segment_candidates, similar_names
 
 
 @pytest.fixture
@@ -61,3 +61,11 @@ def test_costly_rows_are_dealt_out(spark, tmp_path):
     assert star.spread(rows).rdd.getNumPartitions() == 1
     assert star.spread(rows, costly=True).rdd.getNumPartitions() == parts
     assert sorted(r.id for r in star.spread(rows, costly=True).collect()) == list(range(50))
+
+
+def test_names_are_dealt_out_before_their_segments(spark, stored):
+    left = stored["names"].select("entity_type", F.col("norm").alias("_a")).distinct()
+    right = stored["known"].select("entity_type", F.col("known").alias("_b")).distinct()
+    found = segment_candidates(left, right, 85, "indel")
+    assert found._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") >= 2
+    assert found.where("_a = _b").count() == 90

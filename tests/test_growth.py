@@ -5,6 +5,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from signalbook.operators import similar
+from signalbook.plans import intake
 from tests.test_resolve import lcs
 
 
@@ -43,3 +44,24 @@ def test_one_letter_less(spark):
     for method, score in (("indel", round(600 / 7, 6)), ("levenshtein", 75.0)):
         rows = similar.one_letter_less(names, knows, 60, method).join(knows, ["entity_type", "_rank"])
         assert sorted((r._a, r.canonical_id, r.score) for r in rows.collect()) == [("abd", "C1", score), ("abd", "C2", score)]
+
+
+LONG = "Customer: Acme Corp, " + "the portal is slow and broken. " * 40
+DOCUMENTS = [("D1", "document_contract", 1, LONG + "Contract CN-12/A"), ("D2", "document_contract", 2, "no number"), ("D3", None, 3, None)]
+
+
+def run(spark, **more):
+    docs = spark.createDataFrame(DOCUMENTS, "document_id string, domain string, arrived_at int, text string")
+    registry = spark.createDataFrame([("customer", "C1", "Acme Corp", [])], "entity_type string, canonical_id string, name string, aliases array<string>")
+    return intake.document_run(docs, registry, **more)
+
+
+def test_one_sink_stores_names_only(spark, monkeypatch):
+    stored = []
+    cut = intake.cut_lineage
+    monkeypatch.setattr(intake, "cut_lineage", lambda df: stored.append(df.columns) or cut(df))
+    made = run(spark)
+    assert [(r.contract_number, r.customer_code) for r in made.contracts.collect()] == [("CN-12/A", "C1")]
+    assert made.log.count() == 1 and made.new_customers.count() == 0
+    assert stored[0] == ["document_id", "arrived_at", "customer_name"] and len(stored) == 2
+    assert not any("fields" in columns for columns in stored)

@@ -65,3 +65,9 @@ def test_one_sink_stores_names_only(spark, monkeypatch):
     assert made.log.count() == 1 and made.new_customers.count() == 0
     assert stored[0] == ["document_id", "arrived_at", "customer_name"] and len(stored) == 2
     assert not any("fields" in columns for columns in stored)
+
+
+def test_feedback_has_the_whole_text(spark):
+    rows = {r.document_id: r for r in run(spark).feedback.collect()}
+    assert {k: r.raw_text for k, r in rows.items()} == {d[0]: d[3] for d in DOCUMENTS}
+    assert [rows[d].customer_code for d in ("D1", "D2", "D3")] == ["C1", None, None]
